@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrand.llm import simhash, substring
+from lodestrand.llm import decontam, langid, packing, simhash, substring
 from lodestrand.llm.common import table, written
+from lodestrand.llm.queries import language_field
+
+#: A text is rejected below this share of its best language; one in two languages keeps half or more in one of them.
+LEAST_SHARE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or with no language of share ``LEAST_SHARE``, go."""
+    found = langid.label_documents(docs, language_field(spark, sf_dir))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,15 +27,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has leave the text; every document stays, n_chars follows."""
     cut = substring.remove_repeats(docs)
-    new = {"text": cut["kept_text"], "n_chars": cut["n_chars"]}
-    return cut.select(*(new.get(c, cut[c]).alias(c) for c in docs.columns))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark window occurs go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents, with the sequence and the place of each."""
+    return packing.pack(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
+STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("best_fit_packing", packing_stage)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result but the last is a written table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

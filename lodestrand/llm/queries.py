@@ -5,19 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring
+from . import decontam, embed_dedup, langid, packing, sharding, simhash, substring
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = embed_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+    return groups.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup}
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.interleave(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def held_out() -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def language_field(spark: SparkSession, sf_dir: str) -> langid.Field:
+    """The language field fitted on the documents that aren't held out."""
+    return langid.fit_on(table(spark, sf_dir, "documents").where(~held_out()))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = langid.label_documents(docs, language_field(spark, sf_dir))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op3_embedding_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_simhash_near_dedup, op7_sharding, op8_language_id)
+}
 ORACLE_SQL: dict[str, str] = {}
