@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, packing, sharding, simhash, substring
+from . import decontam, embed_dedup, langid, license_scan, packing, quality, sharding, simhash, substring, token_count
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = embed_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
     return groups.select("vec_id", "n_links", F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
@@ -54,8 +58,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.fit_on(docs))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op3_embedding_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_simhash_near_dedup, op7_sharding, op8_language_id)
+    for f in (
+        op1_decontamination, op2_quality_classifier, op3_embedding_near_dedup, op4_substring_dedup, op5_best_fit_packing,
+        op6_simhash_near_dedup, op7_sharding, op8_language_id, op9_token_counts, op10_license_scan,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
