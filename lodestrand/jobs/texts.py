@@ -12,7 +12,8 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _PUNCT = r"[!-/:-@\[-`{-~]"
 _NORM = rf"trim(regexp_replace(regexp_replace(lower(text), '{_PUNCT}', '', 'g'), '\s+', ' ', 'g'))"
 _BOOL = f"CASE WHEN trim(lower(text)) IN ({', '.join(repr(x) for x in X.YES)}) THEN 'yes' WHEN trim(lower(text)) IN ({', '.join(repr(x) for x in X.NO)}) THEN 'no' ELSE trim(lower(text)) END"
-_ANSWER = rf"trim(regexp_replace(regexp_replace(regexp_replace({_BOOL}, '{_PUNCT}', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+# articles by words, as this engine's \b knows ASCII letters alone
+_ANSWER = rf"array_to_string(list_filter(string_split_regex(regexp_replace({_BOOL}, '{_PUNCT}', '', 'g'), '\s+'), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
 #: Sentences as in ``sources.tables.sentences``.
 SENTENCES_SQL = r"""
     raw AS (SELECT doc_id, concat(coalesce(source, ''), '/', doc_id::VARCHAR) AS title, lang, string_split_regex(text, '[\n.]') AS parts FROM documents WHERE text IS NOT NULL),
