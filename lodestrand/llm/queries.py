@@ -74,4 +74,33 @@ QUERIES = {
         op6_simhash_near_dedup, op7_sharding, op8_language_id, op9_token_counts, op10_license_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+#: The other queries hash with functions that DuckDB lacks (XXH64, CRC-32), use a tokenizer, or learn: they have brute-force tests.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOW}, {_WORD}), []) AS w FROM documents),
+        b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOW}, {_WORD}) AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+        marks AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(list_slice(w, i + 1, i + 10), ' ') AS win FROM (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT size FROM marks),
+        spans AS (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS i FROM d, sizes WHERE len(w) >= size),
+        hits AS (SELECT doc_id, i, m.size, item FROM spans s JOIN marks m ON m.size = s.size AND m.win = array_to_string(list_slice(w, i + 1, i + s.size), ' ')),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op3_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0),
+        n AS (SELECT *, sqrt(list_dot_product(v, v)) AS size FROM v),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND a.size > 0 AND b.size > 0 WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id""",
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        spans AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 20), ' ') AS win FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 19, 0))) AS i FROM d)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM spans) WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+        words AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+}
