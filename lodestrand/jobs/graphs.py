@@ -216,7 +216,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.sessions import user_sessions
 
     s = user_sessions(table(spark, sf_dir, "events"), "30 minutes")
-    return s.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "events", F.round("value", 4).alias("value"))
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), "events", F.round("value", 4).alias("value"))
 
 
 QUERIES = {

@@ -11,7 +11,8 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str | None =
 
     On a stream ``late`` is the watermark: how late an event may come and still count.
     """
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if late else rows
     grouped = rows.groupBy("user_id", F.session_window("ts", gap).alias("session"))
     return grouped.agg(F.count("*").alias("events"), F.sum("value").alias("value")).select("user_id", F.col("session.start").alias("start"), F.col("session.end").alias("end"), "events", "value")
 
