@@ -53,8 +53,10 @@ OTHER = (
 NO_LICENCE, UNKNOWN_LICENCE = "none", "unknown"
 #: Paragraphs of the corpus, first in a hash order of their documents, that stand for text without a licence.
 SAMPLE, PARAGRAPH = 2_000, 400
+#: The weight of text without a licence in training: words never seen leave a paragraph with it.
+PLAIN_SHARE = 0.7
 WIDTH, LONGEST = 1 << 15, 3
-CERTAIN, CONFIRM = 0.5, 0.8
+DETECT, CERTAIN, CONFIRM, HINT = 0.7, 0.5, 0.8, 0.3
 _TRIM = "\"'`.,;:!?()[]{}<>*#-_/|"
 _MIX, _MIX2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -114,6 +116,9 @@ class Classifier:
         return z / z.sum(axis=1, keepdims=True)
 
 
+_AROUND = ("Copyright", "(c)", "2021", "the", "authors", "project", "See", "file", "for", "details")
+
+
 def _variants(text: str, random: np.random.Generator, n: int) -> list[str]:
     """The text with words left out, added around it, or cut, as notices are met in the wild."""
     words, out = text.split(), [text, text.upper(), text.lower()]
@@ -123,7 +128,7 @@ def _variants(text: str, random: np.random.Generator, n: int) -> list[str]:
             i = int(random.integers(0, len(w) - 7))
             w = w[i : i + int(random.integers(8, len(w) + 1))]
         if random.random() < 0.4:
-            w = [str(x) for x in random.choice(["Copyright", "(c)", "2021", "the", "authors", "project", "See", "file", "for", "details"], int(random.integers(1, 5)))] + w
+            w = [str(x) for x in random.choice(_AROUND, int(random.integers(1, 5)))] + w
         out.append(" ".join(w))
     return out
 
@@ -138,6 +143,8 @@ def fit(plain: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, see
     classes = [NO_LICENCE, UNKNOWN_LICENCE, *templates]
     known = {t.lower() for own in templates.values() for t in own}
     rows = [(t, 0) for t in plain if t.strip().lower() not in known] + [(v, 0) for t in OTHER for v in _variants(t, random, 20)] + [("", 0)]
+    rows += [(v, 0) for t in plain for v in (*_variants(t, random, 1)[3:], *t.split()[:1])]
+    rows += [(w, 0) for w in _AROUND for _ in range(5)] + [(f"{a} {b}", 0) for a in _AROUND for b in _AROUND]
     rows += [(v, 1) for t in UNKNOWN for v in _variants(t, random, 30)]
     rows += [(v, k) for k, own in enumerate(templates.values(), 2) for t in own for v in _variants(t, random, 30)]
     names, codes, offsets = tokens(pa.array([t for t, _ in rows], pa.large_string()))
@@ -150,7 +157,8 @@ def fit(plain: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, see
     index, of = index[order], of[order]
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(of, minlength=len(rows))))
     learn = random.random(len(rows)) > 0.2
-    weight = 1 / np.maximum(1, np.bincount(target[learn], minlength=len(classes)))[target] * learn / len(classes)
+    mass = np.where(np.arange(len(classes)) == 0, PLAIN_SHARE, (1 - PLAIN_SHARE) / (len(classes) - 1))
+    weight = (mass / np.maximum(1, np.bincount(target[learn], minlength=len(classes))))[target] * learn
     w, b = np.zeros((WIDTH, len(classes))), np.zeros(len(classes))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     begin, has = np.flatnonzero(np.diff(of, prepend=-1)), np.unique(of)
@@ -211,12 +219,12 @@ def fit_on(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", samp
     return fit([r["p"] for r in rows.select("h", F.substring("p", 1, PARAGRAPH).alias("p")).orderBy("h", "p").limit(sample).collect() if r["p"]], templates)
 
 
-def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, certain: float = CERTAIN, confirm: float = CONFIRM) -> DataFrame:
+def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, detect: float = DETECT, certain: float = CERTAIN, confirm: float = CONFIRM) -> DataFrame:
     """For every row: id_col, n_paragraphs long, licences array<string> (sorted, distinct), found array of (paragraph, licence, probability, likeness).
 
-    Paragraphs are the lines that aren't blank, of whole texts. One counts as a licence if the class ``none`` has less
-    than half the probability. Its family is the likeliest class if that has ``certain`` or more of the rest and the
-    paragraph holds ``confirm`` or more of a template's word pairs; else it is ``unknown``. paragraph is its number from 0.
+    Paragraphs are the lines that aren't blank, of whole texts. One counts as a licence if all classes but ``none``
+    have ``detect`` or more of the probability. Its family is the likeliest class if that has ``certain`` or more of the rest and the
+    paragraph holds ``confirm`` or more of a template's word pairs; else it is ``unknown``, or no licence if it has less than HINT of the word pairs of any wording. paragraph is its number from 0.
     Null, empty and blank texts have no paragraphs. Rows that repeat each give a row; an empty table gives no rows; other
     columns are ignored.
     """
@@ -228,6 +236,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         own: Classifier = sent.value
+        every = (*UNKNOWN, *(t for texts in templates.values() for t in texts))
         for batch in batches:
             lines, edges = paragraphs(one(batch.column(1)))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
@@ -238,11 +247,13 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
                 z = own.logits(names, codes[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
-                for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
+                for k in np.flatnonzero(p[:, 0] <= 1 - detect).tolist():
                     best = 2 + int(p[k, 2:].argmax())
                     text, share = lines[i + k].as_py(), float(p[k, best] / (1 - p[k, 0]))
                     like = likeness(text, templates[own.classes[best]])
                     sure = share >= certain and like >= confirm
+                    if not sure and max(like, likeness(text, every)) < HINT:
+                        continue
                     doc = int(np.searchsorted(edges, i + k, side="right")) - 1
                     found[doc].append({"paragraph": i + k - int(edges[doc]), "licence": own.classes[best] if sure else UNKNOWN_LICENCE, "probability": float(1 - p[k, 0]) if not sure else float(p[k, best]), "likeness": like})
                 i = j
