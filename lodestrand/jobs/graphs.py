@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import contracts as C
 from ..operators import graph as G
 from ..operators import metrics as M
+from ..operators import ranking as R
 from ..operators import rules as U
 from ..sources.tables import sentences, table
 from .texts import _OVERLAP_SQL, SENTENCES_SQL, _tokens_sql, question_overlap
@@ -194,9 +195,7 @@ def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, dev and test of documents at 80, 10 and 10 in a hundred of each language, in a hash order; the rest is test."""
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    n = F.count("*").over(Window.partitionBy("lang"))
-    place = table(spark, sf_dir, "documents").select("doc_id", "lang", F.row_number().over(order).alias("k"), n.alias("n"))
+    place = R.hash_rank(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
     split = F.when(F.col("k") <= F.floor(F.col("n") * 8 / 10), "train").when(F.col("k") <= F.floor(F.col("n") * 8 / 10) + F.floor(F.col("n") / 10), "dev").otherwise("test")
     return place.select("doc_id", "lang", split.alias("split"))
 
@@ -208,7 +207,8 @@ def gold_mutation_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = rank_candidates(spark, sf_dir)
     touched = ranked.withColumn("label", F.lit(1))
     again = C.gold_free(touched, ("example", "candidate", "rank", "size"))
-    return C.same_rows(ranked, again).agg(F.count("*").alias("differences")).crossJoin(ranked.agg(F.count("*").alias("rows")))
+    each = C.same_rows(ranked, again).select(F.lit(1).alias("differs")).union(ranked.select(F.lit(0)))
+    return each.agg(F.sum("differs").alias("differences"), F.count_if(F.col("differs") == 0).alias("rows"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,8 +111,9 @@ def selected_k_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and shares of the adaptive lengths over 1 to 5, absent ones as 0."""
     found = R.adaptive(candidates(spark, sf_dir, "p_type"), THRESHOLD).groupBy("selected_k").agg(F.count("*").alias("n"))
     domain = spark.range(1, 6).select(F.col("id").cast("int").alias("selected_k"))
-    total = found.agg(F.sum("n").alias("total"))
-    return domain.join(found, "selected_k", "left").crossJoin(total).select("selected_k", F.coalesce("n", F.lit(0)).alias("n"), r6(100 * F.coalesce("n", F.lit(0)) / F.col("total")).alias("percent"))
+    every = domain.join(found, "selected_k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # five rows
+    return every.select("selected_k", "n", r6(100 * F.col("n") / total).alias("percent"))
 
 
 def size_score_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,9 +78,18 @@ def binary(rows: DataFrame, truth: Column, guess: Column) -> DataFrame:
 def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """One row (auc): the share of (positive, negative) pairs in the right order, ties for half; null without both kinds.
 
-    Rows are counted by score first, then scores are ranked: the window holds distinct scores, not rows.
+    Rows are counted by score first. Scores are then cut at 255 approximate quantiles: one window sums over the 256 parts,
+    another over the distinct scores of a part, so no task holds them all.
     """
+    cuts = F.percentile_approx(F.col(score).cast("double"), [k / 256 for k in range(1, 256)], 2560)
+    bounds = rows.agg(cuts).first()[0] or []
     by_score = rows.groupBy(score).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    right = by_score.withColumn("below", F.coalesce(below, F.lit(0)))
+    part = F.lit(0)
+    for b in sorted(set(bounds)):
+        part = part + (F.col(score) >= F.lit(b)).cast("int")
+    by_part = by_score.withColumn("part", part)
+    sums = by_part.groupBy("part").agg(F.sum("neg").alias("part_neg"))  # 256 rows at most
+    before = sums.select("part", F.coalesce(F.sum("part_neg").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("neg").over(Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+    right = by_part.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, "part").withColumn("below", F.col("before") + F.col("inside"))
     return right.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))

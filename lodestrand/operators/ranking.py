@@ -97,3 +97,19 @@ def pareto(points: DataFrame, key: str = "example") -> DataFrame:
     as_good = (F.col("_precision") >= F.col("precision")) & (F.col("_recall") >= F.col("recall")) & (F.col("_size") <= F.col("size"))
     better = (F.col("_precision") > F.col("precision")) | (F.col("_recall") > F.col("recall")) | (F.col("_size") < F.col("size"))
     return points.join(other, (F.col(key) == F.col("_key")) & as_good & better, "left_anti")
+
+
+def hash_rank(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """Adds k, the rank of a row in its group in the order of the key's MD5, and n, the size of the group.
+
+    Rows are counted by the first three digits of the hash and ranked inside such a bin on top of the counts before it;
+    so a group of any size is ranked by many tasks, and no window but that over 4,096 counts holds a whole group.
+    """
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    own = rows.withColumn("_hash", digest).withColumn("_bin", F.substring("_hash", 1, 3))
+    counts = own.groupBy(group, "_bin").agg(F.count("*").alias("_count"))
+    whole = Window.partitionBy(group)
+    before = counts.select(F.col(group).alias("_group"), F.col("_bin").alias("_of"), (F.sum("_count").over(whole.orderBy("_bin")) - F.col("_count")).alias("_before"), F.sum("_count").over(whole).alias("n"))
+    in_bin = F.row_number().over(Window.partitionBy(group, "_bin").orderBy("_hash", key))
+    ranked = own.withColumn("_in_bin", in_bin).join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bin") == F.col("_of")))
+    return ranked.select(*rows.columns, (F.col("_before") + F.col("_in_bin")).alias("k"), "n")

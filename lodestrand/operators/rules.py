@@ -15,19 +15,19 @@ def inferred_assertions(facts: DataFrame, sub_property: DataFrame, inverse: Data
     derived assertions aren't fed back.
     """
     up = closure(sub_property)
-    raised = facts.join(F.broadcast(up), F.col("p") == F.col("src"), "left").select("s", F.coalesce("dst", "p").alias("p"), "o")
-    turned = raised.join(F.broadcast(symmetric), "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
-    swapped = facts.join(F.broadcast(inverse.select(F.col("p"), "q")), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
-    swapped = swapped.join(F.broadcast(up), F.col("p") == F.col("src"), "left").select("s", F.coalesce("dst", "p").alias("p"), "o")
+    raised = facts.join(up, F.col("p") == F.col("src"), "left").select("s", F.coalesce("dst", "p").alias("p"), "o")
+    turned = raised.join(symmetric, "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+    swapped = facts.join(inverse.select("p", "q"), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+    swapped = swapped.join(up, F.col("p") == F.col("src"), "left").select("s", F.coalesce("dst", "p").alias("p"), "o")
     return raised.union(turned).union(swapped).distinct()
 
 
 def inferred_types(types: DataFrame, facts: DataFrame, domain: DataFrame, range_: DataFrame, sub_property: DataFrame, sub_class: DataFrame) -> DataFrame:
     """(s, c): asserted types, domains of subjects and ranges of objects over super-properties, and all their super-classes."""
     up = closure(sub_property)
-    raised = facts.join(F.broadcast(up), F.col("p") == F.col("src"), "left").select("s", F.coalesce("dst", "p").alias("p"), "o")
-    by_domain = raised.join(F.broadcast(domain), "p").select("s", "c")
-    by_range = raised.join(F.broadcast(range_), "p").select(F.col("o").alias("s"), "c")
+    raised = facts.join(up, F.col("p") == F.col("src"), "left").select("s", F.coalesce("dst", "p").alias("p"), "o")
+    by_domain = raised.join(domain, "p").select("s", "c")
+    by_range = raised.join(range_, "p").select(F.col("o").alias("s"), "c")
     own = types.union(by_domain).union(by_range).distinct()
     classes = closure(sub_class)
     return own.join(classes, F.col("c") == F.col("src"), "left").select("s", F.coalesce("dst", "c").alias("c")).distinct()

@@ -49,4 +49,4 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example, dataset, domain): a customer's market segment and region."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    return table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("example"), F.col("c_mktsegment").alias("dataset"), F.col("n_regionkey").alias("domain"))
+    return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("example"), F.col("c_mktsegment").alias("dataset"), F.col("n_regionkey").alias("domain"))
