@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import axioms as A
+from ..functions import features as T
 from ..functions import sets as S
+from ..functions import text as X
 from ..operators import ranking as R
 from ..operators.candidates import Beam, connected_supports
 from ..sources.tables import candidates, gold, sentences, table
 from .graphs import _FACTS, _facts, _graph
 from .supports import _PREFIX, _base, r6
-from .texts import SENTENCES_SQL
+from .texts import _OVERLAP_SQL, SENTENCES_SQL, _tokens_sql, question_overlap
 
 
 def _axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def pre_rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = asked.withColumn("k", F.row_number().over(Window.partitionBy("example").orderBy(F.desc("n"), "unit"))).where("k <= 2").groupBy("example").agg(F.collect_set("unit").alias("asked"))
     each = c.join(top, "example").withColumn("overlap", F.size(F.array_intersect("units", "asked")) / F.greatest(F.size("asked"), F.lit(1)))
     size = F.size("units")
-    return each.select("example", "candidate", r6("overlap").alias("overlap"), r6(F.col("overlap") + S.ratio(F.lit(0.02), size)).alias("lexical"), r6(F.col("overlap") - 0.015 * F.greatest(size - 3, F.lit(0))).alias("pre_rank"))
+    return each.select("example", "candidate", r6("overlap").alias("overlap"), r6(T.lexical_score(F.col("overlap"), size)).alias("lexical"), r6(F.col("overlap") - 0.015 * F.greatest(size - 3, F.lit(0))).alias("pre_rank"))
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = F.exists("golds", lambda g: S.subset(g, F.col("units")) & S.subset(F.col("units"), g))
     complete = F.exists("golds", lambda g: S.subset(g, F.col("units")))
     f1 = S.best_of(F.col("units"), F.col("golds"))["f1"]
-    return c.withColumn("target", F.round(F.when(exact, 1.0).when(complete, 0.9).otherwise(F.least(F.lit(0.3), 0.5 * f1)), 6))
+    return c.withColumn("target", F.round(T.rank_target(exact, complete, f1), 6))
 
 
 def rank_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +109,24 @@ def continue_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def text_chain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every question the best sentence of each of its three best documents as a support: features and adjustment."""
+    near = Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id")
+    top = question_overlap(spark, sf_dir).withColumn("k", F.row_number().over(near)).where("k <= 3").drop("shared")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("asked"), F.regexp_replace(F.lower("text"), r"[^\x00-\x7F]", "x").rlike(r"\b(both|same|than|more|less|either|or)\b").alias("compares"))
+    pool = sentences(table(spark, sf_dir, "documents")).join(top, "doc_id").join(asked, "item_id").withColumn("own", X.tokens(F.col("sentence")))
+    best = Window.partitionBy("item_id", "doc_id").orderBy(F.desc(F.size(F.array_intersect("own", "asked"))), "sent_idx")
+    chosen = pool.withColumn("b", F.row_number().over(best)).where("b = 1").withColumn("heads", X.tokens(F.col("title")))
+    sets = chosen.groupBy("item_id", "asked", "compares").agg(F.array_sort(F.collect_list(F.struct("k", "title", "heads", "own"))).alias("units"))
+    n, titles = F.size("units"), F.size(F.array_distinct(F.col("units.title")))
+    values = {
+        "question_title": T.coverage(F.col("asked"), F.array_distinct(F.flatten("units.heads"))), "overlap": T.coverage(F.col("asked"), F.array_distinct(F.flatten("units.own"))),
+        "cross_page": T.cross_page(titles), "bridge": T.bridge(F.col("units.heads"), F.col("units.own")), "comparison": T.comparison(titles, F.col("compares")),
+    }
+    total = T.adjustment(T.TEXT_CHAIN, values) - T.size_penalty(n) - F.when((n >= 2) & (titles <= 1), T.DUPLICATE_PAGE).otherwise(0.0)
+    return sets.select("item_id", n.alias("size"), *(F.round(v.cast("double"), 6).alias(c) for c, v in values.items()), F.round(total, 6).alias("adjustment"))
+
+
 def path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest paths from each region to all that is placed in it, level by level: how many nodes, and paths to them."""
     facts = _facts(spark, sf_dir).select(F.col("o").alias("a"), F.col("s").alias("b"))
@@ -131,7 +151,7 @@ def title_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("page_id").agg(F.count("*").alias("sentences"), F.min("doc_id").alias("first_doc"))
 
 
-QUERIES = {f.__name__: f for f in (axiom_parse, unit_canonicalize, query_signature, connected_support_search, pre_rank_features, rank_target, margin_pairs, continue_model, path_counts, title_mentions)}
+QUERIES = {f.__name__: f for f in (axiom_parse, unit_canonicalize, query_signature, connected_support_search, pre_rank_features, rank_target, margin_pairs, continue_model, text_chain_features, path_counts, title_mentions)}
 
 _AXIOMS = f"""
     {_FACTS}, axioms AS (SELECT 'SubClassOf( ' || replace(p_name, ' ', '_') || ' ' || string_split(p_name, ' ')[2] || ')' AS axiom, 'rule' AS kind, 'SubClassOf' AS predicate, replace(p_name, ' ', '_') AS subject, string_split(p_name, ' ')[2] AS object FROM part
@@ -148,6 +168,16 @@ ORACLE_SQL = {
     "pre_rank_features": f"WITH {_T}, asked AS (SELECT ex, unit FROM (SELECT ex, unit, row_number() OVER (PARTITION BY ex ORDER BY count(*) DESC, unit) AS k FROM units GROUP BY ex, unit) WHERE k <= 2), n AS (SELECT ex, count(*) AS n FROM asked GROUP BY ex), o AS (SELECT s.ex, s.cand, s.size, n.n, count(a.unit) AS both_n FROM sizes s JOIN n USING (ex) LEFT JOIN units u ON u.cand = s.cand LEFT JOIN asked a ON a.ex = s.ex AND a.unit = u.unit GROUP BY ALL) SELECT ex AS example, cand AS candidate, round(both_n / n, 6) AS overlap, round(both_n / n + CASE WHEN size = 0 THEN 0 ELSE 0.02::DOUBLE / size END, 6) AS lexical, round(both_n / n - 0.015::DOUBLE * greatest(size - 3, 0), 6) AS pre_rank FROM o",
     "rank_target": f"WITH {_B}, {_PREFIX}, {_CAND_ALTS} SELECT ex AS example, cand AS candidate, target, (target >= 0.9)::INTEGER AS label FROM targets",
     "margin_pairs": f"WITH {_B}, {_PREFIX}, {_CAND_ALTS}, k AS (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY target DESC, cand) AS u, row_number() OVER (PARTITION BY ex ORDER BY target, cand) AS d FROM targets), p AS (SELECT a.ex, a.cand AS better, b.cand AS worse, round(a.target - b.target, 6) AS gap, a.target AS high, b.target AS low FROM k a JOIN k b USING (ex) WHERE a.u <= 8 AND b.d <= 8 AND a.target > b.target) SELECT ex AS example, better, worse, gap, (CASE WHEN high >= 0.9 AND low > 0 THEN 2.0 WHEN high >= 0.9 THEN 3.0 WHEN low > 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY gap DESC, better, worse) AS n FROM p) WHERE n <= 16",
+    "text_chain_features": rf"""
+        WITH {_OVERLAP_SQL}, {SENTENCES_SQL}, top AS (SELECT item_id, doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS k FROM overlap) WHERE k <= 3),
+        q AS (SELECT item_id, {_tokens_sql('text')} AS asked, regexp_matches(regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g'), '\b(both|same|than|more|less|either|or)\b') AS compares FROM benchmark),
+        pool AS (SELECT t.item_id, t.doc_id, t.k, s.title, s.sent_idx, {_tokens_sql('s.sentence')} AS own, {_tokens_sql('s.title')} AS heads, q.asked, q.compares FROM sentences s JOIN top t USING (doc_id) JOIN q USING (item_id)),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY len(list_intersect(own, asked)) DESC, sent_idx) AS b FROM pool) WHERE b = 1),
+        pairs AS (SELECT a.item_id, count(*) AS n, sum(CASE WHEN list_has_any(a.heads, b.own) THEN 1 ELSE 0 END) AS hit FROM best a JOIN best b ON a.item_id = b.item_id AND a.doc_id <> b.doc_id WHERE len(a.heads) > 0 GROUP BY a.item_id),
+        v AS (SELECT item_id, count(*) AS size, count(DISTINCT title) AS titles, any_value(compares) AS compares, len(any_value(asked)) AS n_asked, len(list_intersect(any_value(asked), flatten(list(heads)))) AS ht, len(list_intersect(any_value(asked), flatten(list(own)))) AS ho FROM best GROUP BY item_id),
+        f AS (SELECT v.item_id, size, CASE WHEN n_asked = 0 THEN 0 ELSE ht / n_asked END AS question_title, CASE WHEN n_asked = 0 THEN 0 ELSE ho / n_asked END AS overlap, CASE titles WHEN 1 THEN 0.2 WHEN 2 THEN 0.8 ELSE 1.0 END::DOUBLE AS cross_page, coalesce(hit / n, 0) AS bridge, CASE WHEN NOT compares OR titles <= 1 THEN 0 WHEN titles = 2 THEN 0.65 WHEN titles = 3 THEN 0.85 ELSE 1 END::DOUBLE AS comparison, titles FROM v LEFT JOIN pairs USING (item_id))
+        SELECT item_id, size::INTEGER AS size, round(question_title::DOUBLE, 6) AS question_title, round(overlap::DOUBLE, 6) AS overlap, cross_page, round(bridge::DOUBLE, 6) AS bridge, comparison,
+        round((0.03 * question_title + 0.02 * overlap + 0.02 * cross_page + 0.025 * bridge + 0.02 * comparison - CASE WHEN size <= 2 THEN 0 WHEN size = 3 THEN 0.002 ELSE 0.004 END - CASE WHEN size >= 2 AND titles <= 1 THEN 0.01 ELSE 0 END)::DOUBLE, 6) AS adjustment FROM f""",
     "path_counts": f"WITH {_FACTS}, l AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region), l1 AS (SELECT root, s AS node, 1 AS depth FROM l JOIN facts ON o = node), l2 AS (SELECT root, s AS node, 2 AS depth FROM l1 JOIN facts ON o = node), l3 AS (SELECT root, s AS node, 3 AS depth FROM l2 JOIN facts ON o = node), every AS (SELECT * FROM l UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) SELECT root, depth::INTEGER AS depth, count(DISTINCT node) AS nodes, count(*) AS paths FROM every GROUP BY root, depth",
     "title_mentions": rf"WITH {SENTENCES_SQL}, t AS (SELECT page_id, {_PHRASE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages), s AS (SELECT doc_id, sent_idx, {_PHRASE.format('sentence')} AS text FROM sentences) SELECT page_id, count(*) AS sentences, min(doc_id) AS first_doc FROM t JOIN s ON contains(text, title) WHERE length(title) >= 5 GROUP BY page_id",
 }
