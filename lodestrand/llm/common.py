@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -60,3 +62,57 @@ def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def one(column) -> pa.Array:
     """A chunked column as one array."""
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) and column.num_chunks != 1 else column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries do it on their own
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """For a function of batches: what a task has freed goes back to the machine, as Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """The same for a function of a whole group."""
+
+    def wrapped(group):
+        try:
+            return run(group)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def tidy_pair(run):
+    """The same for a function of two groups."""
+
+    def wrapped(left, right):
+        try:
+            return run(left, right)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 12 << 20):
+    """The batch in runs of rows with about ``most`` bytes of text, one row at least."""
+    size = pc.fill_null(pc.binary_length(one(batch.column(column))), 0).to_numpy(zero_copy_only=False)
+    edge = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    i = 0
+    while i < batch.num_rows:
+        j = min(batch.num_rows, max(i + 1, int(np.searchsorted(edge, edge[i] + most, side="right")) - 1))
+        yield batch.slice(i, j - i)
+        i = j

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one, require
+from .common import one, require, slices, tidy
 
 #: The sample that the field is fitted on: documents of each language, characters of each, and documents in all.
 PER_LANGUAGE, EXCERPT, MOST = 600, 400, 12_000
@@ -211,11 +211,12 @@ def label_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_
     shape = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))])
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         model: Field = sent.value
         kept: dict[str, int] = {}
         store = np.zeros((0, len(model.labels)), np.float32)
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at)):
             texts = one(batch.column(at)).to_pylist()
             total, size = np.zeros((len(texts), len(model.labels))), np.zeros(len(texts), np.int64)
             part: list[tuple[int, list[str]]] = []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, one, require
+from .common import flat_words, one, require, slices, tidy
 
 #: Customary notices of each licence family; further wordings can be passed in their place.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -234,10 +234,11 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     shape = T.StructType([docs.schema[id_col], T.StructField("n_paragraphs", T.LongType()), T.StructField("licences", T.ArrayType(T.StringType())), T.StructField("found", T.ArrayType(hit))])
     kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("licence", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64())]))
 
+    @tidy
     def run(batches):
         own: Classifier = sent.value
         every = (*UNKNOWN, *(t for texts in templates.values() for t in texts))
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             lines, edges = paragraphs(one(batch.column(1)))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             names, codes, offsets = tokens(lines)

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, one, require, written
+from .common import flat_words, one, require, slices, tidy, written
 
 CAPACITY, END = 4096, 1
 #: Distinct words each Python worker keeps with their ids; further ones are encoded again in each batch.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 _PLAIN = r"^[a-zß-öø-ÿ]+$"
 
 
@@ -71,7 +71,8 @@ class WordIds:
         """For every text its ids, without special tokens."""
         words, offsets = flat_words(texts)
         coded = words.dictionary_encode()
-        chunks = pc.ascii_lower(coded.dictionary)
+        # lower case is the same to the vocabulary, but not in the strings of its special tokens
+        chunks = pc.if_else(pc.match_substring(coded.dictionary, "<|"), coded.dictionary, pc.ascii_lower(coded.dictionary))
         ends = pc.match_substring_regex(chunks, r"[a-zà-öø-ÿ][.,;:!?]+$")
         stems = pc.if_else(ends, pc.replace_substring_regex(chunks, r"[.,;:!?]+$", ""), chunks)
         tails = pc.if_else(ends, pc.replace_substring_regex(chunks, r"^.*?([.,;:!?]+)$", r"\1"), pa.scalar("", chunks.type))
@@ -109,9 +110,10 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, piece, start, length, crc) of every document: its ids and the end id, cut every ``capacity`` ids only."""
     path = path or vocabulary_path()
 
+    @tidy
     def run(batches):
         coder = _CODERS.get(path) or _CODERS.setdefault(path, WordIds(path))
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1, 16 << 20)):
             rows: list[tuple] = []
             for k, ids in enumerate(coder(pc.fill_null(one(batch.column(1)), ""))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

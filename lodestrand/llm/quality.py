@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, one, require
+from .common import flat_words, one, require, slices, tidy
 
 #: Rows that the scorer is fitted on, in the order of a hash; each reaches the driver as at most WIDTH feature counts.
 SAMPLE, WIDTH = 4_000, 1 << 12
@@ -69,6 +69,7 @@ LABELLERS = ("length", "symbols", "stop_words", "sentence_ends", "repeated_lines
 def labeller_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, votes): a character for each labeller, 0 bad, 1 good, 2 none; whole texts; a null text is an empty one."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             votes = ["".join(map(str, _votes(t or ""))) for t in one(batch.column(1)).to_pylist()]
@@ -187,8 +188,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     voted = labeller_votes(docs, id_col, text_col)
     model = fit_label_model({r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()})
 
+    @tidy
     def gather(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 0)):
             slots, codes, offsets = _coded(one(batch.column(0)))
             slot_rows, share_rows = [], []
             for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -205,8 +207,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     scorer = fit_scorer([(r["slots"], r["shares"], r["target"]) for r in rows if r["slots"]])
     sent = spark.sparkContext.broadcast((model, scorer))
 
+    @tidy
     def score(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             labels, scorer = sent.value
             texts = one(batch.column(1))
             votes = ["".join(map(str, _votes(t or ""))) for t in texts.to_pylist()]

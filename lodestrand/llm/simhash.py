@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one, require, written
+from .common import one, require, tidy, written
 from .components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -43,6 +43,7 @@ def _majority(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp long) for every row; whole texts, A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``; null text: zero."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts, out, part, n = one(batch.column(1)).cast(pa.binary()).to_pylist(), np.zeros(batch.num_rows, np.uint64), [], 0

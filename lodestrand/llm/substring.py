@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, one, require
+from .common import flat_words, one, require, tidy, tidy_group, tidy_pair
 
 WINDOW = 20
 STRIP_BYTES = 8 << 20
@@ -159,6 +159,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if j > i:
                 yield r, slice(i, j)
 
+    @tidy
     def deal(batches):
         for batch in batches:
             ids = one(batch.column(0))
@@ -167,6 +168,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found = np.unique(strip)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([_pack({n: one(c) for n, c in zip(whole.column_names, whole.filter(pa.array(strip == s)).columns, strict=True)}) for s in found], pa.large_binary())], names=["strip", "rows"])
 
+    @tidy_group
     def send(group: pa.Table) -> pa.Table:
         s, strip = group["strip"][0].as_py(), _Strip(group["rows"].to_pylist(), window, False)
         cut = np.uint64(64) - bits
@@ -176,6 +178,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             both[r][1] = _squeeze(blocks[x])
         return pa.table({"bin": pa.array(list(both), pa.int64()), "strip": pa.array([s] * len(both), pa.int64()), "probes": pa.array([x[0] for x in both.values()], pa.binary()), "blocks": pa.array([x[1] for x in both.values()], pa.binary())})
 
+    @tidy_group
     def probe(group: pa.Table) -> pa.Table:
         strips = group["strip"].to_pylist()
         blocks = [_swell(b) for b in group["blocks"].to_pylist()]
@@ -194,6 +197,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((s, _squeeze(hits)))
         return pa.table({"strip": pa.array([x[0] for x in out], pa.int64()), "hits": pa.array([x[1] for x in out], pa.binary())})
 
+    @tidy_pair
     def widen(left: pa.Table, right: pa.Table) -> pa.Table:
         nothing = pa.table({"bin": pa.array([], pa.int64()), "strip": pa.array([], pa.int64()), "full": pa.array([], pa.binary()), "check": pa.array([], pa.binary())})
         if not left.num_rows or not right.num_rows:
@@ -207,6 +211,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = [(r, _squeeze(full[x]), _plain(check[x])) for r, x in ranges(full, 64)]
         return pa.table({"bin": pa.array([x[0] for x in out], pa.int64()), "strip": pa.array([s] * len(out), pa.int64()), "full": pa.array([x[1] for x in out], pa.binary()), "check": pa.array([x[2] for x in out], pa.binary())})
 
+    @tidy_group
     def earlier(group: pa.Table) -> pa.Table:
         parts = [(s, _swell(f), _raw(c).view(np.uint64)) for s, f, c in zip(group["strip"].to_pylist(), group["full"].to_pylist(), group["check"].to_pylist(), strict=True)]
         full, check = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
@@ -221,6 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((int(s), _squeeze(full[mine]), _plain(check[mine])))
         return pa.table({"strip": pa.array([x[0] for x in out], pa.int64()), "full": pa.array([x[1] for x in out], pa.binary()), "check": pa.array([x[2] for x in out], pa.binary())})
 
+    @tidy_pair
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         strip = _Strip(left["rows"].to_pylist(), window, True) if left.num_rows else None
         if strip is None:

@@ -233,7 +233,7 @@ def test_word_ids_on_odd_texts():
     from tokenizers import Tokenizer
 
     tokenizer, own = Tokenizer.from_file(packing.vocabulary_path()), packing.WordIds(packing.vocabulary_path())
-    texts = ["it's we'll 'sup", "a.b,c!", "end.”", "été. İx.", "x​y", "ǅ ß ſt", "a b.", "<|endoftext|> a<|startoftext|>b", "don't.", "1,000.50", "abc...!?", "...", "naïve.", "日本語。テスト", "́.", "KK."]
+    texts = ["it's we'll 'sup", "a.b,c!", "end.”", "été. İx.", "x​y", "ǅ ß ſt", "a b.", "<|endoftext|> a<|startoftext|>b", "<|EndOfText|> X<|endoftext|>Y.", "don't.", "1,000.50", "abc...!?", "...", "naïve.", "日本語。テスト", "́.", "KK."]
     for _ in range(2):
         assert [x.tolist() for x in own(pa.array(texts, pa.string()))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
