@@ -12,7 +12,7 @@ from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import rules as U
-from ..sources.tables import sentences, table
+from ..sources.tables import candidates, gold, mutated_gold, sentences, table
 from .texts import _OVERLAP_SQL, SENTENCES_SQL, _tokens_sql, question_overlap
 
 
@@ -200,13 +200,17 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.select("doc_id", "lang", split.alias("split"))
 
 
-def gold_mutation_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rankings computed with and without gold columns beside them are the same rows."""
-    from .supports import rank_candidates
+def _ranked_beside_gold(spark: SparkSession, sf_dir: str, lineitem: DataFrame, generate, ranking) -> DataFrame:
+    """The ranking of candidates made from ``lineitem``, with the gold made from it in reach as the column ``golds``."""
+    pool = generate(spark, sf_dir, lineitem=lineitem).join(gold(spark, sf_dir, lineitem), "example", "left")
+    return ranking(pool).select("example", "candidate", "rank", "score", "units")
 
-    ranked = rank_candidates(spark, sf_dir)
-    touched = ranked.withColumn("label", F.lit(1))
-    again = C.gold_free(touched, ("example", "candidate", "rank", "size"))
+
+def gold_mutation_invariance(spark: SparkSession, sf_dir: str, generate=candidates, ranking=R.rank) -> DataFrame:
+    """Candidates are made and ranked twice, from lines as given and from lines with mutated gold: rows that differ, and rows."""
+    lines = table(spark, sf_dir, "lineitem")
+    ranked = _ranked_beside_gold(spark, sf_dir, lines, generate, ranking)
+    again = _ranked_beside_gold(spark, sf_dir, mutated_gold(lines), generate, ranking)
     each = C.same_rows(ranked, again).select(F.lit(1).alias("differs")).union(ranked.select(F.lit(0)))
     return each.agg(F.sum("differs").alias("differences"), F.count_if(F.col("differs") == 0).alias("rows"))
 

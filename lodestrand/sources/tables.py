@@ -23,22 +23,26 @@ def sentences(docs: DataFrame) -> DataFrame:
     return clean.select("doc_id", "title", "lang", "sent_idx", "sentence", X.sentence_unit(F.col("title"), F.col("sent_idx"), F.col("sentence")).alias("unit"))
 
 
-def candidates(spark: SparkSession, sf_dir: str, unit: str = "p_brand") -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, unit: str = "p_brand", lineitem: DataFrame | None = None) -> DataFrame:
     """(example, candidate, score, units): the orders of a customer, by price, with the ``unit`` values of their lines.
 
-    Units are distinct, in the order of line, part and supplier. An order without lines has none.
+    Units are distinct, in the order of line, part and supplier. An order without lines has none. ``lineitem`` stands in
+    for the given table.
     """
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", F.col(unit).alias("unit")), F.col("l_partkey") == F.col("p_partkey"))
+    lines = (table(spark, sf_dir, "lineitem") if lineitem is None else lineitem).join(table(spark, sf_dir, "part").select("p_partkey", F.col(unit).alias("unit")), F.col("l_partkey") == F.col("p_partkey"))
     own = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "unit"))).alias("lines"))
     units = own.select("l_orderkey", F.array_distinct(F.col("lines.unit")).alias("units"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("example"), F.col("o_orderkey").alias("candidate"), F.col("o_totalprice").alias("score"))
     return orders.join(units, orders["candidate"] == units["l_orderkey"], "left").select("example", "candidate", "score", F.coalesce("units", F.array().cast("array<string>")).alias("units"))
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(example, golds): up to two alternatives for a customer, brands of lines with a high discount, returned or accepted."""
+def gold(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """(example, golds): up to two alternatives for a customer, brands of lines with a high discount, returned or accepted.
+
+    ``lineitem`` stands in for the given table.
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("example"))
-    lines = table(spark, sf_dir, "lineitem").where((F.col("l_discount") >= 0.08) & F.col("l_returnflag").isin("R", "A"))
+    lines = (table(spark, sf_dir, "lineitem") if lineitem is None else lineitem).where((F.col("l_discount") >= 0.08) & F.col("l_returnflag").isin("R", "A"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     each = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("example", "l_returnflag").agg(F.array_sort(F.collect_set("p_brand")).alias("units"))
     pick = lambda flag: F.max(F.when(F.col("l_returnflag") == flag, F.col("units")))
@@ -46,6 +50,14 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("example", F.filter(F.array("first", "second"), lambda x: x.isNotNull()).alias("golds"))
 
 
+def mutated_gold(lineitem: DataFrame) -> DataFrame:
+    """``lineitem`` with other values in the columns that only gold reads: gold lines leave it, all others enter it."""
+    golden = F.coalesce((F.col("l_discount") >= 0.08) & F.col("l_returnflag").isin("R", "A"), F.lit(False))
+    discount = F.when(golden, 0.0).otherwise(0.1).cast(lineitem.schema["l_discount"].dataType)
+    flag = F.when(golden, "N").otherwise(F.when(F.col("l_linenumber") % 2 == 0, "R").otherwise("A"))
+    return lineitem.withColumns({"l_discount": discount, "l_returnflag": flag})
+
+
 def grains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example, dataset, domain): a customer's market segment and region."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")

@@ -119,3 +119,16 @@ def test_digest_ignores_order_and_sees_changes(spark):
 def test_auc(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1)], "y int, s double")
     assert M.roc_auc(df, "y", "s").first()["auc"] == 0.875
+
+
+@pytest.mark.parametrize("leak", ["ranking", "generation"])
+def test_gold_mutation_finds_a_leak(spark, sf_dir, leak):
+    from lodestrand.jobs.graphs import gold_mutation_invariance
+    from lodestrand.sources.tables import candidates, gold, mutated_gold, table
+
+    lines = table(spark, sf_dir, "lineitem")
+    assert C.same_rows(gold(spark, sf_dir), gold(spark, sf_dir, mutated_gold(lines))).count() > 0
+    asks_gold = lambda pool: R.rank(pool.withColumn("score", F.col("score") + 1e6 * F.coalesce(F.size(F.array_intersect("units", F.col("golds")[0])), F.lit(0))))
+    returned = lambda spark, sf_dir, lineitem: candidates(spark, sf_dir, lineitem=lineitem.where("l_returnflag <> 'N'"))
+    found = gold_mutation_invariance(spark, sf_dir, **({"ranking": asks_gold} if leak == "ranking" else {"generate": returned})).first()
+    assert found["differences"] > 0
