@@ -40,8 +40,8 @@ def _majority(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp long) for every row; whole texts, A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``; null text: zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp long, columns ``beside``) for every row; whole texts, A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``; null text: zero."""
 
     @tidy
     def run(batches):
@@ -63,11 +63,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         flush()
                         n = 0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *beside])
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType()), *(docs.schema[c] for c in beside)])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *beside).mapInArrow(run, schema)
 
 
 def _cells(fp: np.ndarray) -> np.ndarray:
@@ -173,10 +173,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return own.join(classes.join(names, "root").select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one of each near-duplicate group stays: that of the smallest id.
 
-    Of rows that repeat this id, one stays.
+    Groups are told apart by the root of their fingerprints, not by ids, which may be null or repeated. Null ids come
+    last; of unlike texts of the smallest id the one with the least hash stays, of equal rows one.
     """
-    kept = simhash_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    require(docs, id_col, text_col)
+    keys = ("__a", "__b")  # 128 bits of the id and the text of a row
+    row = (F.isnull(id_col), F.col(id_col), F.isnull(text_col), F.col(text_col))
+    keyed = docs.withColumns({"__a": F.xxhash64(*row), "__b": F.xxhash64(F.lit("row"), *row)})
+    own = written(fingerprints(keyed, id_col, text_col, shingle, keys), "simhash")
+    roots = connected_components(near_links(own, radius))
+    each = own.groupBy("fp").agg(F.min(F.struct(F.isnull("id").alias("last"), "id", *keys)).alias("least"))
+    groups = each.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    return keyed.join(groups.select("least.__a", "least.__b"), [*keys], "left_semi").dropDuplicates([*keys]).select(*docs.columns)

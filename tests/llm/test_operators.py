@@ -305,6 +305,16 @@ def test_simhash(docs, empty):
     assert collected(kept, "doc_id") == sorted({(c,) for c in parts}, key=repr)
 
 
+def test_keep_one_by_row_where_ids_are_null_or_repeated(spark):
+    a, b, c, d = ("alpha beta gamma delta", "one two three four five", "red green blue white", "lorem ipsum dolor sit amet")
+    assert all((simhash.fingerprint(x.encode().split()) ^ simhash.fingerprint(y.encode().split())).bit_count() > 2 for x in (a, b, c, d) for y in (a, b, c, d) if x != y)
+    rows = [(None, a, "n1"), (None, b, "n2"), (None, b, "n2"), (1, c, "r1"), (0, c, "r0"), (1, d, "r2"), (None, d, "n3"), (2, None, "e2"), (2, "", "e3")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept if r["text"]), key=repr) == sorted([(None, a), (None, b), (0, c), (1, d)], key=repr)
+    assert [r["doc_id"] for r in kept if not r["text"]] == [2]
+    assert all(tuple(r) in rows for r in kept)
+
+
 @pytest.mark.parametrize("tile", [2048, 3])
 def test_near_links_span_all_pairs(spark, tile):
     rng = random.Random(4)
