@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,6 +111,17 @@ class Classifier:
             n = sum(np.maximum(0, size - k) for k in range(LONGEST))
         return (total / np.sqrt(np.maximum(n, 1))[:, None] + self.bias) / self.heat
 
+    def span_logits(self, names: list[str], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Logits of the spans of words from ``starts`` to ``ends``, which may overlap: differences of running sums."""
+        total, size = np.zeros((len(starts), len(self.classes))), ends - starts
+        for n, (index, _) in enumerate(grams(names, codes, np.array([0, len(codes)])), 1):
+            summed = np.zeros((len(index) + 1, len(self.classes)))
+            np.cumsum(self.weights[index], axis=0, dtype=np.float64, out=summed[1:])
+            has = size >= n
+            total[has] += summed[ends[has] - n + 1] - summed[starts[has]]
+        n = sum(np.maximum(0, size - k) for k in range(LONGEST))
+        return (total / np.sqrt(np.maximum(n, 1))[:, None] + self.bias) / self.heat
+
     def probabilities(self, texts: list[str]) -> np.ndarray:
         z = self.logits(*tokens(pa.array(texts, pa.large_string())))
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -190,25 +202,56 @@ def fit(plain: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, see
     return Classifier(classes, w.astype(np.float32), b, min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss))
 
 
-def _pairs(text: str) -> set[tuple[str, ...]]:
+def _words(text: str) -> list[str]:
     names, codes, _ = tokens(pa.array([text], pa.large_string()))
-    words = [names[k] for k in codes]
+    return [names[k] for k in codes]
+
+
+def _pairs(words: list[str]) -> set[tuple[str, ...]]:
     return set(zip(words, words[1:], strict=False)) or {tuple(words)}
 
 
-def likeness(text: str, templates: tuple[str, ...]) -> float:
-    """The largest share of a template's word pairs that the text has."""
-    own = _pairs(text)
-    return max((len(own & p) / len(p) for t in templates if (p := _pairs(t))), default=0.0)
+def likeness(own: set[tuple[str, ...]], templates: list[set[tuple[str, ...]]]) -> tuple[float, int]:
+    """The largest share of a template's word pairs that ``own`` has, and the number of these pairs."""
+    return max(((n / len(p), n) for p in templates for n in (len(own & p),)), default=(0.0, 0))
+
 
+def paragraphs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The lines of texts that aren't blank, the paragraph of each, and the offsets of texts in paragraphs.
 
-def paragraphs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lines of texts that aren't blank, and the offsets of texts in them."""
+    A paragraph is a run of lines that no blank line parts.
+    """
     lists = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), "\n")
     offsets = lists.offsets.to_numpy().astype(np.int64)
     lines = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
     full = pc.greater(pc.binary_length(pc.utf8_trim_whitespace(lines)), 0).to_numpy(zero_copy_only=False)
-    return lines.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+    after = np.concatenate([[False], full[:-1]]) if len(full) else full
+    after[offsets[:-1][np.diff(offsets) > 0]] = False
+    first = full & ~after
+    return lines.filter(pa.array(full)), np.cumsum(first)[full] - 1, np.concatenate([[0], np.cumsum(first)])[offsets]
+
+
+def reach(offsets: np.ndarray, block: np.ndarray, most: int) -> np.ndarray:
+    """For every line the last line of its paragraph that a template of ``most`` words can meet which starts in it."""
+    own = np.arange(len(block))
+    far = np.clip(np.searchsorted(offsets[1:], offsets[1:] + most - 1), own, np.searchsorted(block, block, side="right") - 1)
+    return np.where(np.diff(offsets) > 0, far, own)
+
+
+def _settled(hits: list[tuple]) -> list[tuple]:
+    """Of the hits (first line, last line, licence, pairs, ...) of a paragraph those that stay, by their lines.
+
+    Families come before ``unknown``, those with more of a template's pairs and fewer lines first. A hit stays unless its lines meet
+    those of one that stays; two families may share lines if neither's lines are all within the other's.
+    """
+    kept: list[tuple] = []
+    for h in sorted(hits, key=lambda h: (h[2] == UNKNOWN_LICENCE, -h[3] if h[2] != UNKNOWN_LICENCE else 0, h[1] - h[0], h[0])):
+        meets = [k for k in kept if h[0] <= k[1] and k[0] <= h[1]]
+        within = any((k[0] <= h[0] and h[1] <= k[1]) or (h[0] <= k[0] and k[1] <= h[1]) for k in meets)
+        if not meets or (h[2] != UNKNOWN_LICENCE and not within and all(k[2] != h[2] for k in meets)):
+            kept.append(h)
+    return sorted(kept)
 
 
 def fit_on(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Classifier:
@@ -222,9 +265,11 @@ def fit_on(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", samp
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, detect: float = DETECT, certain: float = CERTAIN, confirm: float = CONFIRM) -> DataFrame:
     """For every row: id_col, n_paragraphs long, licences array<string> (sorted, distinct), found array of (paragraph, licence, probability, likeness).
 
-    Paragraphs are the lines that aren't blank, of whole texts. One counts as a licence if all classes but ``none``
+    Paragraphs are the runs of lines between blank lines, of whole texts. Every line of one, and every span of lines from it on that
+    the longest template can meet, is classified. A span counts as a licence if all classes but ``none``
     have ``detect`` or more of the probability. Its family is the likeliest class if that has ``certain`` or more of the rest and the
-    paragraph holds ``confirm`` or more of a template's word pairs; else it is ``unknown``, or no licence if it has less than HINT of the word pairs of any wording. paragraph is its number from 0.
+    span holds ``confirm`` or more of a template's word pairs; else it is ``unknown``, or no licence if it has less than HINT of the word pairs of any wording.
+    Of spans that overlap one is told (see ``_settled``). paragraph is its number from 0.
     Null, empty and blank texts have no paragraphs. Rows that repeat each give a row; an empty table gives no rows; other
     columns are ignored.
     """
@@ -237,28 +282,38 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     @tidy
     def run(batches):
         own: Classifier = sent.value
-        every = (*UNKNOWN, *(t for texts in templates.values() for t in texts))
+        known = {name: [_pairs(_words(t)) for t in texts] for name, texts in templates.items()}
+        every = [*(_pairs(_words(t)) for t in UNKNOWN), *(p for pairs in known.values() for p in pairs)]
+        most = max(math.ceil(len(_words(t)) / confirm) for texts in (UNKNOWN, *templates.values()) for t in texts)  # room for words put in
         for batch in (part for b in batches for part in slices(b, 1)):
-            lines, edges = paragraphs(one(batch.column(1)))
+            lines, block, tops = paragraphs(one(batch.column(1)))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            hits: dict[int, list[tuple]] = {}
             names, codes, offsets = tokens(lines)
+            far = reach(offsets, block, most)
+            n_spans = np.concatenate([[0], np.cumsum(far - np.arange(len(far)) + 1)])
             i = 0
             while i < len(lines):
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + 200_000, side="right")) - 1)
-                z = own.logits(names, codes[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                j = max(i + 1, min(int(np.searchsorted(x, x[i] + 200_000, side="right")) - 1 for x in (offsets, n_spans)))
+                first = np.repeat(np.arange(i, j), np.diff(n_spans[i : j + 1]))
+                last = first + np.arange(n_spans[i], n_spans[j]) - n_spans[first]
+                low, starts, ends = offsets[i], offsets[first], offsets[last + 1]
+                z = own.span_logits(names, codes[low : ends.max()], starts - low, ends - low)
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 for k in np.flatnonzero(p[:, 0] <= 1 - detect).tolist():
                     best = 2 + int(p[k, 2:].argmax())
-                    text, share = lines[i + k].as_py(), float(p[k, best] / (1 - p[k, 0]))
-                    like = likeness(text, templates[own.classes[best]])
+                    pairs, share = _pairs([names[c] for c in codes[starts[k] : ends[k]]]), float(p[k, best] / (1 - p[k, 0]))
+                    like, n = likeness(pairs, known[own.classes[best]])
                     sure = share >= certain and like >= confirm
-                    if not sure and max(like, likeness(text, every)) < HINT:
+                    if not sure and max(like, likeness(pairs, every)[0]) < HINT:
                         continue
-                    doc = int(np.searchsorted(edges, i + k, side="right")) - 1
-                    found[doc].append({"paragraph": i + k - int(edges[doc]), "licence": own.classes[best] if sure else UNKNOWN_LICENCE, "probability": float(1 - p[k, 0]) if not sure else float(p[k, best]), "likeness": like})
+                    hits.setdefault(int(block[first[k]]), []).append((int(first[k]), int(last[k]), own.classes[best] if sure else UNKNOWN_LICENCE, n, float(1 - p[k, 0]) if not sure else float(p[k, best]), like))
                 i = j
+            for k, each in sorted(hits.items()):
+                doc = int(np.searchsorted(tops, k, side="right")) - 1
+                found[doc] += [{"paragraph": k - int(tops[doc]), "licence": h[2], "probability": h[4], "likeness": h[5]} for h in _settled(each)]
             licences = [sorted({x["licence"] for x in f}) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges), pa.int64()), pa.array(licences, pa.list_(pa.string())), pa.array(found, kind)], names=[f.name for f in shape.fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(tops), pa.int64()), pa.array(licences, pa.list_(pa.string())), pa.array(found, kind)], names=[f.name for f in shape.fields])
 
     return docs.select(id_col, text_col).mapInArrow(run, shape)

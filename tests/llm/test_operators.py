@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -440,6 +441,21 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty, model).count() == 0 and license_scan.fit_on(empty).classes[0] == "none"
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+@pytest.mark.parametrize("width", [20, 40, 80])
+def test_license_scan_of_wrapped_notices(spark, width, mark):
+    model = license_scan.fit([prose(15) for _ in range(300)])
+    notices = [(name, t) for name, own in license_scan.TEMPLATES.items() for t in own if len(t) > width]
+    blocks = ["\n".join(mark + x for x in textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False)) for _, t in notices]
+    rng, around = random.Random(2), []
+    for b in blocks:
+        around += [b, f"{prose(30, rng=rng)}\n\n{b}\n\n{prose(30, rng=rng)}", f"{mark}{prose(8, rng=rng)}\n{b}\n{mark}{prose(8, rng=rng)}"]
+    found = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(around)), "doc_id long, text string"), model).collect()}
+    wrong = [(name, k % 3, found[k]["licences"]) for k, (name, _) in enumerate(n for n in notices for _ in range(3)) if found[k]["licences"] != [name]]
+    assert not wrong, wrong
+    assert all(found[k]["n_paragraphs"] == (3 if k % 3 == 1 else 1) for k in found)
+
+
 def test_digest_of_kept_words(docs):
     from pyspark.sql import functions as F
 
