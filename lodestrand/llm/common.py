@@ -11,7 +11,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -21,22 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; in local mode alone a temporary one is set where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as Parquet in the shared folder and read back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sample_below(n: int | float, size: int) -> float:
+    """The share of the unit interval below which ``n`` uniform hashes are expected to leave ``size`` and some to spare.
+
+    A row is in a sample if its hash is below this, so no task and no driver orders all rows; the spare (over four
+    standard deviations) is cut off afterwards, first in the order of the hash.
+    """
+    return 1.0 if n <= 0 else min(1.0, (size + 5 * size**0.5 + 10) / n)
+
+
+def unit_hash(*columns) -> Column:
+    """A hash of columns as a number from 0 to below 1."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
+
+
+def without(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` less the columns that an operator is about to add, so that names stay unique."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns))
+
+
 def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

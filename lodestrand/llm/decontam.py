@@ -102,6 +102,6 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, as they are, in which no benchmark window occurs."""
-    hits = find_hits(docs, items, id_col, text_col, **how).select("doc", "tkey").distinct()
-    return docs.join(hits, F.col(id_col).eqNullSafe(F.col("doc")) & (F.xxhash64(text_col) == F.col("tkey")), "left_anti")
+    """The rows of ``docs``, as they are, in which no benchmark window occurs; null and empty texts stay, and columns of any name."""
+    hits = find_hits(docs, items, id_col, text_col, **how).select(F.struct("doc", "tkey").alias("hit")).distinct()
+    return docs.alias("d").join(hits.alias("h"), F.col(f"d.{id_col}").eqNullSafe(F.col("h.hit.doc")) & (F.xxhash64(f"d.{text_col}") == F.col("h.hit.tkey")), "left_anti")

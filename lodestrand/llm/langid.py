@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one, require, slices, tidy
+from .common import one, require, sample_below, slices, tidy, unit_hash, without
 
 #: The sample that the field is fitted on: documents of each language, characters of each, and documents in all.
 PER_LANGUAGE, EXCERPT, MOST = 600, 400, 12_000
@@ -188,23 +188,35 @@ def fit(rows: list[tuple[str, str]], seed: int = 0, rounds: int = 60, segment: i
 def fit_on(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: str = "doc_id", per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT, most: int = MOST, seed: int = 0) -> Field:
     """Fits on an excerpt of ``excerpt`` characters, from a hashed place, of ``per_language`` hashed rows of each language.
 
-    That is the documented sample; no more than ``most`` rows reach the driver.
+    That is the documented sample; ``most`` rows in all, shared evenly if there are many languages, reach the driver. Rows
+    are chosen by comparing their hash with a bound that follows from the number of rows of their language, so no task
+    gathers a language; rows that repeat an id count once.
     """
-    from pyspark.sql import Window
-
     h = F.xxhash64(F.lit(seed), F.col(order), F.col(lang_col))
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), h.alias("h"), F.substring(F.col(text_col), (F.pmod(h, F.greatest(F.length(text_col) - excerpt, F.lit(1))) + 1).cast("int"), F.lit(excerpt)).alias("text"))
-    rows = known.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_language).orderBy("k", "lang").limit(most).collect()
-    return fit([(r["text"], r["lang"]) for r in rows], seed)
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), h.alias("h"), F.col(text_col).alias("text"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not counts:
+        return fit([], seed)
+    size = max(1, min(per_language, most // len(counts)))
+    bounds = docs.sparkSession.createDataFrame([(lang, sample_below(n, size)) for lang, n in counts.items()], "lang string, below double")
+    place = (F.pmod("h", F.greatest(F.length("text") - excerpt, F.lit(1))) + 1).cast("int")
+    chosen = known.join(F.broadcast(bounds), "lang").where(unit_hash("h") < F.col("below")).select("lang", "h", F.substring("text", place, F.lit(excerpt)).alias("text"))
+    rows = chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    taken: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["text"])):
+        taken.setdefault(r["lang"], []).append(r["text"])
+    return fit([(text, lang) for lang in sorted(taken) for text in taken[lang][:size]], seed)
 
 
 def label_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` plus lang_pred string, score double, shares map of language to share.
+    """All rows and columns of ``docs`` plus lang_pred string, score double, shares map of language to share (in place of such columns).
 
     A share is the mean posterior of a language over the words of the whole text; lang_pred has the largest (ties: the
     first in alphabetical order) and score is its share. A null text or one without a letter is ``und`` with score 0 and
-    no shares. An empty table gives no rows.
+    no shares. Rows that repeat each give a row; texts of any length are read whole, a very long one by one task. An empty
+    table gives no rows.
     """
+    docs = without(docs, "lang_pred", "score", "shares")
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(field)  # fixed size: WIDTH weights for each language

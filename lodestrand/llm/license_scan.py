@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, one, require, slices, tidy
+from .common import flat_words, one, require, sample_below, slices, tidy, unit_hash
 
 #: Customary notices of each licence family; further wordings can be passed in their place.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -57,7 +57,7 @@ SAMPLE, PARAGRAPH = 2_000, 400
 #: The weight of text without a licence in training: words never seen leave a paragraph with it.
 PLAIN_SHARE = 0.7
 WIDTH, LONGEST = 1 << 15, 3
-DETECT, CERTAIN, CONFIRM, HINT = 0.7, 0.5, 0.8, 0.3
+DETECT, CERTAIN, CONFIRM, HINT = 0.7, 0.3, 0.8, 0.3
 _TRIM = "\"'`.,;:!?()[]{}<>*#-_/|"
 _MIX, _MIX2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -148,19 +148,20 @@ def _variants(text: str, random: np.random.Generator, n: int) -> list[str]:
 def fit(plain: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, seed: int = 0, rounds: int = 120) -> Classifier:
     """Trains on variants of the templates, on wordings of unknown licences, and on ``plain`` paragraphs as text without one.
 
-    A fifth is held out; the heat that divides the logits is the one under which it is most likely, so that
-    probabilities are calibrated.
+    Plain paragraphs that hold most of a wording's word pairs are left out, as they aren't plain. For calibration a first
+    fit goes without a fifth of the wordings, with all their variants: the heat that divides the logits is the one under
+    which these unseen wordings are most likely. The second fit learns from all.
     """
     random = np.random.default_rng(seed)
     classes = [NO_LICENCE, UNKNOWN_LICENCE, *templates]
-    known = {t.lower() for own in templates.values() for t in own}
-    rows = [(t, 0) for t in plain if t.strip().lower() not in known] + [(v, 0) for t in OTHER for v in _variants(t, random, 20)] + [("", 0)]
-    rows += [(v, 0) for t in plain for v in (*_variants(t, random, 1)[3:], *t.split()[:1])]
-    rows += [(w, 0) for w in _AROUND for _ in range(5)] + [(f"{a} {b}", 0) for a in _AROUND for b in _AROUND]
-    rows += [(v, 1) for t in UNKNOWN for v in _variants(t, random, 30)]
-    rows += [(v, k) for k, own in enumerate(templates.values(), 2) for t in own for v in _variants(t, random, 30)]
-    names, codes, offsets = tokens(pa.array([t for t, _ in rows], pa.large_string()))
-    target = np.array([k for _, k in rows])
+    wordings = [_pairs(_words(t)) for own in (*templates.values(), UNKNOWN) for t in own]
+    plain = [t for t in plain if likeness(_pairs(_words(t)), wordings)[0] < CONFIRM]
+    families: list[tuple[int, list[str]]] = [(0, [t, *_variants(t, random, 1)[3:], *t.split()[:1]]) for t in plain]  # class, a wording's variants
+    families += [(0, _variants(t, random, 20)) for t in OTHER] + [(0, [*[a] * 5, *(f"{a} {b}" for b in _AROUND)]) for a in _AROUND] + [(0, [""])]
+    families += [(k, _variants(t, random, 30)) for k, own in enumerate((UNKNOWN, *templates.values()), 1) for t in own]
+    rows = [(v, k, n) for n, (k, own) in enumerate(families) for v in own]
+    names, codes, offsets = tokens(pa.array([t for t, _, _ in rows], pa.large_string()))
+    target, wording = (np.array([r[k] for r in rows]) for k in (1, 2))
     size = np.diff(offsets)
     owner = np.repeat(np.arange(len(rows)), size)
     parts = [(index[fits], owner[: len(index)][fits]) for index, fits in grams(names, codes, offsets)]
@@ -168,37 +169,43 @@ def fit(plain: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, see
     order = np.argsort(of, kind="stable")
     index, of = index[order], of[order]
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(of, minlength=len(rows))))
-    learn = random.random(len(rows)) > 0.2
     mass = np.where(np.arange(len(classes)) == 0, PLAIN_SHARE, (1 - PLAIN_SHARE) / (len(classes) - 1))
-    weight = (mass / np.maximum(1, np.bincount(target[learn], minlength=len(classes))))[target] * learn
-    w, b = np.zeros((WIDTH, len(classes))), np.zeros(len(classes))
-    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     begin, has = np.flatnonzero(np.diff(of, prepend=-1)), np.unique(of)
 
-    def logits() -> np.ndarray:
-        z = np.zeros((len(rows), len(classes)))
-        if len(index):
-            z[has] = np.add.reduceat(w[index], begin, axis=0)
-        return z * scale[:, None] + b
-
-    for r in range(1, rounds + 1):
-        z = logits()
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(rows)), target] -= 1
-        p *= weight[:, None]
-        g = np.stack([np.bincount(index, (p[:, k] * scale)[of], WIDTH) for k in range(len(classes))], axis=1) + 1e-5 * w
-        for x, d, m, s in ((w, g, state[0], state[1]), (b, p.sum(axis=0), state[2], state[3])):
-            m += 0.1 * (d - m)
-            s += 0.01 * (d * d - s)
-            x -= 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(s / (1 - 0.99**r)) + 1e-8)
-    z, t = logits()[~learn], target[~learn]
+    def train(learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights, bias, and the logits of all rows, from the rows of ``learn``, by full-batch steps of Adam."""
+        weight = (mass / np.maximum(1, np.bincount(target[learn], minlength=len(classes))))[target] * learn
+        w, b = np.zeros((WIDTH, len(classes))), np.zeros(len(classes))
+        state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
+
+        def logits() -> np.ndarray:
+            z = np.zeros((len(rows), len(classes)))
+            if len(index):
+                z[has] = np.add.reduceat(w[index], begin, axis=0)
+            return z * scale[:, None] + b
+
+        for r in range(1, rounds + 1):
+            z = logits()
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(rows)), target] -= 1
+            p *= weight[:, None]
+            g = np.stack([np.bincount(index, (p[:, k] * scale)[of], WIDTH) for k in range(len(classes))], axis=1) + 1e-5 * w
+            for x, d, m, s in ((w, g, state[0], state[1]), (b, p.sum(axis=0), state[2], state[3])):
+                m += 0.1 * (d - m)
+                s += 0.01 * (d * d - s)
+                x -= 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(s / (1 - 0.99**r)) + 1e-8)
+        return w, b, logits()
+
+    learn = (random.random(wording.max() + 1) > 0.2)[wording]
+    z, t = train(learn)[2][~learn], target[~learn]
 
     def loss(heat: float) -> float:
         y = z / heat
         y -= y.max(axis=1, keepdims=True)
         return float(-(y[np.arange(len(t)), t] - np.log(np.exp(y).sum(axis=1))).mean()) if len(t) else 0.0
 
+    w, b, _ = train(np.ones(len(rows), bool))
     return Classifier(classes, w.astype(np.float32), b, min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss))
 
 
@@ -255,11 +262,16 @@ def _settled(hits: list[tuple]) -> list[tuple]:
 
 
 def fit_on(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Classifier:
-    """``fit`` with one paragraph, cut at PARAGRAPH characters, of each of ``sample`` documents, first in a hash order."""
+    """``fit`` with one paragraph, cut at PARAGRAPH characters, of each of ``sample`` documents, first in a hash order.
+
+    Documents are chosen by comparing their hash with a bound that follows from their number, so next to no more than
+    the sample reaches the driver; rows that repeat an id count once.
+    """
     lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.length(F.trim(x)) > 0)
-    h = F.xxhash64(F.lit("licence"), F.col(id_col))
-    rows = docs.select(h.alias("h"), F.col(text_col)).where(F.length(text_col) > 0).withColumn("p", F.get(lines, F.pmod("h", F.greatest(F.size(lines), F.lit(1))).cast("int")))
-    return fit([r["p"] for r in rows.select("h", F.substring("p", 1, PARAGRAPH).alias("p")).orderBy("h", "p").limit(sample).collect() if r["p"]], templates)
+    own = docs.where(F.length(text_col) > 0).select(F.xxhash64(F.lit("licence"), F.col(id_col)).alias("h"), F.col(text_col))
+    chosen = own.where(unit_hash("h") < sample_below(own.count(), sample)).select("h", F.substring(F.get(lines, F.pmod("h", F.greatest(F.size(lines), F.lit(1))).cast("int")), 1, PARAGRAPH).alias("p"))
+    rows = sorted((r["h"], r["p"]) for r in chosen.where(F.length("p") > 0).groupBy("h").agg(F.min("p").alias("p")).collect())
+    return fit([p for _, p in rows[:sample]], templates)
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, detect: float = DETECT, certain: float = CERTAIN, confirm: float = CONFIRM) -> DataFrame:
@@ -270,7 +282,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     have ``detect`` or more of the probability. Its family is the likeliest class if that has ``certain`` or more of the rest and the
     span holds ``confirm`` or more of a template's word pairs; else it is ``unknown``, or no licence if it has less than HINT of the word pairs of any wording.
     Of spans that overlap one is told (see ``_settled``). paragraph is its number from 0.
-    Null, empty and blank texts have no paragraphs. Rows that repeat each give a row; an empty table gives no rows; other
+    Null, empty and blank texts have no paragraphs; a very long text is read whole, by one task. Rows that repeat each give a row; an empty table gives no rows; other
     columns are ignored.
     """
     require(docs, id_col, text_col)

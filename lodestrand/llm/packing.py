@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import zlib
 
 import numpy as np
@@ -12,11 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, one, require, slices, tidy, written
+from .common import flat_words, new_path, one, require, slices, tidy, written
 
 CAPACITY, END = 4096, 1
 #: Distinct words each Python worker keeps with their ids; further ones are encoded again in each batch.
 KEPT_WORDS = 100_000
+#: Slots that a gap has in one superstep at most (the rest of it takes part in the next), and rows of a size that one task ranks.
+MOST_SLOTS, ROWS_A_BIN = 64, 500_000
 _PLAIN = r"^[a-zß-öø-ÿ]+$"
 
 
@@ -125,86 +126,126 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def sweeps(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit of ``counts[length]`` pieces: (length, first rank, first sequence, pieces a sequence, offset) of each match.
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(low, high] of lengths that one series of supersteps places: halves down to an eighth of the capacity, then quarters."""
+    out, high = [], capacity
+    while high:
+        low = high // 2 if high > capacity // 8 else high // 4
+        out.append((low, high))
+        high = low
+    return out
 
-    A superstep takes the pieces of one length, longest first, all at once: they go to the gaps in ascending order from
-    their successor, the smallest gap that holds one. Sequences with the same gap are one run of numbers, ranks say which
-    piece gets which, and the gaps of a run shrink together. Pieces without a successor open new sequences. State and
-    result are bounded by ``capacity``, whatever the number of pieces.
+
+def _slots(gaps: DataFrame, low: int, high: int) -> DataFrame:
+    """(size, seq, gap, slot): a gap cut into slots of gap, gap - high, gap - 2 high and so on that hold a piece of over ``low``.
+
+    As no piece of the band is longer than ``high``, any of the slots may be filled without harm to the others.
+    """
+    slot = F.explode(F.expr(f"sequence(0, least(cast((gap - {low + 1}) div {high} as int), {MOST_SLOTS - 1}))"))
+    return gaps.where(F.col("gap") > low).select("seq", "gap", slot.alias("slot")).select((F.col("gap") - high * F.col("slot")).alias("size"), "seq", "gap", "slot")
+
+
+def depths(opens: dict[int, int], closes: dict[int, int]) -> tuple[list[tuple[int, int, int]], int, int]:
+    """Rows (size, kind, depth before it) of the line of sizes, and the number and volume of pieces that meet no gap.
+
+    Gaps and pieces stand in one line by size, the largest first, gaps first among equals. A gap opens a level, a piece
+    closes the one on top: so every piece gets the smallest gap that holds it and that no longer piece has taken.
+    """
+    rows, depth, n, volume = [], 0, 0, 0
+    for size in sorted(opens.keys() | closes.keys(), reverse=True):
+        rows.append((size, 0, depth))
+        depth += opens.get(size, 0)
+        rows.append((size, 1, depth))
+        over = max(0, closes.get(size, 0) - depth)
+        n, volume, depth = n + over, volume + over * size, max(0, depth - closes.get(size, 0))
+    return rows, n, volume
+
+
+def superstep(pieces: DataFrame, slots: DataFrame, starts: DataFrame, hot: int) -> DataFrame:
+    """(pid, length, seq, gap, slot): every piece of a band, with the gap that it gets in this superstep, if any.
+
+    Rows are ranked among those of their size and kind; a size that over ``ROWS_A_BIN`` rows share is ranked in hash bins
+    on top of the counts of the bins before. The rank and what stands before its size in the line give the depth of a
+    row, and the depth of a piece is that of its gap: at each depth gaps and pieces take turns, so a piece's gap is the
+    row before it. A depth has two rows for each size at most. Pieces whose depth is below 1 meet no gap.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, n))
-
-    plan, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(order, length)
-            if at == len(order):
-                each = capacity // length
-                n = -(-left // each)
-                put(capacity, opened, n)
-                opened += n
-                continue
-            gap = order[at]
-            first, n = gaps[gap].pop()
-            each = min(gap // length, left)
-            used = min(n, left // each)
-            plan.append((length, rank, first, each, capacity - gap))
-            put(gap, first + used, n - used)
-            if not gaps[gap]:
-                del gaps[gap]
-                order.remove(gap)
-            put(gap - each * length, first, used)
-            left, rank = left - used * each, rank + used * each
-    return plan
+    opens = slots.select("size", F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot", "gap")
+    closes = pieces.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("id"), F.lit(0).alias("slot"), F.lit(None).cast("long").alias("gap"))
+    rows, key = opens.union(closes), ["size", "kind"]
+    if hot > ROWS_A_BIN:
+        rows, key = rows.withColumn("bin", F.pmod(F.xxhash64("id", "slot"), F.lit(-(-hot // ROWS_A_BIN)))), ["size", "kind", "bin"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("id", "slot"))
+    ranked = rows.withColumn("rank", rank)
+    if hot > ROWS_A_BIN:
+        counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+        before = counts.select(*key, (F.sum("n").over(Window.partitionBy("size", "kind").orderBy("bin")) - F.col("n")).alias("before"))
+        ranked = ranked.join(before, key).withColumn("rank", F.col("before") + F.col("rank"))
+    depth = F.when(F.col("kind") == 0, F.col("start") + F.col("rank")).otherwise(F.col("start") - F.col("rank") + 1)
+    placed = ranked.join(F.broadcast(starts), ["size", "kind"]).withColumn("depth", depth)
+    # pieces below depth 1 are no group: each stands alone
+    level = F.when(F.col("depth") > 0, F.col("depth")).otherwise(-F.col("id") - 1)
+    gap = F.lag(F.struct("id", "gap", "slot")).over(Window.partitionBy(F.col("depth") > 0, level).orderBy(F.desc("size"), "kind"))
+    met = placed.withColumn("open", F.when(F.col("depth") > 0, gap)).where("kind = 1")
+    return met.select(F.col("id").alias("pid"), F.col("size").alias("length"), F.col("open.id").alias("seq"), F.col("open.gap").alias("gap"), F.col("open.slot").alias("slot"))
 
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (id, piece, length, ...) plus sequence_id and offset; lengths from 1 to ``capacity``.
 
-    Rows are ranked among those of the same length: they are dealt into hash bins, counted, and ranked in their bin on
-    top of the counts before it, so that a length that many share is ranked by many tasks.
+    Bulk-synchronous: bands of lengths, longest first. A superstep matches all pieces of a band that have no place yet
+    with the gaps of all sequences, and is written as a part of one table; gaps are what the pieces in that table leave.
+    The driver sees counts by size alone, ``capacity`` for each kind at most. From these it knows how many pieces a
+    superstep will place: where that is under a tenth, as many sequences are opened first as the others fill at least.
+    Pieces of equal length differ in no way that matters, so ties go by row number.
     """
-    bins = max(64, -(-pieces.count() // 100_000))
-    own = pieces.withColumn("bin", F.pmod(F.xxhash64("id", "piece"), F.lit(bins)))
-    counts = own.groupBy("length", "bin").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bin")) - F.col("n"))
-    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``capacity`` rows at most
-    plan = sweeps(totals, capacity)
-    match = {k: np.array([p[k] for p in plan], np.int64) for k in range(5)}
-    key = match[0] << 48 | match[1]
-    order = np.argsort(key)
-    key, match = key[order], {k: v[order] for k, v in match.items()}
-    ranked = own.withColumn("in_bin", F.row_number().over(Window.partitionBy("length", "bin").orderBy("id", "piece", "start", "crc")))
-    ranked = ranked.join(before.select("length", "bin", "before"), ["length", "bin"]).withColumn("rank", F.col("before") + F.col("in_bin") - 1)
+    spark = pieces.sparkSession
+    own = written(pieces.withColumn("pid", F.monotonically_increasing_id()), "numbered")
+    lengths = {r["length"]: r["n"] for r in own.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    steps, schema = new_path(spark, "supersteps"), "pid long, length long, seq long, gap long, slot int"
+    opened, done = 0, 0
+
+    def taken() -> DataFrame:
+        return spark.read.schema(schema).parquet(*(f"{steps}/{k}" for k in range(done))).where("seq is not null")
+
+    for low, high in bands(capacity):
+        left = own.where((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length")
+        closes = {x: n for x, n in lengths.items() if low < x <= high}
+        while closes:
+            used = taken().groupBy("seq").agg((capacity - F.sum("length")).alias("gap")) if done else spark.createDataFrame([], "seq long, gap long")
+            slots = _slots(used, low, high)
+            opens = {r["size"]: r["n"] for r in slots.groupBy("size").agg(F.count("*").alias("n")).collect()} if done else {}
+            starts, n, volume = depths(opens, closes)
+            if n > 0.9 * sum(closes.values()):
+                more = max(-(-volume // capacity), -(-n // (capacity // (low + 1))))
+                fresh = _slots(spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")), low, high)
+                slots, opened = slots.union(fresh) if done else fresh, opened + more
+                for k in range(min(MOST_SLOTS, (capacity - low - 1) // high + 1)):
+                    opens[capacity - k * high] = opens.get(capacity - k * high, 0) + more
+                starts, n, volume = depths(opens, closes)
+            hot = max(*opens.values(), *closes.values())
+            superstep(left, slots, spark.createDataFrame(starts, "size long, kind int, start long"), hot).write.parquet(f"{steps}/{done}")
+            left = spark.read.schema(schema).parquet(f"{steps}/{done}").where("seq is null").select("pid", "length")
+            closes, done = _unmet(starts, closes), done + 1
     kept = pieces.columns
+    if not done:
+        return own.select(*kept, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    # a sequence's pieces in the order of supersteps, as each one's gap tells, and of slots within
+    offset = F.sum("length").over(Window.partitionBy("seq").orderBy(F.desc("gap"), "slot")) - F.col("length")
+    places = taken().withColumn("offset", offset).select("pid", "seq", "offset")
+    return own.join(places, "pid").select(*kept, F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
 
-    def place(batches):
-        for batch in batches:
-            length, rank = (one(batch.column(n)).to_numpy(zero_copy_only=False) for n in ("length", "rank"))
-            at = np.searchsorted(key, length << 48 | rank, side="right") - 1
-            step = rank - match[1][at]
-            sequence, offset = match[2][at] + step // match[3][at], match[4][at] + step % match[3][at] * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*kept, "rank").mapInArrow(place, schema)
+def _unmet(starts: list[tuple[int, int, int]], closes: dict[int, int]) -> dict[int, int]:
+    """Counts by length of the pieces that meet no gap."""
+    left = {size: closes[size] - depth for size, kind, depth in starts if kind == 1 and size in closes}
+    return {size: n for size, n in left.items() if n > 0}
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END) -> DataFrame:
     """One row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and ``end_id``; a null text is an empty one. Only documents of over ``capacity`` ids are
-    cut. The pieces of a sequence are gapless from 0. Rows that repeat an id are packed one by one. An empty table gives
+    cut; the longest text is tokenised whole, by one task. The pieces of a sequence are gapless from 0. Rows that repeat an id are packed one by one. An empty table gives
     no rows; other columns are ignored.
     """
     require(docs, id_col, text_col)

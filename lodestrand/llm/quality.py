@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, one, require, slices, tidy
+from .common import flat_words, one, require, sample_below, slices, tidy, unit_hash, written
 
 #: Rows that the scorer is fitted on, in the order of a hash; each reaches the driver as at most WIDTH feature counts.
 SAMPLE, WIDTH = 4_000, 1 << 12
@@ -67,15 +67,19 @@ LABELLERS = ("length", "symbols", "stop_words", "sentence_ends", "repeated_lines
 
 
 def labeller_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, votes): a character for each labeller, 0 bad, 1 good, 2 none; whole texts; a null text is an empty one."""
+    """(id, h, text, votes): votes has a character for each labeller, 0 bad, 1 good, 2 none; whole texts; a null text is an empty one.
+
+    h is a hash of the id and the length, in whose order rows are sampled.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit("sample"), F.col(id_col), F.length(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     @tidy
     def run(batches):
-        for batch in batches:
-            votes = ["".join(map(str, _votes(t or ""))) for t in one(batch.column(1)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string())], names=[id_col, "votes"])
+        for batch in (part for b in batches for part in slices(b, 2)):
+            votes = ["".join(map(str, _votes(t or ""))) for t in one(batch.column(2)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(votes, pa.string())], names=["id", "h", "text", "votes"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("votes", T.StringType())]))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("votes", T.StringType())]))
 
 
 @dataclass
@@ -179,42 +183,42 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 3
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """For every row: id_col, votes, weak_label double (posterior of the votes), score double, keep boolean (score >= ``keep``).
 
-    Votes of all documents are counted by pattern and weighed by expectation-maximisation; the posteriors of ``sample``
-    rows, first in a hash order, train the scorer, which then scores every whole text. Null, empty and blank texts score
-    0 and are not kept. Rows that repeat each give a row; an empty table gives no rows; other columns are ignored.
+    Votes of all documents are kept in a written table, counted by pattern and weighed by expectation-maximisation; the
+    posteriors of ``sample`` rows, first in a hash order, train the scorer, which then scores every whole text. Rows that
+    repeat an id and a length count once in the sample, and each give a row. Null, empty and blank texts score 0 and are
+    not kept. A very long text is read whole, by one task. An empty table gives no rows; other columns are ignored.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
-    voted = labeller_votes(docs, id_col, text_col)
-    model = fit_label_model({r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()})
+    voted = written(labeller_votes(docs, id_col, text_col), "votes")
+    counts = {r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()}
+    model, total = fit_label_model(counts), sum(counts.values())
 
     @tidy
     def gather(batches):
-        for batch in (part for b in batches for part in slices(b, 0)):
-            slots, codes, offsets = _coded(one(batch.column(0)))
+        for batch in (part for b in batches for part in slices(b, 1)):
+            slots, codes, offsets = _coded(one(batch.column(1)))
             slot_rows, share_rows = [], []
             for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 found, n = np.unique(slots[codes[i:j]].ravel(), return_counts=True)
                 slot_rows.append(found.tolist())
                 share_rows.append((n / max(1, j - i)).tolist())
-            votes = ["".join(map(str, _votes(t or ""))) for t in one(batch.column(0)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(slot_rows, pa.list_(pa.int32())), pa.array(share_rows, pa.list_(pa.float64())), pa.array(model.posterior(votes))], names=["slots", "shares", "target"])
-
-    order = F.xxhash64(F.lit("sample"), F.col(id_col), F.length(text_col))
-    least = docs.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    chosen = docs.where(order <= F.lit(least if least is not None else 0)).select(F.col(text_col).alias("text"), order.alias("h")).where(F.length("text") > 0)
-    rows = chosen.select("text").mapInArrow(gather, "slots array<int>, shares array<double>, target double").limit(2 * sample).collect()
-    scorer = fit_scorer([(r["slots"], r["shares"], r["target"]) for r in rows if r["slots"]])
+            target = model.posterior(one(batch.column(2)).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot_rows, pa.list_(pa.int32())), pa.array(share_rows, pa.list_(pa.float64())), pa.array(target)], names=["h", "slots", "shares", "target"])
+
+    chosen = voted.where((unit_hash("h") < sample_below(total, sample)) & (F.length("text") > 0))
+    distinct = chosen.groupBy("h").agg(F.min(F.struct("text", "votes")).alias("row")).select("h", "row.text", "row.votes")
+    rows = sorted(distinct.mapInArrow(gather, "h long, slots array<int>, shares array<double>, target double").collect(), key=lambda r: r["h"])
+    scorer = fit_scorer([(r["slots"], r["shares"], r["target"]) for r in rows[:sample] if r["slots"]])
     sent = spark.sparkContext.broadcast((model, scorer))
 
     @tidy
     def score(batches):
         for batch in (part for b in batches for part in slices(b, 1)):
             labels, scorer = sent.value
-            texts = one(batch.column(1))
-            votes = ["".join(map(str, _votes(t or ""))) for t in texts.to_pylist()]
-            s = scorer(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string()), pa.array(labels.posterior(votes)), pa.array(s), pa.array((s >= keep) & (s > 0))], names=[id_col, "votes", "weak_label", "score", "keep"])
+            s = scorer(one(batch.column(1)))
+            label = labels.posterior(one(batch.column(2)).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(label), pa.array(s), pa.array((s >= keep) & (s > 0))], names=[id_col, "votes", "weak_label", "score", "keep"])
 
     shape = T.StructType([docs.schema[id_col], T.StructField("votes", T.StringType()), T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
-    return docs.select(id_col, text_col).mapInArrow(score, shape)
+    return voted.select("id", "text", "votes").mapInArrow(score, shape)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one, require, tidy, written
+from .common import one, require, tidy, tidy_group, written
 from .components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -107,10 +107,10 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
     Fingerprints with equal bit counts of their four 16-bit words form a cell, cut into tiles of about ``tile``. A bit
     that differs changes one count by one, so only cells whose counts differ by ``radius`` at most in sum are compared;
-    all other tile pairs are skipped unread. There are 17^4 cells at most, so their sizes fit the driver at any input.
+    all other tile pairs are skipped unread. A tile is one row with its fingerprints in a binary column; what is dealt to
+    tasks are tiles, not fingerprints. There are 17^4 cells at most, so their sizes fit the driver at any input.
     """
     spark = fps.sparkSession
-    long = T.LongType()
 
     def cells(batches):
         for batch in batches:
@@ -119,43 +119,44 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
     distinct = written(fps.select("fp").distinct().mapInArrow(cells, "fp long, cell long"), "fingerprints")
     tiles = {r[0]: -(-r[1] // tile) for r in distinct.groupBy("cell").count().collect()}  # 83,521 cells at most
+    if not tiles:
+        return spark.createDataFrame([], "a long, b long")
     steps = [(s, sum(x * BASE**k for k, x in enumerate(s))) for s in _near_cells(radius)]
-    digits = {c: tuple(c // BASE**k % BASE for k in range(PARTS)) for c in tiles}
 
     def beside(c: int, sign: int) -> list[int]:
-        return [c + sign * d for s, d in steps if c + sign * d in tiles and all(0 <= x + sign * y < BASE for x, y in zip(digits[c], s, strict=True))]
+        digits = [c // BASE**k % BASE for k in range(PARTS)]
+        return [c + sign * d for s, d in steps if c + sign * d in tiles and all(0 <= x + sign * y < BASE for x, y in zip(digits, s, strict=True))]
+
+    @tidy_group
+    def pack(group: pa.Table) -> pa.Table:
+        """A tile as one row."""
+        fp = np.sort(one(group["fp"]).to_numpy(zero_copy_only=False))
+        return pa.table({"cell": group["cell"][:1], "tile": group["tile"][:1], "fps": pa.array([fp.tobytes()], pa.binary())})
+
+    sizes = distinct.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))  # a row for each cell, as above
+    own = distinct.join(F.broadcast(sizes), "cell").withColumn("tile", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int"))
+    packed = written(own.select("fp", "cell", "tile").repartition("cell", "tile").groupBy("cell", "tile").applyInArrow(pack, "cell long, tile int, fps binary"), "tiles")
 
     def deal(batches):
-        ahead: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+        """Each tile beside those it meets: with all tiles ahead as the first, with all behind as the second of a pair."""
         for batch in batches:
-            fp, cell = (one(batch.column(k)).to_numpy(zero_copy_only=False) for k in (0, 1))
-            mixed = ((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-            out: list[tuple] = []
-            for x, c, m in zip(fp.tolist(), cell.tolist(), mixed.tolist(), strict=True):
-                if c not in ahead:
-                    ahead[c] = max(tiles[b] for b in beside(c, 1)), [(a, tiles[a]) for a in beside(c, -1)]
-                most, behind = ahead[c]
-                own = m % tiles[c]
-                out += [(x, True, c, own, j) for j in range(most)]
-                out += [(x, False, a, i, own) for a, n in behind for i in range(n) if a != c or i <= own]
-                if len(out) > 200_000:
-                    yield _rows(out)
-                    out = []
-            if out:
-                yield _rows(out)
-
-    def _rows(out):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["fp", "first", "cell", "i", "j"])
-
+            for c, own, blob in zip(*(one(batch.column(k)).to_pylist() for k in range(3)), strict=True):
+                out = [(True, c, own, b, j) for b in beside(c, 1) for j in range(tiles[b]) if b != c or j >= own]
+                out += [(False, a, i, c, own) for a in beside(c, -1) for i in range(tiles[a]) if a != c or i <= own]
+                for k in range(0, len(out), 256):
+                    part = out[k : k + 256]
+                    columns = [pa.array(x, t) for x, t in zip(zip(*part, strict=True), (pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([blob] * len(part), pa.binary())], names=["first", "cell", "i", "beside", "j", "fps"])
+
+    @tidy_group
     def compare(group: pa.Table) -> pa.Table:
-        fp, first = one(group["fp"]).to_numpy(zero_copy_only=False).view(np.uint64), one(group["first"]).to_numpy(zero_copy_only=False)
-        links = np.array(_forest(fp[first], fp[~first], radius), np.uint64).reshape(-1, 2).view(np.int64)
+        sides = {f: np.frombuffer(b, np.uint64) for f, b in zip(group["first"].to_pylist(), group["fps"].to_pylist(), strict=True)}
+        found = _forest(sides[True], sides[False], radius) if len(sides) == 2 else []  # a tile without fingerprints isn't there
+        links = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
 
-    schema = T.StructType([T.StructField("fp", long), T.StructField("first", T.BooleanType()), T.StructField("cell", long), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
-    if not tiles:
-        return spark.createDataFrame([], "a long, b long")
-    return distinct.mapInArrow(deal, schema).groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
+    pairs = packed.mapInArrow(deal, "first boolean, cell long, i int, beside long, j int, fps binary")
+    return pairs.repartition("cell", "i", "beside", "j").groupBy("cell", "i", "beside", "j").applyInArrow(compare, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -1,16 +1,17 @@
 """Exact substring deduplication with fixed-block anchors.
 
 A repeated window of 20 words holds at least one block of 10 words that starts at a multiple of 10 in its own document.
-These non-overlapping blocks are the index; every rolling 10-word window probes it. Documents are dealt into ranges of
-ids ("strips" of a few MB), so that which occurrence comes first is a question of strip order, and inside a strip of row
-order. Hashes travel as sorted, delta-coded, compressed arrays, one row for each pair of strip and hash range:
+These non-overlapping blocks are the index; every rolling 10-word window probes it. Rows are sorted by id and cut, as
+they pass, into "strips" of a few MB, so that which occurrence comes first is a question of strip order, and inside a
+strip of row order. Hashes travel as sorted, delta-coded, compressed arrays, one row for each pair of strip and hash
+range:
 
 1. every strip sends the truncated hashes of its index blocks and probes; each hash range answers with the probes of a
    strip that hit another strip's blocks;
 2. windows around a hit send their full 128-bit hashes; each range answers with those that an earlier strip has too;
 3. with these and the repeats inside the strip, overlapping windows merge into maximal repeats, which are cut out.
 
-No hash is ever wider spread than its range, and no row is larger than a strip.
+No hash is ever wider spread than its range, and no row is larger than a strip (or than one text, if that is larger).
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, one, require, tidy, tidy_group, tidy_pair
+from .common import flat_words, one, require, slices, tidy, tidy_group, tidy_pair, without, written
 
 WINDOW = 20
-STRIP_BYTES = 8 << 20
+#: Text of a strip. From ``LARGE`` bytes of text on, strips and hash ranges grow with the root of the corpus up to the larger
+#: sizes, so that pairs of strip and range number about corpus / LARGE times 16,000 until then.
+STRIP_BYTES, MOST_STRIP, MOST_RANGE, LARGE = 8 << 20, 64 << 20, 256 << 20, 64 << 30
+#: Text that one task sorts by id.
+SORTED_BYTES = 64 << 20
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 _C1, _C2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -99,10 +105,8 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
 class _Strip:
     """The rows of one strip in order, with the hashes of their windows."""
 
-    def __init__(self, blobs: list[bytes], window: int, wide: bool):
-        self.rows = pa.concat_tables([_unpack(b) for b in blobs]).combine_chunks()
-        order = pc.sort_indices(self.rows.append_column("t", self.rows["text"].cast(pa.large_binary())), [("id", "ascending"), ("t", "ascending")], null_placement="at_start")
-        self.rows = self.rows.take(order)
+    def __init__(self, blob: bytes, window: int, wide: bool):
+        self.rows = _unpack(blob).combine_chunks()
         self.words, self.offsets = flat_words(one(self.rows["text"]))
         self.block = window // 2
         coded = self.words.dictionary_encode()
@@ -131,26 +135,62 @@ class _Strip:
         return self.windows & (before[last] > before[: self.n])
 
 
+def _sizes(total: int, strip_bytes: int) -> tuple[int, int]:
+    """(text of a strip, number of hash ranges) for ``total`` bytes of text."""
+    growth = max(1.0, math.sqrt(total / LARGE))
+    strip = max(strip_bytes, min(MOST_STRIP, int(strip_bytes * growth)))
+    return strip, max(1, math.ceil(total / max(strip, min(MOST_RANGE, int(strip * growth)))))
+
+
+def _strips(docs: DataFrame, id_col: str, text_col: str, others: list[str], total: int, strip_bytes: int) -> DataFrame:
+    """(strip long, rows binary): rows in the order of id and text, ``strip_bytes`` of text each or a little more, strips in order.
+
+    The sort is by ranges of id and of the text's beginning, so that even an id that many rows share is dealt to many
+    tasks; ids may be of any type that has an order.
+    """
+    names = ["id", "text", *(f"c{k}" for k in range(len(others)))]
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip((id_col, text_col, *others), names, strict=True)))
+    ranged = plain.repartitionByRange(max(1, math.ceil(total / SORTED_BYTES)), F.col("id"), F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
+
+    @tidy
+    def cut(batches):
+        part, n, size = TaskContext.get().partitionId(), 0, 0
+        held: list[pa.RecordBatch] = []
+
+        def strip():
+            whole = pa.Table.from_batches(held)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([_pack({c: one(whole[c]) for c in names})], pa.binary())], names=["strip", "rows"])
+
+        for batch in (piece for b in batches for piece in slices(b, 1, strip_bytes // 4)):
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= strip_bytes:
+                yield strip()
+                held, n, size = [], n + 1, 0
+        if held:
+            yield strip()
+
+    return written(ranged.mapInArrow(cut, "strip long, rows binary"), "strips")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, strip_bytes: int = STRIP_BYTES) -> DataFrame:
-    """All rows and columns of ``docs`` plus n_words long, n_removed long, kept_text string.
+    """All rows and columns of ``docs`` plus n_words long, n_removed long, kept_text string (in place of such columns of ``docs``).
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A word goes if it lies in a window of ``window`` (even) words whose
     words also start earlier: in a row of smaller id, or earlier in the same row. kept_text: the other words, joined by
-    one space. A null text has no words and gives an empty kept_text. Null ids come before all others. Of rows with the
-    same id, the smaller text comes first; of equal rows, one (any) is the first. An empty table gives no rows.
+    one space. A null text has no words and gives an empty kept_text. Ids are of any type with an order; null ids come
+    before all others. Of rows with the same id, the smaller text comes first; of equal rows, one (any) is the first. An
+    empty table gives no rows. A very long text is a strip of its own and takes a task with memory for a few copies of it.
     """
     require(docs, id_col, text_col)
     if window < 4 or window % 2:
         raise ValueError("window must be even and 4 at least")
+    docs = without(docs, "n_words", "n_removed", "kept_text")
     block, others = window // 2, [c for c in docs.columns if c not in (id_col, text_col)]
-    total, rows = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count("*")).first()
-    n_strips = max(1, math.ceil(total / strip_bytes))
-    cuts = []
-    if n_strips > 1:
-        cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [k / n_strips for k in range(1, n_strips)], 20 * n_strips)).first()[0] or []
-    bounds = np.unique(np.array(cuts, np.int64))
-    n_ranges = n_strips
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    strip_bytes, n_ranges = _sizes(total, strip_bytes)
     bits = np.uint64(min(62, max(24, math.ceil(math.log2(max(2, total / 5)))) + 10))
+    strips = _strips(docs, id_col, text_col, others, total, strip_bytes)
 
     def ranges(keys: np.ndarray, width: int):
         """Ascending keys of ``width`` bits cut into hash ranges: (range, slice)."""
@@ -160,23 +200,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield r, slice(i, j)
 
     @tidy
-    def deal(batches):
-        for batch in batches:
-            ids = one(batch.column(0))
-            strip = np.searchsorted(bounds, pc.fill_null(ids.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-            whole = pa.table({"id": ids, "text": batch.column(1), **{f"c{k}": batch.column(k + 2) for k in range(len(others))}})
-            found = np.unique(strip)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([_pack({n: one(c) for n, c in zip(whole.column_names, whole.filter(pa.array(strip == s)).columns, strict=True)}) for s in found], pa.large_binary())], names=["strip", "rows"])
-
-    @tidy_group
-    def send(group: pa.Table) -> pa.Table:
-        s, strip = group["strip"][0].as_py(), _Strip(group["rows"].to_pylist(), window, False)
-        cut = np.uint64(64) - bits
-        probes, blocks = np.unique(strip.probe[strip.probes] >> cut), np.unique(strip.probe[strip.anchors] >> cut)
-        both = {r: [_squeeze(probes[x]), _squeeze(probes[:0])] for r, x in ranges(probes, int(bits))}
-        for r, x in ranges(blocks, int(bits)):
-            both[r][1] = _squeeze(blocks[x])
-        return pa.table({"bin": pa.array(list(both), pa.int64()), "strip": pa.array([s] * len(both), pa.int64()), "probes": pa.array([x[0] for x in both.values()], pa.binary()), "blocks": pa.array([x[1] for x in both.values()], pa.binary())})
+    def send(batches):
+        for s, rows in ((s, r) for b in batches for s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            strip = _Strip(rows, window, False)
+            cut = np.uint64(64) - bits
+            probes, blocks = np.unique(strip.probe[strip.probes] >> cut), np.unique(strip.probe[strip.anchors] >> cut)
+            both = {r: [_squeeze(probes[x]), _squeeze(probes[:0])] for r, x in ranges(probes, int(bits))}
+            for r, x in ranges(blocks, int(bits)):
+                both[r][1] = _squeeze(blocks[x])
+            yield pa.RecordBatch.from_arrays([pa.array(list(both), pa.int64()), pa.array([s] * len(both), pa.int64()), pa.array([x[0] for x in both.values()], pa.binary()), pa.array([x[1] for x in both.values()], pa.binary())], names=["bin", "strip", "probes", "blocks"])
 
     @tidy_group
     def probe(group: pa.Table) -> pa.Table:
@@ -202,12 +234,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         nothing = pa.table({"bin": pa.array([], pa.int64()), "strip": pa.array([], pa.int64()), "full": pa.array([], pa.binary()), "check": pa.array([], pa.binary())})
         if not left.num_rows or not right.num_rows:
             return nothing
-        s, strip = left["strip"][0].as_py(), _Strip(left["rows"].to_pylist(), window, True)
+        s, strip = left["strip"][0].as_py(), _Strip(left["rows"][0].as_py(), window, True)
         hits = np.sort(np.concatenate([_swell(b) for b in right["hits"].to_pylist()]))
         hit = strip.probes & _member(strip.probe >> (np.uint64(64) - bits), hits)
         near = strip.around(hit)
-        full, at = np.unique(strip.full[near], return_index=True)
-        check = strip.check[near][at]
+        both = np.unique(np.stack([strip.full[near], strip.check[near]], axis=1), axis=0) if near.any() else np.zeros((0, 2), np.uint64)
+        full, check = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
         out = [(r, _squeeze(full[x]), _plain(check[x])) for r, x in ranges(full, 64)]
         return pa.table({"bin": pa.array([x[0] for x in out], pa.int64()), "strip": pa.array([s] * len(out), pa.int64()), "full": pa.array([x[1] for x in out], pa.binary()), "check": pa.array([x[2] for x in out], pa.binary())})
 
@@ -228,21 +260,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     @tidy_pair
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
-        strip = _Strip(left["rows"].to_pylist(), window, True) if left.num_rows else None
+        strip = _Strip(left["rows"][0].as_py(), window, True) if left.num_rows else None
         if strip is None:
             return pa.table({f.name: pa.array([], f.type) for f in arrow_out})
         at = np.flatnonzero(strip.windows)
-        _, first, back = np.unique(strip.full[at], return_index=True, return_inverse=True)
-        twin = at[first[back]]
         flagged = np.zeros(strip.n, bool)
-        flagged[at] = (twin != at) & (strip.check[twin] == strip.check[at])
+        full, check = strip.full[at], strip.check[at]
         if right.num_rows:
-            full = np.concatenate([_swell(b) for b in right["full"].to_pylist()])
-            check = np.concatenate([_raw(b).view(np.uint64) for b in right["check"].to_pylist()])
-            order = np.argsort(full, kind="stable")
-            full, check = full[order], check[order]
-            seat = np.minimum(np.searchsorted(full, strip.full[at]), len(full) - 1)
-            flagged[at] |= (full[seat] == strip.full[at]) & (check[seat] == strip.check[at])
+            told = [np.concatenate([f(b) for b in right[c].to_pylist()]) for c, f in (("full", _swell), ("check", lambda b: _raw(b).view(np.uint64)))]
+        else:
+            told = [full[:0], check[:0]]
+        # what earlier strips have stands before the strip's own windows; of equal pairs of hashes all but the first are repeats
+        order = np.lexsort((np.arange(-len(told[0]), len(at)), np.concatenate([told[1], check]), np.concatenate([told[0], full])))
+        full, check = np.concatenate([told[0], full])[order], np.concatenate([told[1], check])[order]
+        again = np.zeros(len(order), bool)
+        again[1:] = (full[1:] == full[:-1]) & (check[1:] == check[:-1])
+        seat = order - len(told[0])
+        flagged[at[seat[again & (seat >= 0)]]] = True
         edge = np.zeros(strip.n + 1, np.int32)
         np.add.at(edge, np.flatnonzero(flagged), 1)
         np.add.at(edge, np.minimum(np.flatnonzero(flagged) + window, strip.n), -1)
@@ -259,9 +293,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     inner = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()), *(T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(others)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     arrow_out = to_arrow_schema(inner)
-    strips = docs.select(F.col(id_col), F.col(text_col), *(F.col(c) for c in others)).mapInArrow(deal, "strip long, rows binary")
     by_strip = strips.groupBy("strip")
-    sent = by_strip.applyInArrow(send, "bin long, strip long, probes binary, blocks binary")
+    sent = strips.mapInArrow(send, "bin long, strip long, probes binary, blocks binary")
     hits = sent.groupBy("bin").applyInArrow(probe, "strip long, hits binary")
     wide = by_strip.cogroup(hits.groupBy("strip")).applyInArrow(widen, "bin long, strip long, full binary, check binary")
     told = wide.groupBy("bin").applyInArrow(earlier, "strip long, full binary, check binary")

@@ -1,5 +1,6 @@
 """Each operator against a plain version of itself, over texts that are null, empty, long, repeated or odd."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -8,6 +9,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from lodestrand.llm import components, decontam, embed_dedup, langid, license_scan, packing, quality, sharding, simhash, substring, token_count
 
@@ -94,8 +97,9 @@ def test_decontamination(spark, docs, empty, broadcast):
     assert decontam.scan(empty, items, broadcast_windows=broadcast).count() == 0
     nothing = decontam.scan(docs, items.limit(0), broadcast_windows=broadcast)
     assert nothing.count() == docs.count() and nothing.agg({"n_hit": "sum"}).first()[0] == 0
-    kept = decontam.drop_contaminated(docs, items)
-    assert kept.columns == docs.columns
+    clash = docs.select("*", *(F.lit("x").alias(c) for c in ("doc", "tkey", "hit", "item_id", "print", "d")))
+    kept = decontam.drop_contaminated(clash, items)
+    assert kept.columns == clash.columns
     assert collected(kept, "doc_id") == sorted(((d,) for d, _, n, _ in plain_scan(all_rows(docs), ITEMS) if not n), key=repr)
 
 
@@ -129,6 +133,42 @@ def test_quality(spark, docs, empty, sf_dir):
     assert all(r["keep"] for r in scored if r["quality"] == 1)
 
 
+def test_label_model_is_expectation_maximisation():
+    """Against the same steps written out for each document."""
+    rng = random.Random(1)
+    votes = ["".join(rng.choice("01122") for _ in range(4)) for _ in range(300)]
+    counts = {v: votes.count(v) for v in set(votes)}
+    p = [(v.count("1") + 0.5) / (v.count("0") + v.count("1") + 1) for v in votes]
+    for _ in range(100):
+        prior = min(0.98, max(0.02, sum(p) / len(p)))
+        table = {}
+        for k in range(4):
+            for c in (0, 1):
+                n = [1 + sum(q if c else 1 - q for v, q in zip(votes, p, strict=True) if v[k] == str(x)) for x in (0, 1)]
+                table[k, c] = [x / sum(n) for x in n]
+            if table[k, 1][1] * table[k, 0][0] < table[k, 0][1] * table[k, 1][0]:
+                table[k, 0] = table[k, 1] = [(a + b) / 2 for a, b in zip(table[k, 0], table[k, 1], strict=True)]
+        new = []
+        for v in votes:
+            w = [1 - prior, prior]
+            for k, x in enumerate(v):
+                if x != "2":
+                    w = [w[c] * table[k, c][int(x)] for c in (0, 1)]
+            new.append(w[1] / sum(w))
+        done = max(abs(a - b) for a, b in zip(new, p, strict=True)) < 1e-6
+        if done:
+            break
+        p = new
+    assert np.allclose(quality.fit_label_model(counts).posterior(votes), new, atol=1e-5)
+
+
+def test_quality_is_the_same_again_where_rows_repeat(spark):
+    rows = [(k % 50, prose(3 + k % 50)) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (quality.classify(table.repartition(n), sample=20).groupBy("doc_id").agg(F.round(F.sum("score"), 9).alias("s")) for n in (1, 5))
+    assert collected(a, "doc_id", "s") == collected(b, "doc_id", "s")
+
+
 # ---- 3
 
 
@@ -164,6 +204,25 @@ def test_cover_tree_and_components(spark):
     assert embed_dedup.embedding_groups(table.limit(0)).count() == 0
 
 
+def test_cells_far_apart_send_no_guests(spark):
+    rng = np.random.default_rng(5)
+    counts = []
+    for n in (512, 1024):
+        middle = np.linalg.qr(rng.normal(size=(16, 16)))[0][:8]
+        rows = [(k, (middle[k % 8] + 0.02 * rng.normal(size=16)).tolist(), 1, 1, 16) for k in range(n)]
+        reps = spark.createDataFrame(rows, "rep long, v array<double>, weight long, label int, dim int")
+        tasks = embed_dedup.cell_tasks(reps, tile=n // 8)
+        assert tasks.where("kind = 1").count() == 0
+        counts.append(tasks.count())
+    assert counts[1] < 2.5 * counts[0]
+
+
+def test_huge_and_tiny_vectors_link(spark):
+    rows = [(0, [1e300, 1e300], 1), (1, [1e-300, 1e-300], 1), (2, [5e-324, 5e-324], 1), (3, [1e300, -1e300], 1)]
+    found = embed_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert collected(found, "vec_id", "n_links", "component") == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3)]
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(8, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(5, 5), (None, 3)]
@@ -207,6 +266,32 @@ def test_substring_dedup(docs, empty, window, strip):
     assert substring.remove_repeats(empty, window=window).count() == 0
 
 
+def test_substring_dedup_of_any_ids_and_names(spark):
+    rng = random.Random(4)
+    passage = prose(30, rng=rng)
+    rows = [(f"id{rng.randrange(6)}" if k % 7 else None, f"{prose(rng.randrange(40), rng=rng)} {passage if k % 3 else ''}", k, "n", "s") for k in range(40)] + [("id1", None, 1, "n", "s"), ("id1", prose(2000, rng=rng), 1, "n", "s")]
+    table = spark.createDataFrame(rows, "doc_id string, text string, n_words int, kept_text string, strip string").repartition(4)
+    found = substring.remove_repeats(table, strip_bytes=1000)
+    assert found.columns == ["doc_id", "text", "strip", "n_words", "n_removed", "kept_text"]
+    plain, seen = [], set()
+    for doc, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, (r[1] or "").encode())):
+        w = (text or "").encode().split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            if (k := tuple(w[i : i + 20])) in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(k)
+        plain.append((doc, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    assert collected(found, "doc_id", "n_words", "n_removed", "kept_text") == sorted(plain, key=repr)
+
+
+def test_substring_strips_are_cut_by_bytes(spark):
+    rows = [(k % 2, prose(30)) for k in range(300)]
+    strips = substring._strips(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", [], 60_000, 5_000).collect()
+    sizes = [substring._unpack(r["rows"])["text"].nbytes for r in strips]
+    assert len(sizes) > 5 and max(sizes) < 8_000
+
+
 def test_substring_dedup_many_strips(spark):
     rng = random.Random(11)
     shared = [prose(30, rng=rng) for _ in range(4)]
@@ -262,12 +347,43 @@ def test_best_fit(spark, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_sweeps_place_each_piece_once():
-    for counts in ({4096: 3}, {1: 5000}, {3000: 2, 1096: 3, 500: 7}, {}):
-        plan = packing.sweeps(counts)
-        for length, n in counts.items():
-            starts = sorted(p[1] for p in plan if p[0] == length)
-            assert starts[0] == 0 and starts == sorted(set(starts)) and starts[-1] < n
+def plain_best_fit(lengths, capacity):
+    """Best fit, longest first: the number of sequences."""
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        if gap > length:
+            bisect.insort(gaps, gap - length)
+    # sequences are full, or hold a gap: their number follows from the volume
+    return -(-(sum(lengths) + sum(gaps)) // capacity)
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(1, 4096, 400), (1300, 2100, 300), (1, 40, 2000), (4096, 4096, 20), (2000, 2060, 101)])
+def test_sequences_are_as_few_as_those_of_plain_best_fit(spark, low, high, n):
+    rng = random.Random(low)
+    lengths = [rng.randint(low, high) for _ in range(n)]
+    rows = [(k, 0, 0, x, k) for k, x in enumerate(lengths)]
+    packed = packing.best_fit(spark.createDataFrame(rows, "id long, piece int, start long, length long, crc long")).collect()
+    assert check_packed(packed, 4096) <= plain_best_fit(lengths, 4096) + 1
+
+
+def test_a_superstep_gives_each_piece_the_smallest_gap_left(spark):
+    rng = random.Random(9)
+    pieces, gaps = [(k, rng.randint(65, 128)) for k in range(200)], [(k, rng.randint(20, 127)) for k in range(150)]
+    found = packing.superstep(spark.createDataFrame(pieces, "pid long, length long"), spark.createDataFrame(gaps, "seq long, gap long"), 64, 128, 3).collect()
+    free, expected = sorted(g for _, g in gaps if g > 64), []
+    for _, length in sorted(pieces, key=lambda p: -p[1]):
+        at = bisect.bisect_left(free, length)
+        expected.append((length, free.pop(at) if at < len(free) else None))
+    assert sorted(((r["length"], r["gap"]) for r in found), key=repr) == sorted(expected, key=repr)
+    taken = [r["seq"] for r in found if r["seq"] is not None]
+    assert len(taken) == len(set(taken)) and sorted(r["pid"] for r in found) == list(range(200))
+
+
+def test_bands_hold_each_length_once():
+    for capacity in (1, 7, 64, 500, 4096):
+        assert sorted(x for low, high in packing.bands(capacity) for x in range(low + 1, high + 1)) == list(range(1, capacity + 1))
 
 
 # ---- 6
@@ -294,9 +410,17 @@ def groups(ids, prints, radius=2):
     return [least.get(root(k)) for k in range(len(ids))]
 
 
+def plain_fingerprint(text):
+    """By the definition, a bit at a time."""
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64(x, seed=42).intdigest() for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_simhash(docs, empty):
     rows = all_rows(docs)
-    prints = [simhash.fingerprint((t or "").encode().lower().split()) for _, t in rows]
+    prints = [plain_fingerprint(t) for _, t in rows]
     parts = groups([d for d, _ in rows], prints)
     expected = sorted(((d, p - (1 << 64) if p >> 63 else p, c) for (d, _), p, c in zip(rows, prints, parts, strict=True)), key=repr)
     assert collected(simhash.simhash_groups(docs), "doc_id", "fp", "component") == expected
@@ -390,7 +514,10 @@ def test_language_id(spark, docs, empty, sf_dir):
     field = langid.fit_on(train)
     found = langid.label_documents(test, field).collect()
     assert sum(r["lang"] == r["lang_pred"] for r in found) / len(found) > 0.97
-    odd = {r["doc_id"]: r for r in langid.label_documents(docs.drop("label"), field).collect()}
+    clash = docs.select("*", *(F.lit("x").alias(c) for c in ("lang_pred", "score", "shares")))
+    labelled = langid.label_documents(clash, field)
+    assert labelled.columns == [*docs.columns, "lang_pred", "score", "shares"] and labelled.where("lang_pred = 'x'").count() == 0
+    odd = {r["doc_id"]: r for r in langid.label_documents(docs, field).collect()}
     assert {k for k, r in odd.items() if r["lang_pred"] == "und"} >= {0, 1, 2, 10, 11} and all(0 <= r["score"] <= 1 for r in odd.values())
     assert langid.label_documents(empty, field).count() == 0
     switched = spark.createDataFrame([(0, found[0]["text"][:400] + " " + next(r["text"] for r in found if r["lang"] != found[0]["lang"])[:400])], "doc_id long, text string")
@@ -441,6 +568,26 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty, model).count() == 0 and license_scan.fit_on(empty).classes[0] == "none"
 
 
+def test_license_recall_and_precision_on_planted_lines(spark, sf_dir):
+    """Notices with holders, years and other words, planted at random places of the given texts; what is there already counts by a plain pattern."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model, rng = license_scan.fit_on(docs), random.Random(8)
+    own = re.compile(r"licen[sc]e|public domain|copyright|spdx", re.IGNORECASE)
+    texts = [r["text"] for r in docs.select("text").collect() if r["text"] and not own.search(r["text"])]
+    rows, planted = [], {}
+    for k, text in enumerate(texts):
+        if k % 3 == 0:
+            name = rng.choice(list(license_scan.TEMPLATES))
+            lines = text.split("\n")
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(["", "Note. ", "Copyright (c) 2019 The Authors. "]) + rng.choice(license_scan.TEMPLATES[name]) + rng.choice(["", " See the file for details."]))
+            text, planted[k] = "\n".join(lines), name
+        rows.append((k, text))
+    found = {r["doc_id"]: r["licences"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    right = sum(name in found[k] for k, name in planted.items())
+    said = sum(len(x) for x in found.values())
+    assert right / len(planted) > 0.95 and right / said > 0.95, (right, len(planted), said)
+
+
 @pytest.mark.parametrize("mark", ["", "# ", " * "])
 @pytest.mark.parametrize("width", [20, 40, 80])
 def test_license_scan_of_wrapped_notices(spark, width, mark):
@@ -457,7 +604,5 @@ def test_license_scan_of_wrapped_notices(spark, width, mark):
 
 
 def test_digest_of_kept_words(docs):
-    from pyspark.sql import functions as F
-
     found = substring.remove_repeats(docs).select("doc_id", F.sha2(F.col("kept_text").cast("binary"), 256).alias("d"))
     assert collected(found, "doc_id", "d") == sorted(((d, hashlib.sha256(t.encode()).hexdigest()) for d, _, _, t in plain_cut(all_rows(docs), 20)), key=repr)
