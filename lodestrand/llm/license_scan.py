@@ -57,7 +57,7 @@ SAMPLE, PARAGRAPH = 2_000, 400
 #: The weight of text without a licence in training: words never seen leave a paragraph with it.
 PLAIN_SHARE = 0.7
 WIDTH, LONGEST = 1 << 15, 3
-DETECT, CERTAIN, CONFIRM, HINT = 0.7, 0.3, 0.8, 0.3
+DETECT, CERTAIN, CONFIRM, HINT = 0.7, 0.1, 0.8, 0.3
 _TRIM = "\"'`.,;:!?()[]{}<>*#-_/|"
 _MIX, _MIX2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
