@@ -1,43 +1,112 @@
-"""Column functions on axioms and query patterns: parsing, canonical form, signatures, rendering."""
+"""Column functions on axioms and query patterns: canonical form, parsing, signatures, rendering."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Constructors that are read as rules.
-RULES = ("SubClassOf", "SubPropertyOf", "InverseProperties", "EquivalentClasses", "PropertyDomain", "PropertyRange")
-_FORM = r"^\s*(\w+)\(\s*(.*?)\s*\)\s*$"
+#: Constructors with one argument and with two.
+UNARY = ("SymmetricObjectProperty", "TransitiveObjectProperty", "FunctionalObjectProperty")
+BINARY = ("InverseObjectProperties", "SubObjectPropertyOf", "EquivalentObjectProperties")
+#: What marks a unit as schema.
+SCHEMA = (*UNARY, "SubObjectPropertyOf", "InverseObjectProperties", "PropertyChain", "domain", "range", "subPropertyOf", "inverseOf")
+_ONE, _TWO = rf"^({'|'.join(UNARY)})\(([^)]+)\)$", rf"^({'|'.join(BINARY)})\(([^,]+),([^)]+)\)$"
+_WORD = r"([A-Za-z_][A-Za-z0-9_:-]*)"
+
+
+def flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
 def parse(axiom: Column) -> Column:
-    """(kind, name, subject, predicate, object): fact for three words, rule for a known constructor of two, else unknown."""
-    words = F.split(F.trim(F.coalesce(axiom, F.lit(""))), r"\s+")
-    name, inner = F.regexp_extract(axiom, _FORM, 1), F.split(F.regexp_extract(axiom, _FORM, 2), r"\s+")
-    rule = name.isin(*RULES) & (F.size(inner) == 2)
-    fact = (F.size(words) == 3) & ~axiom.contains("(")
-    text = F.lit(None).cast("string")
+    """(kind, name, subject, predicate, object): rule for a known constructor, fact for three words, else unknown.
+
+    A rule's arguments are subject and object, its constructor is the predicate.
+    """
+    a = flat(axiom)
+    words = F.split(a, " ")
+    one, two = F.regexp_extract(a, _ONE, 1), F.regexp_extract(a, _TWO, 1)
+    fact = (one == "") & (two == "") & (F.size(words) == 3)
+    none = F.lit(None).cast("string")
+    name = F.when(one != "", one).when(two != "", two).otherwise(none)
     return F.struct(
-        F.when(rule, "rule").when(fact, "fact").otherwise("unknown").alias("kind"), F.when(rule, name).otherwise(text).alias("name"),
-        F.when(rule, F.get(inner, 0)).when(fact, F.get(words, 0)).alias("subject"), F.when(rule, name).when(fact, F.get(words, 1)).alias("predicate"),
-        F.when(rule, F.get(inner, 1)).when(fact, F.get(words, 2)).alias("object"),
+        F.when(name.isNotNull(), "rule").when(fact, "fact").otherwise("unknown").alias("kind"), name.alias("name"),
+        F.when(one != "", F.regexp_extract(a, _ONE, 2)).when(two != "", F.trim(F.regexp_extract(a, _TWO, 2))).when(fact, F.get(words, 0)).alias("subject"),
+        F.when(name.isNotNull(), name).when(fact, F.get(words, 1)).alias("predicate"),
+        F.when(two != "", F.trim(F.regexp_extract(a, _TWO, 3))).when(fact, F.get(words, 2)).alias("object"),
     )
 
 
-def canonical(axiom: Column) -> Column:
-    """Single spaces, and the two sides of a symmetric constructor in order."""
-    flat = F.trim(F.regexp_replace(axiom, r"\s+", " "))
-    p = parse(flat)
-    sides = F.array_join(F.array_sort(F.array(p["subject"], p["object"])), " ")
-    return F.when(p["name"].isin("InverseProperties", "EquivalentClasses"), F.concat(p["name"], F.lit("("), sides, F.lit(")"))).otherwise(flat)
+def signature(unit: Column) -> Column:
+    """(entities, properties): of a fact its ends and its predicate, of a rule its arguments, of a KG unit its parts, else words."""
+    p, words = parse(unit), F.array_distinct(F.regexp_extract_all(unit, F.lit(_WORD), F.lit(1)))
+    parts = F.split(unit, "::", 4)
+    kg = unit.startswith("KG::") & (F.size(parts) == 4)
+    none = F.array().cast("array<string>")
+    entities = F.when(kg, F.array(F.get(parts, 1), F.get(parts, 3))).when(p["kind"] == "fact", F.array(p["subject"], p["object"])).when(p["kind"] == "rule", none).otherwise(F.filter(words, lambda w: w.rlike("^[a-z]")))
+    properties = F.when(kg, F.array(F.get(parts, 2))).when(p["kind"] == "fact", F.array(p["predicate"])).when(p["kind"] == "rule", F.array_compact(F.array(p["subject"], p["object"]))).otherwise(words)
+    return F.struct(F.array_distinct(entities).alias("entities"), F.array_distinct(properties).alias("properties"))
+
+
+def is_schema(unit: Column) -> Column:
+    found = F.lit(False)
+    for mark in SCHEMA:
+        found = found | unit.contains(mark)
+    return found
+
+
+def canonical(unit: Column) -> Column:
+    """An explanation's unit in one form; empty for tags. Twelve notations are known, all others only lose spare spaces.
+
+    UTF-8 read as another code is mended for the two signs that notations use.
+    """
+    u = flat(unit)
+    for broken, sign in (("âˆ˜", "∘"), ("âŠ‘", "⊑")):
+        u = F.replace(u, F.lit(broken), F.lit(sign))
+    g = lambda rule, k: F.trim(F.regexp_extract(u, rule, k))
+    call = lambda name, *a: F.concat(F.lit(f"{name}("), *[x for k, v in enumerate(a) for x in ((F.lit(","), v) if k else (v,))], F.lit(")"))
+    inverse, below = r"^(\S+)\s+owl:inverseOf\s+(\S+)$", r"^(\S+)\s+rdfs:subPropertyOf\s+(\S+)$"
+    chain, nested = r"^PropertyChain\((\S+)\s+∘\s+(\S+)\)\s+⊑\s+(\S+)$", r"^SubObjectPropertyOf\(ObjectPropertyChain\((.+)\)\s+(<[^>]+>|\S+)\)$"
+    local = lambda t: F.regexp_extract(F.regexp_replace(t, "[<>]", ""), r"([^#/]*)$", 1)
+    steps = F.array_join(F.transform(F.regexp_extract_all(F.regexp_extract(u, nested, 1), F.lit(r"(<[^>]+>|\S+)"), F.lit(1)), local), ",")
+    out = F.when((u == "") | u.startswith("TAG:"), "")
+    out = out.when(u.rlike(inverse), call("InverseObjectProperties", F.least(g(inverse, 1), g(inverse, 2)), F.greatest(g(inverse, 1), g(inverse, 2))))
+    out = out.when(u.rlike(below), call("SubObjectPropertyOf", g(below, 1), g(below, 2)))
+    out = out.when(u.rlike(chain), F.concat(F.lit("ObjectPropertyChain("), g(chain, 1), F.lit(","), g(chain, 2), F.lit("->"), g(chain, 3), F.lit(")")))
+    out = out.when(u.rlike(nested), F.concat(F.lit("ObjectPropertyChain("), steps, F.lit("->"), local(F.regexp_extract(u, nested, 2)), F.lit(")")))
+    for word in ("Symmetric", "Transitive", "Functional"):
+        out = out.when(u.rlike(rf"^{word}:\s*(.+)$"), call(f"{word}ObjectProperty", g(rf"^{word}:\s*(.+)$", 1)))
+    for word in ("domain", "range"):
+        rule = rf"^{word}\((.+)\)\s*=\s*(.+)$"
+        out = out.when(u.rlike(rule), F.concat_ws(" ", g(rule, 1), F.lit(word), g(rule, 2)))
+    words = F.split(u, " ")
+    three = lambda middle: (F.size(words) == 3) & (F.get(words, 1) == middle)
+    out = out.when(three("SubPropertyOf"), call("SubObjectPropertyOf", F.get(words, 0), F.get(words, 2)))
+    for word in ("Domain", "Range"):
+        out = out.when(three(word), F.concat_ws(" ", F.get(words, 0), F.lit(word.lower()), F.get(words, 2)))
+    return out.otherwise(u)
 
 
 def render(axiom: Column) -> Column:
     """An axiom as a sentence."""
     p = parse(axiom)
-    says = F.when(p["name"] == "SubClassOf", " is a kind of ").when(p["name"] == "SubPropertyOf", " implies ").when(p["name"] == "InverseProperties", " is the inverse of ")
-    says = says.when(p["name"] == "EquivalentClasses", " is the same as ").when(p["name"] == "PropertyDomain", " holds of ").when(p["name"] == "PropertyRange", " leads to ")
-    return F.when(p["kind"] == "rule", F.concat(p["subject"], says, p["object"])).when(p["kind"] == "fact", F.concat_ws(" ", p["subject"], p["predicate"], p["object"])).otherwise(axiom)
+    says = F.when(p["name"] == "SubObjectPropertyOf", " implies ").when(p["name"] == "InverseObjectProperties", " is the inverse of ").when(p["name"] == "EquivalentObjectProperties", " is the same as ")
+    alone = F.when(p["name"] == "SymmetricObjectProperty", " is symmetric").when(p["name"] == "TransitiveObjectProperty", " is transitive").when(p["name"] == "FunctionalObjectProperty", " is functional")
+    both = F.when(p["kind"] == "rule", F.concat(p["subject"], F.coalesce(alone, F.concat(says, p["object"]))))
+    return both.when(p["kind"] == "fact", F.concat_ws(" ", p["subject"], p["predicate"], p["object"])).otherwise(axiom)
+
+
+def unit_class(unit: Column) -> Column:
+    """Fact or Axiom."""
+    return F.when(parse(unit)["kind"] == "fact", "Fact").otherwise("Axiom")
+
+
+def reasoning_line(unit: Column) -> Column:
+    """A unit as a line for a reader: class, and head -> relation -> tail where it has three words or more."""
+    u = flat(unit)
+    words = F.split(u, " ")
+    spread = F.concat_ws(" -> ", F.get(words, 0), F.get(words, 1), F.array_join(F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(1))), " "))
+    return F.concat(unit_class(u), F.lit(": "), F.when((F.size(words) >= 3) & ~F.get(words, 0).contains("("), spread).otherwise(u))
 
 
 def query_terms(query: Column) -> Column:
@@ -51,3 +120,14 @@ def query_signature(query: Column) -> Column:
     terms = query_terms(query)
     at = lambda r: F.filter(terms, lambda t, i: (i % 3).isin(*r) & ~t.startswith("?"))
     return F.struct(F.array_distinct(at((0, 2))).alias("entities"), F.array_distinct(at((1,))).alias("properties"))
+
+
+def query_form(query: Column) -> Column:
+    return F.when(F.upper(query).contains("ASK"), "ASK").when(F.upper(query).contains("SELECT"), "SELECT").otherwise("OTHER")
+
+
+def ask_target(query: Column) -> Column:
+    """(subject, predicate, object): local names of the first three things in <>, null where there are fewer."""
+    found = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(r"<([^>]+)>"), F.lit(1))
+    local = lambda k: F.regexp_extract(F.get(found, k), r"([^#/]*)$", 1)
+    return F.when(F.size(found) >= 3, F.struct(local(0).alias("subject"), local(1).alias("predicate"), local(2).alias("object")))

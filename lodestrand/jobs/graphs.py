@@ -39,19 +39,40 @@ def shared_entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bridge_token_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.shared_term_edges(_terms(_nodes(spark, sf_dir), X.tokens(F.col("sentence"), 4)), 2, 8)
+    return G.shared_term_edges(G.stored(_terms(_nodes(spark, sf_dir), X.tokens(F.col("sentence"), 4))), 2, 8)
+
+
+def _heads() -> F.Column:
+    """Title tokens of a node. Documents here are one page each, so a sentence's first word of six letters is a heading as well."""
+    return F.array_distinct(F.concat(X.tokens(F.col("title")), X.tokens(F.regexp_extract("sentence", "([A-Za-z0-9]{6,})", 1), 6)))
+
+
+def title_token_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = G.stored(_nodes(spark, sf_dir).select("example", "node", X.tokens(F.col("sentence")).alias("own"), _heads().alias("heads")))
+    return G.title_token_edges(_terms(nodes, F.col("own")), _terms(nodes, F.col("heads")))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = adjacent_sentences(spark, sf_dir).union(shared_entity_edges(spark, sf_dir)).union(bridge_token_edges(spark, sf_dir)).distinct()
-    best = question_overlap(spark, sf_dir).groupBy(F.col("doc_id").alias("example")).agg(F.min_by("item_id", F.struct(-F.col("shared"), "item_id")).alias("item_id"))
-    asked = best.join(table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("asked")), "item_id")
-    own = _nodes(spark, sf_dir).join(asked, "example")
-    overlap = lambda c: F.size(F.array_intersect(X.tokens(F.col(c)), "asked"))
-    nodes = own.select("example", "item_id", "node", overlap("sentence").alias("overlap"), overlap("title").alias("title_overlap"), F.size("asked").alias("asked"))
+    """Nodes with their scores, and edges by all four rules; sentences are cut and tokenised once, into a written table."""
+    own = G.stored(_nodes(spark, sf_dir).select("example", "node", "title", X.tokens(F.col("sentence")).alias("own"), _heads().alias("heads"), X.entities(_ascii("sentence")).alias("names")))
+    bridge = F.filter("own", lambda t: F.length(t) >= 4)
+    edges = G.adjacent_edges(own.select("example", F.col("title").alias("page"), F.col("node").alias("position"), "node"))
+    edges = edges.union(G.title_token_edges(_terms(own, F.col("own")), _terms(own, F.col("heads"))))
+    edges = edges.union(G.shared_term_edges(_terms(own, F.col("names")), 2, 12)).union(G.shared_term_edges(_terms(own, bridge), 2, 8)).distinct()
+    asked = G.stored(_asked(spark, sf_dir))
+    found = own.join(asked, "example")
+    overlap = lambda *c: F.size(F.array_intersect(F.array_union(*c) if len(c) > 1 else F.col(c[0]), "asked"))
+    nodes = found.select("example", "item_id", "node", overlap("own", "heads").alias("overlap"), overlap("heads").alias("title_overlap"), F.size("asked").alias("asked"))
+    edges = G.stored(edges)
     return G.node_scores(nodes, edges), edges
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(example, item_id, asked): the question that a document shares most rare tokens with, and the question's tokens."""
+    best = question_overlap(spark, sf_dir).groupBy(F.col("doc_id").alias("example")).agg(F.min_by("item_id", F.struct(-F.col("shared"), "item_id")).alias("item_id"))
+    return best.join(table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("asked")), "item_id")
+
+
 def evidence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence as a node of its document's graph, scored against the document's best question."""
     nodes, _ = _graph(spark, sf_dir)
@@ -226,12 +247,16 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_graph, adjacent_sentences, shared_entity_edges, bridge_token_edges, closure_pairs, closure_triples, term_edges_capped, components, subclass_closure, property_inference,
+        evidence_graph, adjacent_sentences, title_token_edges, shared_entity_edges, bridge_token_edges, closure_pairs, closure_triples, term_edges_capped, components, subclass_closure, property_inference,
         type_inference, ask_proof, cumulative_share, label_centroid, token_f1, answer_set_scores, binary_metrics, roc_auc, reader_dedup, resume_antijoin, stratified_split,
         gold_mutation_invariance, sessions,
     )
 }
 
+def _heads_sql(own: str = "") -> str:
+    return f"list_distinct(list_concat({_tokens_sql(own + 'title')}, {_tokens_sql(f'regexp_extract({own}sentence, {chr(39)}[A-Za-z0-9]{{6,}}{chr(39)})', 6)}))"
+
+
 _ENT = r"list_filter(list_distinct(list_transform(regexp_extract_all(regexp_replace(sentence, '[^\x00-\x7F]', '.', 'g'), '\b(?:[A-Z][A-Za-z0-9''-]*)(?:\s+[A-Z][A-Za-z0-9''-]*)*'), lambda x: lower(array_to_string(regexp_extract_all(x, '[A-Za-z0-9]+'), ' ')))), lambda x: x <> '')"
 _EDGES = f"""
     {SENTENCES_SQL},
@@ -242,12 +267,15 @@ _EDGES = f"""
     t_term AS (SELECT doc_id, sent_idx, unnest({_tokens_sql('sentence', 4)}) AS term FROM sentences),
     t_ok AS (SELECT doc_id, term FROM t_term GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8),
     tok AS (SELECT DISTINCT a.doc_id AS example, a.sent_idx AS src, b.sent_idx AS dst FROM t_term a JOIN t_ok USING (doc_id, term) JOIN t_term b USING (doc_id, term) WHERE a.sent_idx < b.sent_idx),
-    edges AS (SELECT * FROM adj WHERE dst IS NOT NULL UNION SELECT * FROM ent UNION SELECT * FROM tok),
+    s_term AS (SELECT doc_id, sent_idx, unnest({_tokens_sql('sentence')}) AS term FROM sentences),
+    h_term AS (SELECT doc_id, sent_idx, unnest({_heads_sql()}) AS term FROM sentences),
+    ttl AS (SELECT DISTINCT s.doc_id AS example, least(s.sent_idx, h.sent_idx) AS src, greatest(s.sent_idx, h.sent_idx) AS dst FROM s_term s JOIN h_term h ON h.doc_id = s.doc_id AND h.term = s.term AND h.sent_idx <> s.sent_idx),
+    edges AS (SELECT * FROM adj WHERE dst IS NOT NULL UNION SELECT * FROM ttl UNION SELECT * FROM ent UNION SELECT * FROM tok),
     both_ways AS (SELECT * FROM edges UNION SELECT example, dst, src FROM edges)"""
 _NODES = f"""
     {_OVERLAP_SQL},
     best AS (SELECT doc_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, item_id) AS k FROM overlap) WHERE k = 1),
-    own AS (SELECT s.doc_id AS example, b.item_id, s.sent_idx AS node, len(list_intersect({_tokens_sql('s.sentence')}, {_tokens_sql('q.text')})) AS overlap, len(list_intersect({_tokens_sql('s.title')}, {_tokens_sql('q.text')})) AS title_overlap, greatest(len({_tokens_sql('q.text')}), 1) AS n FROM sentences s JOIN best b USING (doc_id) JOIN benchmark q ON q.item_id = b.item_id),
+    own AS (SELECT s.doc_id AS example, b.item_id, s.sent_idx AS node, len(list_intersect(list_distinct(list_concat({_tokens_sql('s.sentence')}, {_heads_sql('s.')})), {_tokens_sql('q.text')})) AS overlap, len(list_intersect({_heads_sql('s.')}, {_tokens_sql('q.text')})) AS title_overlap, greatest(len({_tokens_sql('q.text')}), 1) AS n FROM sentences s JOIN best b USING (doc_id) JOIN benchmark q ON q.item_id = b.item_id),
     deg AS (SELECT example, src AS node, count(*) AS degree FROM both_ways GROUP BY ALL),
     nodes AS (SELECT example, item_id, node, overlap, coalesce(degree, 0) AS degree, overlap / n + 0.25 * title_overlap / n + 0.01 * least(coalesce(degree, 0), 8) AS score, overlap > 0 OR title_overlap > 0 AS is_anchor FROM own LEFT JOIN deg USING (example, node))"""
 _FACTS = """
@@ -275,6 +303,7 @@ def _items(c: str) -> str:
 ORACLE_SQL = {
     "evidence_graph": f"WITH {_EDGES}, {_NODES} SELECT example, item_id, node::INTEGER AS node, overlap::INTEGER AS overlap, degree::INTEGER AS degree, round(score::DOUBLE, 6) AS score, is_anchor::INTEGER AS is_anchor FROM nodes",
     "adjacent_sentences": f"WITH {_EDGES} SELECT example, src::INTEGER AS src, dst::INTEGER AS dst FROM adj WHERE dst IS NOT NULL",
+    "title_token_edges": f"WITH {_EDGES} SELECT example, src::INTEGER AS src, dst::INTEGER AS dst FROM ttl",
     "shared_entity_edges": f"WITH {_EDGES} SELECT example, src::INTEGER AS src, dst::INTEGER AS dst FROM ent",
     "bridge_token_edges": f"WITH {_EDGES} SELECT example, src::INTEGER AS src, dst::INTEGER AS dst FROM tok",
     "closure_pairs": f"WITH {_EDGES}, {_NODES}, p AS (SELECT DISTINCT b.example, least(src, dst) AS a, greatest(src, dst) AS b FROM both_ways b JOIN nodes n ON n.example = b.example AND n.node = b.src WHERE is_anchor) SELECT example, count(*) AS pairs, sum(a * 31 + b)::BIGINT AS checksum FROM p GROUP BY example",

@@ -9,8 +9,10 @@ from ..functions import axioms as A
 from ..functions import features as T
 from ..functions import sets as S
 from ..functions import text as X
+from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators.candidates import Beam, connected_supports
+from ..operators.graph import stored
 from ..sources.tables import candidates, gold, sentences, table
 from .graphs import _FACTS, _facts, _graph
 from .supports import _PREFIX, _base, r6
@@ -18,11 +20,17 @@ from .texts import _OVERLAP_SQL, SENTENCES_SQL, _tokens_sql, question_overlap
 
 
 def _axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Axiom strings of the star schema: class axioms of part names, facts of places."""
-    names = table(spark, sf_dir, "part").select(F.concat(F.lit("SubClassOf( "), F.translate("p_name", " ", "_"), F.lit(" "), F.split("p_name", " ")[1], F.lit(")")).alias("axiom"))
-    same = table(spark, sf_dir, "part").select(F.concat(F.lit("EquivalentClasses("), F.col("p_type"), F.lit(" "), F.col("p_brand"), F.lit(")")))
+    """Axiom strings of the star schema: rules on properties named after parts, facts of places, and other strings."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 8
+    prop, kind = F.concat(F.lit("has"), F.split("p_name", " ")[1]), F.initcap("p_type")
+    binary = lambda name: F.concat(F.lit(f"{name}("), prop, F.lit(", "), kind, F.lit(")"))
+    unary = lambda name: F.concat(F.lit(f"{name}("), prop, F.lit(")"))
+    rules = part.select(
+        F.when(k == 0, unary("SymmetricObjectProperty")).when(k == 1, unary("TransitiveObjectProperty")).when(k == 2, unary("FunctionalObjectProperty")).when(k == 3, binary("InverseObjectProperties"))
+        .when(k == 4, binary("SubObjectPropertyOf")).when(k == 5, binary("EquivalentObjectProperties")).when(k == 6, F.concat_ws("  ", "p_name", F.lit(" is"), "p_type")).otherwise(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(" type "), kind)).alias("axiom")
+    )
     facts = _facts(spark, sf_dir).where("p <> 'placedBy'").select(F.concat_ws(" ", "s", "p", "o"))
-    return names.union(same).union(facts).distinct()
+    return rules.union(facts).distinct()
 
 
 def axiom_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,17 +38,60 @@ def axiom_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("p.kind", "p.predicate").agg(F.count("*").alias("axioms"), F.countDistinct("p.subject").alias("subjects"), F.countDistinct("p.object").alias("objects"))
 
 
+def axiom_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axioms as sentences, and as lines for a reader."""
+    return _axioms(spark, sf_dir).select(A.flat(F.col("axiom")).alias("axiom"), A.render(A.flat(F.col("axiom"))).alias("sentence"), A.reasoning_line(F.col("axiom")).alias("line"))
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, unit): explanation units in fourteen notations, by the part's key."""
+    a, b, c = F.concat(F.lit("p"), (F.col("p_partkey") % 97).cast("string")), F.col("p_type"), F.concat(F.lit("q"), F.col("p_size").cast("string"))
+    uri = lambda x: F.concat(F.lit("<http://example.org/o#"), x, F.lit(">"))
+    forms = [
+        F.concat(a, F.lit(" owl:inverseOf "), b), F.concat(a, F.lit("  rdfs:subPropertyOf "), b), F.concat(F.lit("PropertyChain("), a, F.lit(" âˆ˜ "), b, F.lit(") âŠ‘ "), c),
+        F.concat(F.lit("SubObjectPropertyOf(ObjectPropertyChain("), uri(a), F.lit(" "), uri(b), F.lit(") "), uri(c), F.lit(")")), F.concat(F.lit("Symmetric: "), a), F.concat(F.lit("Transitive:"), a), F.concat(F.lit("Functional:  "), a),
+        F.concat(F.lit("domain("), a, F.lit(") = "), b), F.concat(F.lit("range("), a, F.lit(")= "), b), F.concat(a, F.lit(" SubPropertyOf "), b), F.concat(a, F.lit(" Domain "), b), F.concat(a, F.lit(" Range "), b),
+        F.concat(F.lit("TAG: "), a), F.concat(F.lit(" "), a, F.lit("   type "), b, F.lit(" ")),
+    ]
+    unit = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        unit = F.when(F.col("p_partkey") % len(forms) == k, form).otherwise(unit)
+    return table(spark, sf_dir, "part").select("p_partkey", unit.alias("unit"))
+
+
 def unit_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _axioms(spark, sf_dir).where(F.col("axiom").startswith("E")).select("axiom", A.canonical(F.col("axiom")).alias("canonical"), A.render(F.col("axiom")).alias("sentence"))
+    return _units(spark, sf_dir).select("p_partkey", A.canonical(F.col("unit")).alias("canonical"))
+
+
+def unit_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many units have each entity and each property."""
+    s = _axioms(spark, sf_dir).select(A.signature(F.col("axiom")).alias("s"))
+    each = s.select(F.lit("entity").alias("kind"), F.explode_outer("s.entities").alias("name")).union(s.select(F.lit("property"), F.explode_outer("s.properties")))
+    return each.where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("units"))
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, q): four query patterns, SELECT and ASK, with variables in each place."""
+    c, n, r = (F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 5).cast("string"))
+    s = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    k = F.col("c_custkey") % 4
+    q = F.when(k == 0, s("ASK WHERE { <http://e.org/a#c", c, "> <http://e.org/a#inNation> <http://e.org/a#n", n, "> }")).when(k == 1, s("SELECT ?x WHERE { ?x <inNation> <n", n, "> . ?x <placed> ?o . ?o <in> <r", r, "> }"))
+    q = q.when(k == 2, s("SELECT ?p WHERE { <c", c, "> ?p <n", n, "> }")).otherwise(s("PREFIX a: <b>\nask {\n <c", c, "> <inNation> ?n .\n ?n <inRegion> <r", r, "> .\n <c", c, "> <inNation> ?m }"))
+    return table(spark, sf_dir, "customer").select("c_custkey", q.alias("q"))
 
 
 def query_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of one query pattern for each customer."""
-    q = table(spark, sf_dir, "customer").select("c_custkey", F.format_string("ASK WHERE { <c%d> <inNation> ?n . ?n <inRegion> <r%d> }", F.col("c_custkey"), F.col("c_custkey") % 5).alias("q"))
-    s = q.withColumn("s", A.query_signature(F.col("q")))
+    """Entities and properties of queries of several patterns."""
+    s = _queries(spark, sf_dir).withColumn("s", A.query_signature(F.col("q")))
     return s.select("c_custkey", F.array_join("s.entities", "|").alias("entities"), F.array_join("s.properties", "|").alias("properties"))
 
 
+def ask_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form of queries, and the triple that the first three things in <> make."""
+    t = _queries(spark, sf_dir).withColumn("t", A.ask_target(F.col("q")))
+    return t.select("c_custkey", A.query_form(F.col("q")).alias("form"), "t.subject", "t.predicate", "t.object")
+
+
 def connected_support_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supports of up to three sentences in each document's evidence graph; no SQL: a beam."""
     nodes, edges = _graph(spark, sf_dir)
@@ -71,34 +122,67 @@ def rank_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _targets(spark, sf_dir).select("example", "candidate", "target", (F.col("target") >= 0.9).cast("int").alias("label"))
 
 
+#: Pairs of an example at most; where there are more, the first in a hash order stay, as a training step takes no more.
+MOST_PAIRS = 512
+
+
+def _stratum(target: F.Column) -> F.Column:
+    return F.when(target >= 0.999, "exact").when(target >= 0.899, "sufficient").when(target > 0, "partial").otherwise("irrelevant")
+
+
 def margin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of an example's candidates with unlike targets, weighted by kind, the 16 with the widest gaps.
+    """Pairs of an example's candidates from unlike strata with their weights, MOST_PAIRS in a hash order at most.
 
-    Candidates of an example are ranked by target at both ends first, so that pairs stay bounded for any example: the 8
-    best against the 8 worst hold the 16 widest gaps of all but nearly equal ones.
+    Exact before sufficient weighs 2, either before partial 3, either before irrelevant 2, partial before irrelevant a
+    half; no other strata are paired. Candidates are grouped by stratum before they are joined.
     """
-    t = _targets(spark, sf_dir).select("example", "candidate", "target")
-    up, down = Window.partitionBy("example").orderBy(F.desc("target"), "candidate"), Window.partitionBy("example").orderBy("target", "candidate")
-    best = t.withColumn("k", F.row_number().over(up)).where("k <= 8").select("example", F.col("candidate").alias("better"), F.col("target").alias("high"))
-    worst = t.withColumn("k", F.row_number().over(down)).where("k <= 8").select("example", F.col("candidate").alias("worse"), F.col("target").alias("low"))
-    pairs = best.join(worst, "example").where("high > low").withColumn("gap", F.round(F.col("high") - F.col("low"), 6))
-    weight = F.when((F.col("high") >= 0.9) & (F.col("low") > 0), 2.0).when(F.col("high") >= 0.9, 3.0).when(F.col("low") > 0, 0.5).otherwise(1.0)
-    place = F.row_number().over(Window.partitionBy("example").orderBy(F.desc("gap"), "better", "worse"))
-    return pairs.withColumn("place", place).where("place <= 16").select("example", "better", "worse", "gap", weight.alias("weight"))
+    t = _targets(spark, sf_dir).select("example", "candidate", _stratum(F.col("target")).alias("stratum"))
+    rules = spark.createDataFrame([("exact", "sufficient", 2.0), ("exact", "partial", 3.0), ("sufficient", "partial", 3.0), ("exact", "irrelevant", 2.0), ("sufficient", "irrelevant", 2.0), ("partial", "irrelevant", 0.5)], "above string, below string, weight double")
+    high = t.select("example", F.col("candidate").alias("better"), F.col("stratum").alias("above")).join(F.broadcast(rules), "above")
+    low = t.select("example", F.col("candidate").alias("worse"), F.col("stratum").alias("below"))
+    place = F.row_number().over(Window.partitionBy("example").orderBy(F.md5(F.concat_ws("|", F.col("better").cast("string"), F.col("worse").cast("string"))), "better", "worse"))
+    return high.join(low, ["example", "below"]).withColumn("place", place).where(F.col("place") <= MOST_PAIRS).select("example", "better", "worse", "weight")
+
+
+def reserved_hard_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair that every sample keeps: the best complete candidate against the first partial one, else the first irrelevant."""
+    t = _targets(spark, sf_dir).select("example", "candidate", "score", "target")
+    best = t.where("target >= 0.9").groupBy("example").agg(F.min_by("candidate", F.struct(-F.col("target"), -F.col("score"), "candidate")).alias("better"))
+    rest = t.where("target < 0.9").groupBy("example").agg(F.min_by("candidate", F.struct(F.col("target") <= 0, -F.col("score"), "candidate")).alias("worse"), F.max(F.when(F.col("target") > 0, "partial").otherwise("irrelevant")).alias("stratum"))
+    return best.join(rest, "example").select("example", "better", "worse", "stratum")
+
+
+#: Candidates of a stratum that a training step takes: complete ones, partial ones, irrelevant ones.
+STRATUM_SIZES = {"positive": 64, "hard_negative": 4, "easy_negative": 2}
+
+
+def stratum_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for a training step: complete and partial ones by target, irrelevant ones in a hash order, so many of each."""
+    t = _targets(spark, sf_dir).withColumn("stratum", F.when(F.col("target") >= 0.9, "positive").when(F.col("target") > 0, "hard_negative").otherwise("easy_negative"))
+    chance = F.when(F.col("stratum") == "easy_negative", F.md5(F.col("candidate").cast("string"))).otherwise("")
+    place = F.row_number().over(Window.partitionBy("example", "stratum").orderBy(F.desc("target"), chance, F.desc("score"), "candidate"))
+    most = F.lit(None).cast("int")
+    for name, n in STRATUM_SIZES.items():
+        most = F.when(F.col("stratum") == name, n).otherwise(most)
+    return t.withColumn("place", place).where(F.col("place") <= most).select("example", "candidate", "stratum", "place")
 
 
 def continue_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold probabilities that the next candidate adds something: logistic regression over five folds of examples.
+    """Out-of-fold probabilities that a longer prefix is better: logistic regression on the ten decision features.
 
-    No SQL: a fitted model. Folds go by a hash of the example, so no example is in a fold and its training rows.
+    No SQL: a fitted model. The label says that the best prefix length of the example is longer than the one at hand.
+    Folds go by a hash of the example, so no example is in a fold and its training rows.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    d = R.decisions(candidates(spark, sf_dir, "p_type")).withColumn("label", (F.col("new_units") > 0).cast("double")).withColumn("fold", F.pmod(F.xxhash64("example"), F.lit(5)))
-    columns = ["rel_top", "gap", "cum_size", "next_size", "at"]
-    rows = VectorAssembler(inputCols=columns, outputCol="raw").transform(d).select("example", "at", "fold", "label", "raw")
+    scored = R.fixed_prefixes(candidates(spark, sf_dir, "p_type")).join(gold(spark, sf_dir, unit="p_type"), "example").withColumn("f1", F.round(S.best_of(F.col("units"), F.col("golds"))["f1"], 6))
+    best = R.best_prefix(scored.select("example", "k", "f1", F.size("units").alias("size"))).select("example", F.col("k").alias("best_k"))
+    d = R.decisions(candidates(spark, sf_dir, "p_type")).join(best, "example").withColumn("label", (F.col("best_k") > F.col("at")).cast("double")).withColumn("fold", F.pmod(F.xxhash64("example"), F.lit(5)))
+    columns = ["cur", "nxt", "rel_top", "gap", "cum_size", "next_size", "new_units", "novelty", "overlap", "at"]
+    rows = stored(d.select("example", "at", "fold", "label", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))).select("example", "at", "fold", "label", *(F.col("x")[k].alias(f"x{k}") for k in range(len(columns))))
+    rows = VectorAssembler(inputCols=[f"x{k}" for k in range(len(columns))], outputCol="raw").transform(rows).select("example", "at", "fold", "label", "raw")
     out = None
     for fold in range(5):
         train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
@@ -127,35 +211,52 @@ def text_chain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("item_id", n.alias("size"), *(F.round(v.cast("double"), 6).alias(c) for c, v in values.items()), F.round(total, 6).alias("adjustment"))
 
 
-def path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest paths from each region to all that is placed in it, level by level: how many nodes, and paths to them."""
-    facts = _facts(spark, sf_dir).select(F.col("o").alias("a"), F.col("s").alias("b"))
-    at = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root")).withColumn("node", F.col("root")).withColumn("paths", F.lit(1).cast("long"))
-    levels = at.withColumn("depth", F.lit(0))
-    for depth in (1, 2, 3):
-        at = at.join(facts, at["node"] == facts["a"]).groupBy("root", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
-        levels = levels.union(at.withColumn("depth", F.lit(depth)))
-    return levels.groupBy("root", "depth").agg(F.count("*").alias("nodes"), F.sum("paths").alias("paths"))
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths over the undirected star schema from each region: nodes at each distance, and paths to them.
+
+    Nations and customers are linked by orders' suppliers as well, so the graph has cycles.
+    """
+    links = _facts(spark, sf_dir).where("p <> 'placedBy'").select(F.col("s").alias("src"), F.col("o").alias("dst")).union(_trade(spark, sf_dir)).distinct()
+    roots = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root"))
+    return G.shortest_paths(roots, links).groupBy("root", "depth").agg(F.count("*").alias("nodes"), F.sum("paths").alias("paths"))
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): customers and the suppliers of their lines with a discount of ten in a hundred."""
+    lines = table(spark, sf_dir, "lineitem").where("l_discount >= 0.1").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    of = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(of("c", "o_custkey").alias("src"), of("s", "l_suppkey").alias("dst")).distinct()
 
 
 def title_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose title's rarest token a document's text holds: an inverted-index join, then the whole title as a phrase."""
+    """Pages whose title's rarest token a sentence holds: an inverted-index join on keys, then the whole title as a phrase.
+
+    Only (sentence, token) pairs of tokens that a title has are shuffled; texts rejoin for the sentences that are left.
+    """
     norm = lambda c: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), " "), F.lit(" "))
     titles = table(spark, sf_dir, "pages").select("page_id", norm(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title")).where(F.length("title") >= 5)
     tokens = titles.select("page_id", "title", F.explode(F.array_distinct(F.split(F.trim("title"), " "))).alias("token"))
-    words = sentences(table(spark, sf_dir, "documents")).select("doc_id", "sent_idx", norm(F.col("sentence")).alias("text"))
-    inverted = words.select("doc_id", "sent_idx", "text", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("token"))
+    words = stored(sentences(table(spark, sf_dir, "documents")).select("doc_id", "sent_idx", norm(F.col("sentence")).alias("text")))
+    inverted = words.select("doc_id", "sent_idx", F.explode(F.array_distinct(F.split(F.trim("text"), " "))).alias("token")).join(tokens.select("token").distinct(), "token", "left_semi")
+    inverted = stored(inverted)
     common = inverted.groupBy("token").agg(F.count("*").alias("n"))
     rarest = tokens.join(common, "token", "left").groupBy("page_id", "title").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    hits = inverted.join(rarest, "token").where(F.col("text").contains(F.col("title")))
+    hits = inverted.join(rarest, "token").drop("token").join(words, ["doc_id", "sent_idx"]).where(F.col("text").contains(F.col("title")))
     return hits.groupBy("page_id").agg(F.count("*").alias("sentences"), F.min("doc_id").alias("first_doc"))
 
 
-QUERIES = {f.__name__: f for f in (axiom_parse, unit_canonicalize, query_signature, connected_support_search, pre_rank_features, rank_target, margin_pairs, continue_model, text_chain_features, path_counts, title_mentions)}
+QUERIES = {f.__name__: f for f in (axiom_parse, axiom_text, unit_canonicalize, unit_signature, query_signature, ask_target, connected_support_search, pre_rank_features, rank_target, margin_pairs, reserved_hard_pair, stratum_subsample, continue_model, text_chain_features, shortest_paths, title_mentions)}
 
 _AXIOMS = f"""
-    {_FACTS}, axioms AS (SELECT 'SubClassOf( ' || replace(p_name, ' ', '_') || ' ' || string_split(p_name, ' ')[2] || ')' AS axiom, 'rule' AS kind, 'SubClassOf' AS predicate, replace(p_name, ' ', '_') AS subject, string_split(p_name, ' ')[2] AS object FROM part
-        UNION SELECT 'EquivalentClasses(' || p_type || ' ' || p_brand || ')', 'rule', 'EquivalentClasses', p_type, p_brand FROM part UNION SELECT s || ' ' || p || ' ' || o, 'fact', p, s, o FROM facts WHERE p <> 'placedBy')"""
+    {_FACTS}, p AS (SELECT *, p_partkey % 8 AS k, 'has' || string_split(p_name, ' ')[2] AS prop, upper(p_type[1]) || lower(p_type[2:]) AS kind_ FROM part),
+    axioms AS (SELECT ['SymmetricObjectProperty', 'TransitiveObjectProperty', 'FunctionalObjectProperty'][k + 1] || '(' || prop || ')' AS axiom, 'rule' AS kind, ['SymmetricObjectProperty', 'TransitiveObjectProperty', 'FunctionalObjectProperty'][k + 1] AS predicate, prop AS subject, NULL AS object FROM p WHERE k < 3
+        UNION SELECT ['InverseObjectProperties', 'SubObjectPropertyOf', 'EquivalentObjectProperties'][k - 2] || '(' || prop || ', ' || kind_ || ')', 'rule', ['InverseObjectProperties', 'SubObjectPropertyOf', 'EquivalentObjectProperties'][k - 2], prop, kind_ FROM p WHERE k BETWEEN 3 AND 5
+        UNION SELECT p_name || ' is ' || p_type, 'unknown', NULL, NULL, NULL FROM p WHERE k = 6
+        UNION SELECT 'p' || p_partkey || ' type ' || kind_, 'fact', 'type', 'p' || p_partkey, kind_ FROM p WHERE k = 7
+        UNION SELECT s || ' ' || p || ' ' || o, 'fact', p, s, o FROM facts WHERE p <> 'placedBy')"""
+_QUERIES = """
+    queries AS (SELECT c_custkey, c_custkey % 4 AS k, 'c' || c_custkey AS c, 'n' || c_nationkey AS n, 'r' || (c_custkey % 5) AS r FROM customer)"""
 _CAND_ALTS = """
     cm AS (SELECT s.ex, s.cand, s.size, g.alt, g.gsize, count(x.unit) AS both_n FROM sizes s JOIN gold_size g USING (ex) LEFT JOIN (SELECT u.ex, u.cand, u.unit, g.alt FROM units u JOIN golds g ON g.ex = u.ex AND g.unit = u.unit) x ON x.cand = s.cand AND x.alt = g.alt GROUP BY ALL),
     targets AS (SELECT ex, cand, round((CASE WHEN bool_or(both_n = size AND both_n = gsize) THEN 1.0 WHEN bool_or(both_n = gsize) THEN 0.9 ELSE least(0.3, 0.5 * max(CASE WHEN both_n = 0 THEN 0 ELSE 2 * (both_n / size) * (both_n / gsize) / (both_n / size + both_n / gsize) END)) END)::DOUBLE, 6) AS target FROM cm GROUP BY ex, cand)"""
@@ -163,11 +264,25 @@ _B, _T = _base(), _base("p_type")
 _PHRASE = "' ' || array_to_string(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), ' ') || ' '"
 ORACLE_SQL = {
     "axiom_parse": f"WITH {_AXIOMS} SELECT kind, predicate, count(*) AS axioms, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects FROM axioms GROUP BY kind, predicate",
-    "unit_canonicalize": f"WITH {_AXIOMS} SELECT axiom, 'EquivalentClasses(' || least(subject, object) || ' ' || greatest(subject, object) || ')' AS canonical, subject || ' is the same as ' || object AS sentence FROM axioms WHERE predicate = 'EquivalentClasses'",
-    "query_signature": "SELECT c_custkey, 'c' || c_custkey || '|r' || (c_custkey % 5) AS entities, 'inNation|inRegion' AS properties FROM customer",
+    "axiom_text": f"""WITH {_AXIOMS} SELECT axiom, CASE WHEN kind = 'rule' THEN subject || CASE predicate WHEN 'SymmetricObjectProperty' THEN ' is symmetric' WHEN 'TransitiveObjectProperty' THEN ' is transitive' WHEN 'FunctionalObjectProperty' THEN ' is functional' WHEN 'InverseObjectProperties' THEN ' is the inverse of ' || object WHEN 'SubObjectPropertyOf' THEN ' implies ' || object ELSE ' is the same as ' || object END ELSE axiom END AS sentence,
+        CASE kind WHEN 'fact' THEN 'Fact: ' || subject || ' -> ' || predicate || ' -> ' || object WHEN 'rule' THEN 'Axiom: ' || axiom ELSE 'Axiom: ' || string_split(axiom, ' ')[1] || ' -> ' || string_split(axiom, ' ')[2] || ' -> ' || array_to_string(string_split(axiom, ' ')[3:], ' ') END AS line FROM axioms""",
+    "unit_canonicalize": """WITH u AS (SELECT p_partkey, p_partkey % 14 AS k, 'p' || (p_partkey % 97) AS a, p_type AS b, 'q' || p_size AS c FROM part)
+        SELECT p_partkey, CASE k WHEN 0 THEN 'InverseObjectProperties(' || least(a, b) || ',' || greatest(a, b) || ')' WHEN 1 THEN 'SubObjectPropertyOf(' || a || ',' || b || ')' WHEN 2 THEN 'ObjectPropertyChain(' || a || ',' || b || '->' || c || ')' WHEN 3 THEN 'ObjectPropertyChain(' || a || ',' || b || '->' || c || ')'
+            WHEN 4 THEN 'SymmetricObjectProperty(' || a || ')' WHEN 5 THEN 'TransitiveObjectProperty(' || a || ')' WHEN 6 THEN 'FunctionalObjectProperty(' || a || ')' WHEN 7 THEN a || ' domain ' || b WHEN 8 THEN a || ' range ' || b WHEN 9 THEN 'SubObjectPropertyOf(' || a || ',' || b || ')'
+            WHEN 10 THEN a || ' domain ' || b WHEN 11 THEN a || ' range ' || b WHEN 12 THEN '' ELSE a || ' type ' || b END AS canonical FROM u""",
+    "unit_signature": rf"""WITH {_AXIOMS}, e AS (SELECT 'entity' AS kind, unnest(CASE kind WHEN 'fact' THEN list_distinct([subject, object]) WHEN 'rule' THEN [] ELSE list_filter(list_distinct(regexp_extract_all(axiom, '[A-Za-z_][A-Za-z0-9_:-]*')), lambda w: regexp_matches(w, '^[a-z]')) END) AS name FROM axioms
+        UNION ALL SELECT 'property', unnest(CASE kind WHEN 'fact' THEN [predicate] WHEN 'rule' THEN list_distinct(list_filter([subject, object], lambda x: x IS NOT NULL)) ELSE list_distinct(regexp_extract_all(axiom, '[A-Za-z_][A-Za-z0-9_:-]*')) END) FROM axioms) SELECT kind, name, count(*) AS units FROM e GROUP BY ALL""",
+    "query_signature": f"WITH {_QUERIES} SELECT c_custkey, CASE k WHEN 0 THEN 'http://e.org/a#' || c || '|http://e.org/a#' || n WHEN 1 THEN n || '|' || r WHEN 2 THEN c || '|' || n ELSE c || '|' || r END AS entities, CASE k WHEN 0 THEN 'http://e.org/a#inNation' WHEN 1 THEN 'inNation|placed|in' WHEN 2 THEN '' ELSE 'inNation|inRegion' END AS properties FROM queries",
+    "ask_target": f"WITH {_QUERIES} SELECT c_custkey, CASE WHEN k IN (0, 3) THEN 'ASK' ELSE 'SELECT' END AS form, CASE k WHEN 0 THEN c WHEN 1 THEN 'inNation' WHEN 3 THEN 'b' END AS subject, CASE k WHEN 0 THEN 'inNation' WHEN 1 THEN n WHEN 3 THEN c END AS predicate, CASE k WHEN 0 THEN n WHEN 1 THEN 'placed' WHEN 3 THEN 'inNation' END AS object FROM queries",
     "pre_rank_features": f"WITH {_T}, asked AS (SELECT ex, unit FROM (SELECT ex, unit, row_number() OVER (PARTITION BY ex ORDER BY count(*) DESC, unit) AS k FROM units GROUP BY ex, unit) WHERE k <= 2), n AS (SELECT ex, count(*) AS n FROM asked GROUP BY ex), o AS (SELECT s.ex, s.cand, s.size, n.n, count(a.unit) AS both_n FROM sizes s JOIN n USING (ex) LEFT JOIN units u ON u.cand = s.cand LEFT JOIN asked a ON a.ex = s.ex AND a.unit = u.unit GROUP BY ALL) SELECT ex AS example, cand AS candidate, round(both_n / n, 6) AS overlap, round(both_n / n + CASE WHEN size = 0 THEN 0 ELSE 0.02::DOUBLE / size END, 6) AS lexical, round(both_n / n - 0.015::DOUBLE * greatest(size - 3, 0), 6) AS pre_rank FROM o",
     "rank_target": f"WITH {_B}, {_PREFIX}, {_CAND_ALTS} SELECT ex AS example, cand AS candidate, target, (target >= 0.9)::INTEGER AS label FROM targets",
-    "margin_pairs": f"WITH {_B}, {_PREFIX}, {_CAND_ALTS}, k AS (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY target DESC, cand) AS u, row_number() OVER (PARTITION BY ex ORDER BY target, cand) AS d FROM targets), p AS (SELECT a.ex, a.cand AS better, b.cand AS worse, round(a.target - b.target, 6) AS gap, a.target AS high, b.target AS low FROM k a JOIN k b USING (ex) WHERE a.u <= 8 AND b.d <= 8 AND a.target > b.target) SELECT ex AS example, better, worse, gap, (CASE WHEN high >= 0.9 AND low > 0 THEN 2.0 WHEN high >= 0.9 THEN 3.0 WHEN low > 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY gap DESC, better, worse) AS n FROM p) WHERE n <= 16",
+    "margin_pairs": f"""WITH {_B}, {_PREFIX}, {_CAND_ALTS}, k AS (SELECT ex, cand, CASE WHEN target >= 0.999 THEN 4 WHEN target >= 0.899 THEN 3 WHEN target > 0 THEN 2 ELSE 1 END AS s FROM targets),
+        p AS (SELECT a.ex, a.cand AS better, b.cand AS worse, CASE WHEN a.s = 4 AND b.s = 3 THEN 2.0 WHEN b.s = 2 THEN 3.0 WHEN a.s >= 3 THEN 2.0 ELSE 0.5 END AS weight FROM k a JOIN k b USING (ex) WHERE a.s > b.s)
+        SELECT ex AS example, better, worse, weight::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY md5(better || '|' || worse), better, worse) AS n FROM p) WHERE n <= 512""",
+    "reserved_hard_pair": f"""WITH {_B}, {_PREFIX}, {_CAND_ALTS}, t AS (SELECT t.ex, t.cand, target, score FROM targets t JOIN ranked r ON r.cand = t.cand), h AS (SELECT ex, cand, row_number() OVER (PARTITION BY ex ORDER BY target DESC, score DESC, cand) AS n FROM t WHERE target >= 0.9),
+        l AS (SELECT ex, cand, target, row_number() OVER (PARTITION BY ex ORDER BY target <= 0, score DESC, cand) AS n FROM t WHERE target < 0.9) SELECT h.ex AS example, h.cand AS better, l.cand AS worse, CASE WHEN l.target > 0 THEN 'partial' ELSE 'irrelevant' END AS stratum FROM h JOIN l USING (ex) WHERE h.n = 1 AND l.n = 1""",
+    "stratum_subsample": f"""WITH {_B}, {_PREFIX}, {_CAND_ALTS}, t AS (SELECT t.ex, t.cand, target, score, CASE WHEN target >= 0.9 THEN 'positive' WHEN target > 0 THEN 'hard_negative' ELSE 'easy_negative' END AS stratum FROM targets t JOIN ranked r ON r.cand = t.cand),
+        k AS (SELECT *, row_number() OVER (PARTITION BY ex, stratum ORDER BY target DESC, CASE WHEN stratum = 'easy_negative' THEN md5(cand::VARCHAR) ELSE '' END, score DESC, cand) AS place FROM t) SELECT ex AS example, cand AS candidate, stratum, place::INTEGER AS place FROM k WHERE place <= CASE stratum WHEN 'positive' THEN 64 WHEN 'hard_negative' THEN 4 ELSE 2 END""",
     "text_chain_features": rf"""
         WITH {_OVERLAP_SQL}, {SENTENCES_SQL}, top AS (SELECT item_id, doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS k FROM overlap) WHERE k <= 3),
         q AS (SELECT item_id, {_tokens_sql('text')} AS asked, regexp_matches(regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g'), '\b(both|same|than|more|less|either|or)\b') AS compares FROM benchmark),
@@ -178,6 +293,9 @@ ORACLE_SQL = {
         f AS (SELECT v.item_id, size, CASE WHEN n_asked = 0 THEN 0 ELSE ht / n_asked END AS question_title, CASE WHEN n_asked = 0 THEN 0 ELSE ho / n_asked END AS overlap, CASE titles WHEN 1 THEN 0.2 WHEN 2 THEN 0.8 ELSE 1.0 END::DOUBLE AS cross_page, coalesce(hit / n, 0) AS bridge, CASE WHEN NOT compares OR titles <= 1 THEN 0 WHEN titles = 2 THEN 0.65 WHEN titles = 3 THEN 0.85 ELSE 1 END::DOUBLE AS comparison, titles FROM v LEFT JOIN pairs USING (item_id))
         SELECT item_id, size::INTEGER AS size, round(question_title::DOUBLE, 6) AS question_title, round(overlap::DOUBLE, 6) AS overlap, cross_page, round(bridge::DOUBLE, 6) AS bridge, comparison,
         round((0.03 * question_title + 0.02 * overlap + 0.02 * cross_page + 0.025 * bridge + 0.02 * comparison - CASE WHEN size <= 2 THEN 0 WHEN size = 3 THEN 0.002 ELSE 0.004 END - CASE WHEN size >= 2 AND titles <= 1 THEN 0.01 ELSE 0 END)::DOUBLE, 6) AS adjustment FROM f""",
-    "path_counts": f"WITH {_FACTS}, l AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region), l1 AS (SELECT root, s AS node, 1 AS depth FROM l JOIN facts ON o = node), l2 AS (SELECT root, s AS node, 2 AS depth FROM l1 JOIN facts ON o = node), l3 AS (SELECT root, s AS node, 3 AS depth FROM l2 JOIN facts ON o = node), every AS (SELECT * FROM l UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) SELECT root, depth::INTEGER AS depth, count(DISTINCT node) AS nodes, count(*) AS paths FROM every GROUP BY root, depth",
+    "shortest_paths": f"""WITH RECURSIVE {_FACTS}, links AS (SELECT s AS a, o AS b FROM facts WHERE p <> 'placedBy' UNION SELECT DISTINCT 'c' || o_custkey, 's' || l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount >= 0.1), both_ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT root, b, depth + 1 FROM reach JOIN both_ends ON a = node WHERE depth < 12), d AS (SELECT root, node, min(depth) AS depth FROM reach GROUP BY ALL),
+        c AS (SELECT root, node, depth, 1::HUGEINT AS paths FROM d WHERE depth = 0 UNION ALL SELECT * FROM (SELECT c.root, d.node, d.depth, sum(c.paths) AS paths FROM c JOIN both_ends ON a = c.node JOIN d ON d.root = c.root AND d.node = b AND d.depth = c.depth + 1 GROUP BY ALL))
+        SELECT root, depth::INTEGER AS depth, count(*) AS nodes, sum(paths)::BIGINT AS paths FROM c GROUP BY root, depth""",
     "title_mentions": rf"WITH {SENTENCES_SQL}, t AS (SELECT page_id, {_PHRASE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages), s AS (SELECT doc_id, sent_idx, {_PHRASE.format('sentence')} AS text FROM sentences) SELECT page_id, count(*) AS sentences, min(doc_id) AS first_doc FROM t JOIN s ON contains(text, title) WHERE length(title) >= 5 GROUP BY page_id",
 }

@@ -82,11 +82,21 @@ def gold_free_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allowed.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
 
 
+#: A token that more than one document in so many holds says nothing about a question.
+RARE = 5
+
+
 def question_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every question, each document that shares tokens of 4 characters or more: how many. An inverted-index join."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(X.tokens(F.col("text"), 4)).alias("token")).where("token is not null")
+    """For every question, each document that shares rare tokens of 4 characters or more: how many. An inverted-index join.
+
+    Tokens that over a fifth of the documents hold are left out, as stop words are.
+    """
+    own = table(spark, sf_dir, "documents")
+    docs = own.select("doc_id", F.explode_outer(X.tokens(F.col("text"), 4)).alias("token")).where("token is not null")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.explode_outer(X.tokens(F.col("text"), 4)).alias("token")).where("token is not null")
-    return docs.join(items, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    asked = docs.join(items.select("token").distinct(), "token", "left_semi")
+    rare = asked.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") * RARE <= own.count()).select("token")
+    return asked.join(rare, "token").join(items, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
 def sentence_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +114,8 @@ QUERIES = {f.__name__: f for f in (normalize_text, normalize_answer, tokenize_st
 _OVERLAP_SQL = f"""
     dt AS (SELECT doc_id, unnest({_tokens_sql('text', 4)}) AS token FROM documents),
     it AS (SELECT item_id, unnest({_tokens_sql('text', 4)}) AS token FROM benchmark),
-    overlap AS (SELECT item_id, doc_id, count(*) AS shared FROM dt JOIN it USING (token) GROUP BY ALL)
+    rare AS (SELECT token FROM dt GROUP BY token HAVING count(*) * {RARE} <= (SELECT count(*) FROM documents)),
+    overlap AS (SELECT item_id, doc_id, count(*) AS shared FROM dt JOIN rare USING (token) JOIN it USING (token) GROUP BY ALL)
 """
 ORACLE_SQL = {
     "normalize_text": f"SELECT conv_id, turn, {_NORM} AS normal FROM conversations",

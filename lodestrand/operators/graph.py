@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,16 @@ def shared_term_edges(terms: DataFrame, least: int = 2, most: int = 12) -> DataF
     return own.select("example", "term", F.col("node").alias("src")).join(other, ["example", "term"]).where("src < dst").select("example", "src", "dst").distinct()
 
 
+def title_token_edges(sentence_terms: DataFrame, title_terms: DataFrame) -> DataFrame:
+    """(example, src, dst), src < dst: a node whose sentence holds a token of another node's title, and that node.
+
+    Both inputs: (example, node, term), distinct. Without a cap: it reaches no farther than the example.
+    """
+    other = title_terms.select("example", "term", F.col("node").alias("b"))
+    pairs = sentence_terms.select("example", "term", F.col("node").alias("a")).join(other, ["example", "term"]).where("a <> b")
+    return pairs.select("example", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
 def adjacent_edges(nodes: DataFrame) -> DataFrame:
     """(example, src, dst): each node and the next of the same page. ``nodes``: (example, page, position, node)."""
     after = F.lead("node").over(Window.partitionBy("example", F.lower("page")).orderBy("position", "node"))
@@ -59,12 +69,14 @@ def closure_triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir; a temporary one is set only where none is."""
+    """``df`` as a table in the folder of spark.checkpoint.dir; in local mode alone a temporary one is set where none is."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
@@ -75,24 +87,45 @@ def stored(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst): the smallest node reachable.
 
-    Labels spread along edges and then jump to the label's own label, so rounds grow with the logarithm of a component's
-    width; each round is one written table.
+    Two steps alternate until the edges stay the same: every larger neighbour of a node is hung on the smallest of its
+    neighbourhood, then every smaller one. Both are a minimum, which is combined before the shuffle, and a join in which a
+    hub's rows spread by their other end; rounds grow with the logarithm of a component's size, each is one written table.
+    """
+    pairs = edges.where("src is not null and dst is not null")
+    nodes = pairs.select("src").union(pairs.select("dst")).distinct()
+
+    def hang(rows: DataFrame, keep: str) -> DataFrame:
+        least = rows.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return rows.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+    state = stored(pairs.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    sign = None
+    while (now := tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) != sign and now[0]:
+        large = hang(state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v"))), "v > u").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("v"))
+        sign, state = now, stored(least.union(hang(large, "v <> m")).distinct())
+    return nodes.join(state, F.col("src") == F.col("u"), "left").select(F.col("src").alias("node"), F.coalesce("v", "src").alias("component"))
+
+
+def shortest_paths(roots: DataFrame, links: DataFrame, most: int = 64) -> DataFrame:
+    """(root, node, depth, paths): the distance of every node from each root over undirected ``links`` (src, dst), and how many shortest paths there are.
+
+    Levels advance together for all roots, until none finds a new node; each is a written table. ``roots``: (root).
     """
-    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("src", "dst").distinct())
-    label = stored(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("component")).select(F.col("src").alias("node"), "component"))
-    while True:
-        near = both.join(label.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        spread = label.join(near, "node").select("node", F.least("component", "near").alias("via"))
-        jumped = spread.join(label.select(F.col("node").alias("via"), F.col("component").alias("jump")), "via", "left").select("node", F.least("via", F.coalesce("jump", "via")).alias("component"))
-        new = stored(jumped)
-        changed = new.join(label.select("node", F.col("component").alias("old")), "node").where("component <> old").limit(1).count()
-        label = new
-        if not changed:
-            return label
+    both = stored(links.select("src", "dst").union(links.select("dst", "src")).distinct())
+    level = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("paths")))
+    found = level
+    for depth in range(1, most + 1):
+        ahead = level.select("root", F.col("node").alias("src"), "paths").join(both, "src").groupBy("root", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = stored(ahead.join(found.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"), "paths"))
+        if level.isEmpty():
+            return found
+        found = found.union(level)
+    raise ValueError(f"paths go on after {most} steps")
 
 
 def closure(edges: DataFrame, most: int = 32) -> DataFrame:
-    """(src, dst): reflexive-transitive closure of ``edges``, by squaring until nothing new is reached."""
+    """(src, dst): reflexive-transitive closure of ``edges``, by squaring until nothing new is reached; paths of over 2^``most`` steps raise."""
     nodes = edges.select("src").union(edges.select("dst")).distinct()
     reach = stored(edges.select("src", "dst").union(nodes.select("src", F.col("src").alias("dst"))).distinct())
     n = reach.count()
@@ -102,8 +135,4 @@ def closure(edges: DataFrame, most: int = 32) -> DataFrame:
         if (m := reach.count()) == n:
             return reach
         n = m
-    return reach
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    raise ValueError(f"the closure goes on after {most} rounds")

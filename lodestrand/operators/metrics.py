@@ -18,13 +18,23 @@ def bag_overlap(a: Column, b: Column) -> Column:
 
 
 def token_scores(predicted: Column, gold: Column) -> Column:
-    """(precision, recall, f1, em) of answers as bags of tokens; a yes, no or noanswer that differs from the other scores 0."""
-    p, g = X.normalize_answer(predicted), X.normalize_answer(gold)
-    a, b = X.answer_tokens(predicted), X.answer_tokens(gold)
-    clash = (p.isin(*GUARDED) | g.isin(*GUARDED)) & (p != g)
-    both = F.when(clash, F.lit(0)).otherwise(bag_overlap(a, b))
-    precision, recall = S.ratio(both, F.size(a)), S.ratio(both, F.size(b))
-    return F.struct(precision.alias("precision"), recall.alias("recall"), S.harmonic(precision, recall).alias("f1"), (p == g).cast("int").alias("em"))
+    """(precision, recall, f1, em) of answers as bags of tokens; a yes, no or noanswer that differs from the other scores 0.
+
+    Answers are normalised once: the lambda binds the results, so that counting doesn't evaluate them for each token.
+    """
+
+    def score(x: Column) -> Column:
+        clash = (x["p"].isin(*GUARDED) | x["g"].isin(*GUARDED)) & (x["p"] != x["g"])
+        both = F.when(clash, F.lit(0)).otherwise(bag_overlap(x["a"], x["b"]))
+        precision, recall = S.ratio(both, F.size(x["a"])), S.ratio(both, F.size(x["b"]))
+        return F.struct(precision.alias("precision"), recall.alias("recall"), S.harmonic(precision, recall).alias("f1"), (x["p"] == x["g"]).cast("int").alias("em"))
+
+    def cut(x: Column) -> Column:
+        words = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
+        return F.struct(x["p"].alias("p"), x["g"].alias("g"), words(x["p"]).alias("a"), words(x["g"]).alias("b"))
+
+    bound = F.array(F.struct(X.normalize_answer(predicted).alias("p"), X.normalize_answer(gold).alias("g")))
+    return F.transform(F.transform(bound, cut), score)[0]
 
 
 def joint(answer: Column, support: Column) -> Column:

@@ -36,15 +36,15 @@ def candidates(spark: SparkSession, sf_dir: str, unit: str = "p_brand", lineitem
     return orders.join(units, orders["candidate"] == units["l_orderkey"], "left").select("example", "candidate", "score", F.coalesce("units", F.array().cast("array<string>")).alias("units"))
 
 
-def gold(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+def gold(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None, unit: str = "p_brand") -> DataFrame:
     """(example, golds): up to two alternatives for a customer, brands of lines with a high discount, returned or accepted.
 
-    ``lineitem`` stands in for the given table.
+    ``lineitem`` stands in for the given table, ``unit`` for the brand.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("example"))
     lines = (table(spark, sf_dir, "lineitem") if lineitem is None else lineitem).where((F.col("l_discount") >= 0.08) & F.col("l_returnflag").isin("R", "A"))
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    each = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("example", "l_returnflag").agg(F.array_sort(F.collect_set("p_brand")).alias("units"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col(unit).alias("unit"))
+    each = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("example", "l_returnflag").agg(F.array_sort(F.collect_set("unit")).alias("units"))
     pick = lambda flag: F.max(F.when(F.col("l_returnflag") == flag, F.col("units")))
     both = each.groupBy("example").agg(pick("R").alias("first"), pick("A").alias("second"))
     return both.select("example", F.filter(F.array("first", "second"), lambda x: x.isNotNull()).alias("golds"))
