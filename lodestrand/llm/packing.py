@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,30 +195,32 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Bulk-synchronous: bands of lengths, longest first. A superstep matches all pieces of a band that have no place yet
     with the gaps of all sequences, and is written as a part of one table; gaps are what the pieces in that table leave.
     The driver sees counts by size alone, ``capacity`` for each kind at most. From these it knows how many pieces a
-    superstep will place: where that is under a tenth, as many sequences are opened first as the others fill at least.
+    superstep will place: where that is under a tenth, or only the last hundredth of a band is left, as many sequences are
+    opened first as the others fill at least. Gaps are added up once for each band.
     Pieces of equal length differ in no way that matters, so ties go by row number.
     """
     spark = pieces.sparkSession
     own = written(pieces.withColumn("pid", F.monotonically_increasing_id()), "numbered")
     lengths = {r["length"]: r["n"] for r in own.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps, schema = new_path(spark, "supersteps"), "pid long, length long, seq long, gap long, slot int"
-    opened, done = 0, 0
-
-    def taken() -> DataFrame:
-        return spark.read.schema(schema).parquet(*(f"{steps}/{k}" for k in range(done))).where("seq is not null")
-
+    opened, done, gaps = 0, 0, None
+    read = lambda first: spark.read.schema(schema).parquet(*(f"{steps}/{k}" for k in range(first, done)))
     for low, high in bands(capacity):
-        left = own.where((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length")
         closes = {x: n for x, n in lengths.items() if low < x <= high}
+        if not closes:
+            continue
+        left, all_closes = own.where((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length"), sum(closes.values())
+        base, first, base_n = None if gaps is None else written(gaps, "gaps"), done, opened
         while closes:
-            used = taken().groupBy("seq").agg((capacity - F.sum("length")).alias("gap")) if done else spark.createDataFrame([], "seq long, gap long")
-            slots = _slots(used, low, high)
-            opens = {r["size"]: r["n"] for r in slots.groupBy("size").agg(F.count("*").alias("n")).collect()} if done else {}
+            gaps = _gaps(spark, base, base_n, opened, read(first) if done > first else None, capacity)
+            slots = _slots(gaps, low, high)
+            opens = {r["size"]: r["n"] for r in slots.groupBy("size").agg(F.count("*").alias("n")).collect()} if opened else {}
             starts, n, volume = depths(opens, closes)
-            if n > 0.9 * sum(closes.values()):
+            # under a tenth finds a gap, or a hundredth of the band is left and some of it doesn't
+            if n > 0.9 * sum(closes.values()) or (n and done > first and sum(closes.values()) <= 0.01 * all_closes):
                 more = max(-(-volume // capacity), -(-n // (capacity // (low + 1))))
-                fresh = _slots(spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")), low, high)
-                slots, opened = slots.union(fresh) if done else fresh, opened + more
+                opened += more
+                slots = _slots(_gaps(spark, base, base_n, opened, read(first) if done > first else None, capacity), low, high)
                 for k in range(min(MOST_SLOTS, (capacity - low - 1) // high + 1)):
                     opens[capacity - k * high] = opens.get(capacity - k * high, 0) + more
                 starts, n, volume = depths(opens, closes)
@@ -226,15 +228,26 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             superstep(left, slots, spark.createDataFrame(starts, "size long, kind int, start long"), hot).write.parquet(f"{steps}/{done}")
             left = spark.read.schema(schema).parquet(f"{steps}/{done}").where("seq is null").select("pid", "length")
             closes, done = _unmet(starts, closes), done + 1
+        gaps = _gaps(spark, base, base_n, opened, read(first), capacity)
     kept = pieces.columns
     if not done:
         return own.select(*kept, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     # a sequence's pieces in the order of supersteps, as each one's gap tells, and of slots within
     offset = F.sum("length").over(Window.partitionBy("seq").orderBy(F.desc("gap"), "slot")) - F.col("length")
-    places = taken().withColumn("offset", offset).select("pid", "seq", "offset")
+    places = read(0).where("seq is not null").withColumn("offset", offset).select("pid", "seq", "offset")
     return own.join(places, "pid").select(*kept, F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
 
 
+def _gaps(spark: SparkSession, base: DataFrame | None, base_n: int, opened: int, steps: DataFrame | None, capacity: int) -> DataFrame:
+    """(seq, gap) of sequences with room: those of ``base``, those opened since, less what the supersteps since have placed."""
+    rows = spark.range(base_n, opened).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+    rows = rows if base is None else rows.union(base)
+    if steps is None:
+        return rows
+    used = steps.where("seq is not null").select("seq", (-F.col("length")).alias("gap"))
+    return rows.union(used).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
+
+
 def _unmet(starts: list[tuple[int, int, int]], closes: dict[int, int]) -> dict[int, int]:
     """Counts by length of the pieces that meet no gap."""
     left = {size: closes[size] - depth for size, kind, depth in starts if kind == 1 and size in closes}
