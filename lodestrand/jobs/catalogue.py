@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, search, supports, texts
+from . import evaluation, graphs, search, supports, texts
 
-QUERIES = texts.QUERIES | supports.QUERIES | graphs.QUERIES | search.QUERIES
-ORACLE_SQL = texts.ORACLE_SQL | supports.ORACLE_SQL | graphs.ORACLE_SQL | search.ORACLE_SQL
+QUERIES = texts.QUERIES | supports.QUERIES | graphs.QUERIES | search.QUERIES | evaluation.QUERIES
+ORACLE_SQL = texts.ORACLE_SQL | supports.ORACLE_SQL | graphs.ORACLE_SQL | search.ORACLE_SQL | evaluation.ORACLE_SQL

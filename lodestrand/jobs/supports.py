@@ -99,14 +99,6 @@ def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("k").agg(F.count("*").alias("examples"), r6(F.avg("exact")).alias("exact"), r6(F.avg("complete")).alias("complete"), r6(F.avg((F.col("f1") > 0).cast("int"))).alias("hit"), r6(F.avg("f1")).alias("best_f1"))
 
 
-def reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of the first candidate that holds an alternative: mean reciprocal, median, and a histogram by bucket."""
-    ranked = R.rank(candidates(spark, sf_dir)).join(gold(spark, sf_dir), "example")
-    first = ranked.groupBy("example").agg(F.min(F.when(F.exists("golds", lambda g: S.subset(g, F.col("units"))), F.col("rank"))).alias("first"))
-    bucket = F.when(F.col("first").isNull(), "none").when(F.col("first") == 1, "1").when(F.col("first") <= 3, "2-3").when(F.col("first") <= 10, "4-10").otherwise(">=11")
-    return first.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("examples"), r6(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)))).alias("mrr"), F.median("first").alias("median_rank"))
-
-
 def selected_k_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and shares of the adaptive lengths over 1 to 5, absent ones as 0."""
     found = R.adaptive(candidates(spark, sf_dir, "p_type"), THRESHOLD).groupBy("selected_k").agg(F.count("*").alias("n"))
@@ -145,15 +137,6 @@ def outcome_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.transitions(_outcomes(spark, sf_dir, 1), _outcomes(spark, sf_dir, 3))
 
 
-def failure_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why an example has no complete candidate: none at all, no shared unit, some in parts only, or complete but ranked low."""
-    ranked = R.rank(candidates(spark, sf_dir)).join(gold(spark, sf_dir), "example")
-    own = ranked.select("example", "rank", F.exists("golds", lambda g: S.subset(g, F.col("units"))).alias("complete"), F.exists("golds", lambda g: F.arrays_overlap(g, F.col("units"))).alias("partial"))
-    each = own.groupBy("example").agg(F.min(F.when(F.col("complete"), F.col("rank"))).alias("first"), F.max(F.col("partial").cast("int")).alias("partial"))
-    category = F.when(F.col("first") == 1, "complete_first").when(F.col("first") <= 5, "complete_in_five").when(F.col("first").isNotNull(), "complete_low").when(F.col("partial") == 1, "partial").otherwise("disjoint")
-    return each.groupBy(category.alias("category")).agg(F.count("*").alias("examples"))
-
-
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean length and novelty that each threshold from 0 to 1 by 0.01 lets through, and which threshold is best.
 
@@ -178,8 +161,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         rank_candidates, candidate_identity, candidate_cap, fixed_k_union, adaptive_prefix, decision_features, stepwise_selection, best_alternative, best_prefix, pareto_front,
-        saturation, macro_pooled, split_metrics, hit_at_k, reciprocal_rank, selected_k_distribution, size_score_pearson, score_scale, stagewise_outcome, stagewise_cells,
-        outcome_transitions, failure_category, threshold_sweep, benchmark_eval,
+        saturation, macro_pooled, split_metrics, hit_at_k, selected_k_distribution, size_score_pearson, score_scale, stagewise_outcome, stagewise_cells,
+        outcome_transitions, threshold_sweep, benchmark_eval,
     )
 }
 
@@ -236,14 +219,12 @@ ORACLE_SQL = {
     "macro_pooled": f"WITH {_B}, {_PREFIX}, d AS (SELECT dataset, avg(precision) AS p, avg(recall) AS r, avg(f1) AS f, sum(precision) AS sp, sum(recall) AS sr, sum(f1) AS sf, count(*) AS n FROM scored JOIN grains USING (ex) WHERE k = 1 GROUP BY dataset) SELECT round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(f), 6) AS macro_f1, round(sum(sp) / sum(n), 6) AS pooled_precision, round(sum(sr) / sum(n), 6) AS pooled_recall, round(sum(sf) / sum(n), 6) AS pooled_f1 FROM d",
     "split_metrics": f"WITH {_B}, {_PREFIX} SELECT k, coalesce(dataset, 'all') AS dataset, coalesce(domain::VARCHAR, 'all') AS domain, count(*) AS n, round(avg(f1), 6) AS f1, round(avg(recall), 6) AS recall, sum(exact)::BIGINT AS exact FROM scored JOIN grains USING (ex) GROUP BY GROUPING SETS ((k), (k, dataset), (k, domain), (k, dataset, domain))",
     "hit_at_k": f"WITH {_B}, {_PREFIX}, {_COMPLETE}, c AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE both_n / size END AS p, both_n / gsize AS r FROM cand_meets), f AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f FROM c), best AS (SELECT ex, rk, max(CASE WHEN n = 1 AND both_n = size AND both_n = gsize THEN 1 ELSE 0 END) AS exact, max(CASE WHEN both_n = gsize THEN 1 ELSE 0 END) AS complete, max(f) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY ex, rk ORDER BY f DESC, alt) AS n FROM f) GROUP BY ex, rk), e AS (SELECT k, ex, max(exact) AS exact, max(complete) AS complete, max(f1) AS f1 FROM best JOIN (SELECT unnest([1, 3, 5])::INTEGER AS k) ON rk <= k GROUP BY k, ex) SELECT k, count(*) AS examples, round(avg(exact), 6) AS exact, round(avg(complete), 6) AS complete, round(avg(CASE WHEN f1 > 0 THEN 1 ELSE 0 END), 6) AS hit, round(avg(f1), 6) AS best_f1 FROM e GROUP BY k",
-    "reciprocal_rank": f"WITH {_B}, {_PREFIX}, {_COMPLETE}, f AS (SELECT ex, min(CASE WHEN both_n = gsize THEN rk END) AS first FROM cand_meets GROUP BY ex) SELECT CASE WHEN first IS NULL THEN 'none' WHEN first = 1 THEN '1' WHEN first <= 3 THEN '2-3' WHEN first <= 10 THEN '4-10' ELSE '>=11' END AS bucket, count(*) AS examples, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, median(first)::DOUBLE AS median_rank FROM f GROUP BY 1",
     "selected_k_distribution": f"WITH {_T}, {_STEPS}, {_ADAPTIVE}, d AS (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS selected_k) SELECT d.selected_k, count(a.ex) AS n, round(100 * count(a.ex) / (SELECT count(*) FROM adaptive), 6) AS percent FROM d LEFT JOIN adaptive a USING (selected_k) GROUP BY d.selected_k",
     "size_score_pearson": f"WITH {_B}, m AS (SELECT ex, count(*) AS n, avg(size) AS mx, avg(score / 1000) AS my, avg(size * (score / 1000)) AS mxy, avg(size * size) AS mxx, avg((score / 1000) * (score / 1000)) AS myy FROM sizes GROUP BY ex) SELECT ex AS example, CASE WHEN n < 2 OR mxx - mx * mx <= 1e-9 OR myy - my * my <= 1e-9 THEN 0.0 ELSE round((mxy - mx * my) / sqrt((mxx - mx * mx) * (myy - my * my)), 4) END AS pearson FROM m",
     "score_scale": f"WITH {_B} SELECT ex AS example, round(greatest(stddev_pop(score), 1e-12), 4) AS scale FROM ranked WHERE rk <= 5 GROUP BY ex",
     "stagewise_outcome": f"WITH {_B}, {_PREFIX}, near AS (SELECT ex, gsize - both_n AS missing, size - both_n AS extra, gsize FROM (SELECT *, row_number() OVER (PARTITION BY ex ORDER BY gsize - both_n, size - both_n, gsize, alt) AS n FROM meets WHERE k = 3) WHERE n = 1) SELECT ex AS example, outcome, missing::INTEGER AS missing, extra::INTEGER AS extra, gsize::INTEGER AS reference_size FROM outcomes JOIN near USING (ex) WHERE k = 3",
     "stagewise_cells": f"WITH {_B}, {_PREFIX}, rows AS (SELECT outcome, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS correct, dataset, domain::VARCHAR AS domain FROM outcomes JOIN customer ON c_custkey = ex JOIN grains USING (ex) WHERE k = 3), each AS (SELECT 'overall' AS grain, 'all' AS value, outcome, correct FROM rows UNION ALL SELECT 'dataset', dataset, outcome, correct FROM rows UNION ALL SELECT 'domain', domain, outcome, correct FROM rows), frame AS (SELECT g.grain, g.value, o.outcome, c.correct FROM (SELECT DISTINCT grain, value FROM each) g CROSS JOIN (SELECT {_CELLS} AS outcome) o CROSS JOIN (SELECT unnest([0, 1]) AS correct) c) SELECT f.grain, f.value, f.outcome, f.correct::INTEGER AS correct, count(e.outcome) AS n FROM frame f LEFT JOIN each e ON e.grain = f.grain AND e.value = f.value AND e.outcome = f.outcome AND e.correct = f.correct GROUP BY ALL",
     "outcome_transitions": f"WITH {_B}, {_PREFIX} SELECT a.outcome AS was, b.outcome AS now, count(*) AS n FROM outcomes a JOIN outcomes b USING (ex) WHERE a.k = 1 AND b.k = 3 GROUP BY 1, 2",
-    "failure_category": f"WITH {_B}, {_PREFIX}, {_COMPLETE}, f AS (SELECT ex, min(CASE WHEN both_n = gsize THEN rk END) AS first, max(CASE WHEN both_n > 0 THEN 1 ELSE 0 END) AS part FROM cand_meets GROUP BY ex) SELECT CASE WHEN first = 1 THEN 'complete_first' WHEN first <= 5 THEN 'complete_in_five' WHEN first IS NOT NULL THEN 'complete_low' WHEN part = 1 THEN 'partial' ELSE 'disjoint' END AS category, count(*) AS examples FROM f GROUP BY 1",
     "threshold_sweep": f"WITH {_T}, {_STEPS}, {_DECISIONS}, c AS (SELECT floor(round(novelty * rel_top, 6) * 100)::INTEGER AS cell, new_units, next_size FROM decisions), s AS (SELECT h.hundredth, count(c.cell) AS taken, CASE WHEN coalesce(sum(next_size), 0) = 0 THEN 0.0 ELSE round(sum(new_units) / sum(next_size), 6) END AS novel_share FROM (SELECT unnest(range(101))::INTEGER AS hundredth) h LEFT JOIN c ON cell >= hundredth GROUP BY 1) SELECT *, (row_number() OVER (ORDER BY novel_share DESC, taken DESC, hundredth))::INTEGER AS place FROM s",
     "benchmark_eval": f"WITH {_B}, {_PREFIX}, e AS (SELECT g.ex, s.* EXCLUDE (ex) FROM (SELECT DISTINCT ex FROM golds) g LEFT JOIN (SELECT * FROM scored WHERE k = 1) s USING (ex)) SELECT count(*) AS gold_rows, count(*) FILTER (f1 IS NULL) AS missing, round(sum(coalesce(precision, 0)) / count(*), 6) AS precision, round(sum(coalesce(recall, 0)) / count(*), 6) AS recall, round(sum(coalesce(f1, 0)) / count(*), 6) AS f1, round(sum(coalesce(exact, 0)) / count(*), 6) AS exact FROM e",
 }
