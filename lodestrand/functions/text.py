@@ -77,3 +77,50 @@ def local_name(uri: Column) -> Column:
 def identity(units: Column) -> Column:
     """SHA-256 of the units in order, as compact JSON."""
     return F.sha2(F.to_json(units), 256)
+
+
+def parse_support(unit: Column) -> Column:
+    """(title, sent_idx) of SENT::title::index::text, EVIDENCE::title::index or title#index; null for other units."""
+    parts = F.split(unit, UNIT_MARK, 4)
+    marked = F.get(parts, 0).isin("SENT", "EVIDENCE") & (F.size(parts) >= 3)
+    loose = r"^(.*)#(-?\d+)$"
+    title = F.when(marked, F.get(parts, 1)).when(unit.rlike(loose), F.regexp_extract(unit, loose, 1))
+    index = F.when(marked, F.get(parts, 2).try_cast("int")).when(unit.rlike(loose), F.regexp_extract(unit, loose, 2).try_cast("int"))
+    return F.struct(title.alias("title"), index.alias("sent_idx"))
+
+
+def normalize_phrase(text: Column) -> Column:
+    """Lower case, letters, digits and underscores of any script, single spaces: for titles as phrases."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " "), r"\s+", " "))
+
+
+def entity_name(text: Column) -> Column:
+    """The local name of an entity as words: no year at its end, snake and camel case split, then as an answer."""
+    after = F.when(text.contains("#"), F.element_at(F.split(text, "#"), -1)).otherwise(text)
+    local = F.when(after.contains("/") & after.startswith("http"), F.element_at(F.split(F.regexp_replace(after, "/+$", ""), "/"), -1)).otherwise(after)
+    words = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, r"_[0-9]{3,4}$", ""), "_", " "), r"([a-z])([A-Z])", "$1 $2")
+    return normalize_answer(words)
+
+
+#: Answers that say that there is none.
+UNKNOWN = ("", "unknown", "insufficient information", "not enough information", "cannot be determined", "cannot determine")
+
+
+def is_unknown(answer: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(answer, F.lit("")))).isin(*UNKNOWN)
+
+
+def generated_answer(question: Column, answer: Column) -> Column:
+    """A reader's answer: yes or no where the question asks for it, unknown for two ways to say so, else as it is."""
+    a = F.trim(F.coalesce(answer, F.lit("")))
+    low, yes_no = F.lower(a), is_boolean_question(question)
+    return (
+        F.when(yes_no & (low.isin("yes", "true") | low.startswith("yes,")), "yes").when(yes_no & (low.isin("no", "false") | low.startswith("no,")), "no")
+        .when(low.isin("unknown", "insufficient information"), "unknown").otherwise(a)
+    )
+
+
+def json_answer(text: Column, field: str) -> Column:
+    """A field of the first object in a text: fences are stripped, what comes before and after is ignored; null if it doesn't parse."""
+    bare = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^```(?:json)?\s*|\s*```$", "")
+    return F.get_json_object(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), f"$.{field}")

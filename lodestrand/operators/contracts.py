@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns that come from gold answers and never reach candidate generation, ranking or selection.
@@ -40,3 +42,72 @@ def digest(df: DataFrame) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one table has and the other hasn't, repeats included; none if the tables are equal."""
     return a.exceptAll(b).union(b.exceptAll(a))
+
+
+@dataclass(frozen=True)
+class Frozen:
+    """A selection's digest, taken before gold is opened: only the same rows may be scored."""
+
+    rows: int
+    digest: int
+
+    @classmethod
+    def of(cls, selection: DataFrame) -> Frozen:
+        return cls(*digest(selection).first())
+
+    def open(self, selection: DataFrame) -> DataFrame:
+        """``selection`` again, if its rows are those that were frozen; else an error."""
+        if Frozen.of(selection) != self:
+            raise ValueError("the selection isn't the one that was frozen")
+        return selection
+
+
+def split_overlaps(rows: DataFrame, split: str, key: str) -> DataFrame:
+    """(a, b, shared): pairs of splits with ids in common; none if splits are disjoint. Null ids are an error.
+
+    Ids meet by their splits, a set for each id, so pairs grow with the number of splits and not of rows.
+    """
+    if not rows.where(F.col(key).isNull()).isEmpty():
+        raise ValueError("an id is empty")
+    sets = rows.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
+    pairs = F.flatten(F.transform("splits", lambda x: F.transform(F.filter("splits", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
+
+
+def group_starts(rows: DataFrame, part: str, order: str, key: str) -> DataFrame:
+    """(part, key, starts): how often a run of rows with the same key begins, in the order of a part; once if it is contiguous."""
+    before = F.lag(key).over(Window.partitionBy(part).orderBy(order))
+    return rows.withColumn("starts", (~F.col(key).eqNullSafe(before)).cast("int")).groupBy(part, key).agg(F.sum("starts").alias("starts"))
+
+
+def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(side, missing): keys of either side that the other hasn't."""
+    count = lambda a, b, side: a.join(b, key, "left_anti").agg(F.lit(side).alias("side"), F.count("*").alias("missing"))
+    return count(left, right, "left").union(count(right, left, "right"))
+
+
+def clean_triples(triples: DataFrame, synonyms: dict[str, str]) -> DataFrame:
+    """(s, p, o) of ``triples`` (s, p, o, at): spaces collapsed, relations lower-cased and mapped, loops gone, the first of equal ones.
+
+    Triples are equal if they differ in case alone; the first is that of the smallest ``at``, then by its text.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    relation = F.lower(flat("p"))
+    for name, meant in synonyms.items():
+        relation = F.when(F.lower(flat("p")) == name, meant).otherwise(relation)
+    clean = triples.select(flat("s").alias("s"), relation.alias("p"), flat("o").alias("o"), "at").where("s <> '' and p <> '' and o <> '' and lower(s) <> lower(o)")
+    first = clean.groupBy(F.lower("s").alias("ls"), "p", F.lower("o").alias("lo")).agg(F.min(F.struct("at", "s", "o")).alias("t"))
+    return first.select("t.s", "p", "t.o")
+
+
+def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(name, size, sha256) of files; a name with a separator in it can't come out, as only last parts of paths are taken."""
+    files = spark.read.format("binaryFile").load(paths)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_differences(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Names that are missing on a side or whose size or hash differ."""
+    other = after.select("name", F.col("size").alias("size_after"), F.col("sha256").alias("sha256_after"))
+    return before.join(other, "name", "full").where(~(F.col("size").eqNullSafe(F.col("size_after")) & F.col("sha256").eqNullSafe(F.col("sha256_after")))).select("name")
