@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sets import ratio
@@ -57,3 +57,42 @@ def adjustment(weights: dict[str, float], values: dict[str, Column]) -> Column:
         if name in values:
             total = total + weight * values[name]
     return total
+
+
+#: Weights of the compact adjustment.
+COMPACT = {"property": 0.025, "entity": 0.015, "mix": 0.020, "oversize": -0.006, "extra_schema": -0.004}
+MODES = ("neural", "minimality", "completeness", "compact", "proof")
+
+
+def coverage_in(words: Column, text: Column) -> Column:
+    """Share of words that a text holds; 0 without words."""
+    return ratio(F.size(F.filter(words, lambda w: text.contains(w))).cast("double"), F.size(words))
+
+
+def _over(rows: DataFrame) -> Column:
+    return F.greatest(rows["size"] - 2, F.lit(0))
+
+
+def compact(rows: DataFrame) -> Column:
+    """From property, entity, mix, size and schema (units of schema): matches are rewarded, size and more than one rule are not."""
+    extra = F.greatest(rows["schema"] - 1, F.lit(0))
+    return COMPACT["property"] * rows["property"] + COMPACT["entity"] * rows["entity"] + COMPACT["mix"] * rows["mix"] + COMPACT["oversize"] * _over(rows) + COMPACT["extra_schema"] * extra
+
+
+def proof(rows: DataFrame) -> Column:
+    """The compact adjustment, and a large bonus where the question is proved."""
+    return PROOF["proof"] * rows["proof"] + PROOF["coverage"] * rows["coverage"] + PROOF["mix"] * rows["mix"] + PROOF["compact"] * compact(rows) + PROOF["oversize"] * _over(rows)
+
+
+def by_mode(rows: DataFrame, mode: str) -> Column:
+    """The score ``neural`` adjusted by a mode; an unknown mode is an error when the plan is built."""
+    n = rows["neural"]
+    if mode == "neural":
+        return n
+    if mode == "minimality":
+        return n - 0.01 * rows["size"]
+    if mode == "completeness":
+        return n + 0.02 * rows["mix"] + 0.02 * rows["property"] - 0.005 * _over(rows)
+    if mode in ("compact", "proof"):
+        return n + {"compact": compact, "proof": proof}[mode](rows)
+    raise ValueError(f"no score mode {mode}")

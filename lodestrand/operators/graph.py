@@ -68,6 +68,32 @@ def closure_triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return all_three.withColumn("m", F.array_sort(F.array("x", "y", "z"))).select("example", F.col("m")[0].alias("a"), F.col("m")[1].alias("b"), F.col("m")[2].alias("c")).distinct()
 
 
+def select_context(units: DataFrame, asked: DataFrame, budget: int) -> DataFrame:
+    """(example, place, unit): up to ``budget`` units of each example, those that the question names first, then what they lead to.
+
+    ``units``: (example, unit, entities, properties); ``asked``: (example, query_entities, query_properties). A hit weighs
+    2 for each entity and 1 for each property. Then, round by round, units that share a term with the last round's follow,
+    by how often they do, then by the question's terms in them, then by text. All examples advance together; a round is a
+    written table, and there are ``budget`` at most.
+    """
+    both = lambda a, b: F.size(F.array_intersect(a, b))
+    own = units.join(asked, "example").select("example", "unit", F.array_union("entities", "properties").alias("terms"), (2 * both("entities", "query_entities") + both("properties", "query_properties")).alias("hit"), both(F.array_union("entities", "properties"), F.array_union("query_entities", "query_properties")).alias("named"))
+    own = stored(own)
+    order = Window.partitionBy("example").orderBy(F.desc("hit"), "unit")
+    taken = stored(own.where("hit > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget).select("example", "place", "unit", "terms"))
+    frontier = taken
+    while True:
+        near = frontier.select("example", F.explode("terms").alias("term")).join(own.select("example", "unit", "named", F.explode("terms").alias("term")), ["example", "term"])
+        fresh = near.groupBy("example", "unit").agg(F.count("*").alias("n"), F.first("named").alias("named")).join(taken.select("example", "unit"), ["example", "unit"], "left_anti")
+        sizes = taken.groupBy("example").agg(F.count("*").alias("size"))
+        rank = F.row_number().over(Window.partitionBy("example").orderBy(F.desc("n"), F.desc("named"), "unit"))
+        placed = fresh.join(sizes, "example").withColumn("place", F.col("size") + rank).where(F.col("place") <= budget)
+        frontier = stored(placed.join(own.select("example", "unit", "terms"), ["example", "unit"]).select("example", F.col("place").cast("int").alias("place"), "unit", "terms"))
+        if frontier.isEmpty():
+            return taken.select("example", "place", "unit")
+        taken = stored(taken.union(frontier))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the folder of spark.checkpoint.dir; in local mode alone a temporary one is set where none is."""
     spark = df.sparkSession

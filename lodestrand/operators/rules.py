@@ -33,6 +33,12 @@ def inferred_types(types: DataFrame, facts: DataFrame, domain: DataFrame, range_
     return own.join(classes, F.col("c") == F.col("src"), "left").select("s", F.coalesce("dst", "c").alias("c")).distinct()
 
 
+def inverse_types(facts: DataFrame, domain: DataFrame, range_: DataFrame, inverse: DataFrame) -> DataFrame:
+    """(s, c): by the inverse (p, q) of a fact's property p, whose domain holds of the fact's object and whose range of its subject."""
+    turned = facts.join(inverse, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+    return turned.join(domain, "p").select("s", "c").union(turned.join(range_, "p").select(F.col("o").alias("s"), "c")).distinct()
+
+
 def proofs(questions: DataFrame, assertions: DataFrame) -> DataFrame:
     """``questions`` (s, p, o, ...) with proof: TRUE where the triple is among ``assertions``, else null, never FALSE."""
     true = assertions.select("s", "p", "o").distinct().withColumn("proof", F.lit("TRUE"))
