@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import decontam, langid, packing, simhash, substring
@@ -13,27 +13,41 @@ from lodestrand.llm.queries import language_field
 LEAST_SHARE = 0.3
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` as doc_id, text and one column with all others, so that no name of theirs meets an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("apart__")).alias("rest"))
+
+
+def _together(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, in their order, with ``new`` in place of some."""
+    own = {c: F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c) for c in docs.columns}
+    return found.select(*(new.get(c, own[c]).alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or with no language of share ``LEAST_SHARE``, go."""
-    found = langid.label_documents(docs, language_field(spark, sf_dir))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = langid.label_documents(_apart(docs), language_field(spark, sf_dir))
+    return _together(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
-    return simhash.keep_one(docs)
+    return _together(simhash.keep_one(_apart(docs)), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has leave the text; every document stays, n_chars follows."""
-    cut = substring.remove_repeats(docs)
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
-    return cut.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    cut = substring.remove_repeats(_apart(docs))
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return _together(cut, docs, **new)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
-    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _together(decontam.drop_contaminated(_apart(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
