@@ -68,6 +68,15 @@ def closure_triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return all_three.withColumn("m", F.array_sort(F.array("x", "y", "z"))).select("example", F.col("m")[0].alias("a"), F.col("m")[1].alias("b"), F.col("m")[2].alias("c")).distinct()
 
 
+def invariants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: edges, and those that are loops, turned round (src > dst), doubled, or lead to no node of their example."""
+    ends = edges.select("example", F.col("src").alias("node")).union(edges.select("example", F.col("dst").alias("node"))).distinct()
+    known = edges.select("example").distinct().join(nodes.select("example").distinct(), "example", "left_semi")
+    dangling = ends.join(known, "example", "left_semi").join(nodes.select("example", "node"), ["example", "node"], "left_anti").agg(F.count("*").alias("dangling"), F.lit(0).alias("one"))
+    own = edges.groupBy("example", "src", "dst").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.coalesce(F.sum(F.when(F.col("src") == F.col("dst"), F.col("n"))), F.lit(0)).alias("loops"), F.coalesce(F.sum(F.when(F.col("src") > F.col("dst"), F.col("n"))), F.lit(0)).alias("turned"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("doubled"), F.lit(0).alias("one"))
+    return own.join(dangling, "one").drop("one")
+
+
 def select_context(units: DataFrame, asked: DataFrame, budget: int) -> DataFrame:
     """(example, place, unit): up to ``budget`` units of each example, those that the question names first, then what they lead to.
 
