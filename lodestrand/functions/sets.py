@@ -15,13 +15,19 @@ def harmonic(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / F.nullif(p + r, F.lit(0.0)))
 
 
-def scores(found: Column, gold: Column) -> Column:
-    """(precision, recall, f1, jaccard, exact, contains) of distinct arrays; empty sides score 0."""
+def scores(found: Column, gold: Column, both_empty: float = 0.0) -> Column:
+    """(precision, recall, f1, jaccard, exact, contains) of distinct arrays; an empty side scores 0.
+
+    Two empty sets are equal, so exact is 1; their F1 and Jaccard are ``both_empty``: 0 by precision and recall, 1 where
+    nothing to find and nothing found counts as right.
+    """
     both = F.size(F.array_intersect(found, gold))
     p, r = ratio(both, F.size(found)), ratio(both, F.size(gold))
     same = (both == F.size(found)) & (both == F.size(gold))
+    none = (F.size(found) == 0) & (F.size(gold) == 0)
     return F.struct(
-        p.alias("precision"), r.alias("recall"), harmonic(p, r).alias("f1"), ratio(both, F.size(found) + F.size(gold) - both).alias("jaccard"),
+        p.alias("precision"), r.alias("recall"), F.when(none, F.lit(both_empty)).otherwise(harmonic(p, r)).alias("f1"),
+        F.when(none, F.lit(both_empty)).otherwise(ratio(both, F.size(found) + F.size(gold) - both)).alias("jaccard"),
         same.cast("int").alias("exact"), (both == F.size(gold)).cast("int").alias("contains"),
     )
 

@@ -256,11 +256,37 @@ def gold_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold(spark, sf_dir).select("example", F.size(S.ordered_union(F.col("golds"))).alias("size"), F.array_join(S.ordered_union(F.col("golds")), "|").alias("units"))
 
 
+def set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate against the first alternative of its example, an empty set where there is none; two empty sets score 1."""
+    first = gold(spark, sf_dir).select("example", F.col("golds")[0].alias("gold"))
+    rows = candidates(spark, sf_dir).join(first, "example", "left").withColumn("s", S.scores(F.col("units"), F.coalesce("gold", F.array().cast("array<string>")), 1.0))
+    return rows.select("candidate", r6("s.f1").alias("f1"), r6("s.jaccard").alias("jaccard"), F.col("s.exact").alias("exact"))
+
+
+def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each threshold from 0 to 1 by 0.01 the scores of the lengths it chooses, and its place: best F1, then shortest,
+    fewest units, most precise, smallest. An example's lengths are known from three probabilities, so it counts once for each threshold."""
+    d = R.decisions(candidates(spark, sf_dir)).select("example", "at", F.round(F.col("novelty") * F.col("rel_top"), 6).alias("p"))
+    three = d.where("at <= 3").groupBy("example").pivot("at", [1, 2, 3]).agg(F.first("p"))
+    over = lambda k: F.coalesce(F.col(f"`{k}`"), F.lit(-1.0)) * 100 >= F.col("hundredth")
+    k = F.when(~over(1), 1).when(~over(2), 2).when(~over(3), 3).otherwise(5)
+    chosen = three.withColumn("hundredth", F.explode(F.sequence(F.lit(0), F.lit(100)))).select("example", "hundredth", k.alias("k"))
+    s = _scored(spark, sf_dir).select("example", "k", "f1", "precision", "size")
+    each = chosen.join(s, ["example", "k"]).groupBy("hundredth").agg(r6(F.avg("f1")).alias("f1"), r6(F.avg("k")).alias("mean_k"), r6(F.avg("size")).alias("units"), r6(F.avg("precision")).alias("precision"))
+    return each.withColumn("place", F.row_number().over(Window.orderBy(F.desc("f1"), "mean_k", "units", F.desc("precision"), "hundredth")))
+
+
+def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fiftieth of each language's documents and one more, in a hash order that every run repeats."""
+    place = R.hash_rank(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
+    return place.where(F.col("k") <= F.floor(F.col("n") / 50) + 1).select("lang", "doc_id", F.col("k").cast("int").alias("place"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         joint_metrics, three_denominators, weighted_rollup, weighted_pooling, reciprocal_rank, rank_buckets, selected_k_summary, adaptive_policy, pool_diagnostics, failure_category, pool_summary, pool_histogram,
-        conditional_rates, percent_cells, routing_attribution, error_taxonomy, size_diagnostics, row_summary, metric_coalesce, failure_reason, recompute_audit, hit_union_at_k, gold_union,
+        conditional_rates, percent_cells, routing_attribution, error_taxonomy, size_diagnostics, row_summary, metric_coalesce, failure_reason, recompute_audit, hit_union_at_k, gold_union, set_scores, threshold_choice, deterministic_sample,
     )
 }
 
@@ -303,5 +329,10 @@ ORACLE_SQL = {
     "failure_reason": f"WITH {_B}, {_PREFIX}, m AS (SELECT ex, size, both_n, row_number() OVER (PARTITION BY ex ORDER BY both_n DESC, alt) AS n FROM meets WHERE k = 3) SELECT ex AS example, CASE WHEN outcome = 'exact' THEN 'exact' WHEN outcome = 'complete_nonminimal' THEN 'complete_but_nonminimal' WHEN both_n = 0 THEN 'missing_all' WHEN both_n = size THEN 'missing_only' ELSE 'partial' END AS reason FROM m JOIN outcomes USING (ex) WHERE n = 1 AND outcomes.k = 3",
     "recompute_audit": f"WITH {_B}, {_PREFIX} SELECT count(*) AS rows, 0::BIGINT AS mismatches FROM scored",
     "hit_union_at_k": f"WITH {_B}, {_PREFIX} SELECT k, count(*) AS examples, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM scored WHERE k IN (1, 3, 5) GROUP BY k",
+    "set_scores": f"WITH {_B}, a AS (SELECT ex, min(alt) AS alt FROM golds GROUP BY ex), g AS (SELECT golds.ex, unit FROM golds JOIN a USING (ex, alt)), gs AS (SELECT ex, count(*) AS gsize FROM g GROUP BY ex), b AS (SELECT u.cand, count(*) AS n FROM units u JOIN g ON g.ex = u.ex AND g.unit = u.unit GROUP BY u.cand), r AS (SELECT s.cand, s.size, coalesce(gsize, 0) AS gsize, coalesce(n, 0) AS n FROM sizes s LEFT JOIN gs USING (ex) LEFT JOIN b USING (cand)) SELECT cand AS candidate, round((CASE WHEN size = 0 AND gsize = 0 THEN 1 WHEN n = 0 THEN 0 ELSE 2 * (n / size) * (n / gsize) / (n / size + n / gsize) END)::DOUBLE, 6) AS f1, round((CASE WHEN size = 0 AND gsize = 0 THEN 1 ELSE n / (size + gsize - n) END)::DOUBLE, 6) AS jaccard, (n = size AND n = gsize)::INTEGER AS exact FROM r",
+    "threshold_choice": f'''WITH {_B}, {_PREFIX}, {_STEPS}, {_DECISIONS}, p AS (SELECT ex, coalesce(max(round(novelty * rel_top, 6)) FILTER ("at" = 1), -1) AS a, coalesce(max(round(novelty * rel_top, 6)) FILTER ("at" = 2), -1) AS b, coalesce(max(round(novelty * rel_top, 6)) FILTER ("at" = 3), -1) AS c FROM decisions WHERE "at" <= 3 GROUP BY ex), h AS (SELECT unnest(range(101))::INTEGER AS hundredth),
+        k AS (SELECT ex, hundredth, CASE WHEN a * 100 < hundredth THEN 1 WHEN b * 100 < hundredth THEN 2 WHEN c * 100 < hundredth THEN 3 ELSE 5 END AS k FROM p, h), e AS (SELECT hundredth, round(avg(f1), 6) AS f1, round(avg(k.k), 6) AS mean_k, round(avg(size), 6) AS units, round(avg(precision), 6) AS precision FROM k JOIN scored s ON s.ex = k.ex AND s.k = k.k GROUP BY hundredth)
+        SELECT *, (row_number() OVER (ORDER BY f1 DESC, mean_k, units, precision DESC, hundredth))::INTEGER AS place FROM e''',
+    "deterministic_sample": "WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, doc_id, k::INTEGER AS place FROM p WHERE k <= floor(n / 50) + 1",
     "gold_union": f"WITH {_B}, u AS (SELECT ex, unit, min(alt) AS alt FROM golds GROUP BY ex, unit) SELECT ex AS example, count(*)::INTEGER AS size, string_agg(unit, '|' ORDER BY alt, unit) AS units FROM u GROUP BY ex",
 }

@@ -14,7 +14,7 @@ from ..operators import ranking as R
 from ..operators.candidates import Beam, connected_supports
 from ..operators.graph import stored
 from ..sources.tables import candidates, gold, sentences, table
-from .graphs import _FACTS, _facts, _graph
+from .graphs import _ENT, _FACTS, _asked, _facts, _graph
 from .supports import _PREFIX, _base, r6
 from .texts import _OVERLAP_SQL, SENTENCES_SQL, _tokens_sql, question_overlap
 
@@ -246,7 +246,41 @@ def title_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("page_id").agg(F.count("*").alias("sentences"), F.min("doc_id").alias("first_doc"))
 
 
-QUERIES = {f.__name__: f for f in (axiom_parse, axiom_text, unit_canonicalize, unit_signature, query_signature, ask_target, connected_support_search, pre_rank_features, rank_target, margin_pairs, reserved_hard_pair, stratum_subsample, continue_model, text_chain_features, shortest_paths, title_mentions)}
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of a document that mention an entity of it: three fifths of the entity's tokens or more; counted by document."""
+    own = stored(sentences(table(spark, sf_dir, "documents")).select("doc_id", "sent_idx", X.entities(F.regexp_replace("sentence", r"[^\x00-\x7F]", ".")).alias("names"), X.tokens(F.col("sentence"), 1).alias("own")))
+    names = own.select("doc_id", F.explode("names").alias("name")).distinct().withColumn("parts", F.array_distinct(F.split("name", " ")))
+    parts = names.select("doc_id", "name", F.size("parts").alias("n"), F.explode("parts").alias("token"))
+    words = own.select("doc_id", "sent_idx", F.explode("own").alias("token"))
+    hits = words.join(parts, ["doc_id", "token"]).groupBy("doc_id", "sent_idx", "name").agg(F.count("*").alias("k"), F.first("n").alias("n")).where("k * 5 >= n * 3")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("mentions"), F.countDistinct("name").alias("names"))
+
+
+def context_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to twelve sentences of a document's context: the first of each page, then those that share most with the question.
+
+    Lines of a document stand for its pages here: a sentence whose index is a multiple of eight starts one.
+    """
+    asked = _asked(spark, sf_dir)
+    own = sentences(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("example"), "sent_idx", X.tokens(F.col("sentence")).alias("own")).join(asked, "example")
+    page = F.floor(F.col("sent_idx") / 8)
+    first = F.row_number().over(Window.partitionBy("example", page).orderBy("sent_idx")) == 1
+    scored = own.select("example", "sent_idx", F.size(F.array_intersect("own", "asked")).alias("score"), first.alias("first"))
+    place = F.row_number().over(Window.partitionBy("example").orderBy(F.desc("first"), F.when(F.col("first"), F.col("sent_idx")), F.desc("score"), "sent_idx"))
+    return scored.withColumn("place", place).where(F.col("place") <= 12).select("example", F.col("sent_idx").cast("int").alias("sent_idx"), "score", F.col("first").cast("int").alias("is_first"))
+
+
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the first three sentences of a document as a support, and the compact adjustment for texts."""
+    asked = _asked(spark, sf_dir)
+    own = sentences(table(spark, sf_dir, "documents")).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_idx"))).where("k <= 3")
+    sets = own.groupBy(F.col("doc_id").alias("example")).agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list(X.tokens(F.col("sentence"))))).alias("own"), F.array_distinct(F.flatten(F.collect_list(X.tokens(F.col("title"))))).alias("heads"), F.sum("sent_idx").alias("places")).join(asked, "example")
+    q, title = T.coverage(F.col("asked"), F.col("own")), T.coverage(F.col("heads"), F.col("asked"))
+    several, n = (F.col("n") > 1).cast("int"), F.col("n")
+    return sets.select("example", n.alias("size"), r6(q).alias("overlap"), r6(title).alias("title_coverage"), several.alias("several"), r6(n / 6).alias("size_share"), r6(F.col("places") / n).alias("mean_place"), r6(0.02 * q + 0.015 * title + 0.015 * several - 0.006 * F.greatest(n - 2, F.lit(0))).alias("adjustment"))
+
+
+QUERIES = {f.__name__: f for f in (entity_mentions, context_selection, text_features, axiom_parse, axiom_text, unit_canonicalize, unit_signature, query_signature, ask_target, connected_support_search, pre_rank_features, rank_target, margin_pairs, reserved_hard_pair, stratum_subsample, continue_model, text_chain_features, shortest_paths, title_mentions)}
 
 _AXIOMS = f"""
     {_FACTS}, p AS (SELECT *, p_partkey % 8 AS k, 'has' || string_split(p_name, ' ')[2] AS prop, upper(p_type[1]) || lower(p_type[2:]) AS kind_ FROM part),
@@ -262,7 +296,11 @@ _CAND_ALTS = """
     targets AS (SELECT ex, cand, round((CASE WHEN bool_or(both_n = size AND both_n = gsize) THEN 1.0 WHEN bool_or(both_n = gsize) THEN 0.9 ELSE least(0.3, 0.5 * max(CASE WHEN both_n = 0 THEN 0 ELSE 2 * (both_n / size) * (both_n / gsize) / (both_n / size + both_n / gsize) END)) END)::DOUBLE, 6) AS target FROM cm GROUP BY ex, cand)"""
 _B, _T = _base(), _base("p_type")
 _PHRASE = "' ' || array_to_string(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'), ' ') || ' '"
+_BEST = f"best AS (SELECT doc_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, item_id) AS k FROM overlap) WHERE k = 1), asked AS (SELECT b.doc_id, {_tokens_sql('q.text')} AS asked FROM best b JOIN benchmark q ON q.item_id = b.item_id)"
 ORACLE_SQL = {
+    "entity_mentions": rf"WITH {SENTENCES_SQL}, e AS (SELECT DISTINCT doc_id, unnest({_ENT}) AS name FROM sentences), p AS (SELECT doc_id, name, len(list_distinct(string_split(name, ' '))) AS n, unnest(list_distinct(string_split(name, ' '))) AS token FROM e), w AS (SELECT doc_id, sent_idx, unnest({_tokens_sql('sentence', 1)}) AS token FROM sentences), h AS (SELECT doc_id, sent_idx, name FROM w JOIN p USING (doc_id, token) GROUP BY doc_id, sent_idx, name HAVING count(*) * 5 >= max(n) * 3) SELECT doc_id, count(*) AS mentions, count(DISTINCT name) AS names FROM h GROUP BY doc_id",
+    "context_selection": f"WITH {_OVERLAP_SQL}, {SENTENCES_SQL}, {_BEST}, s AS (SELECT doc_id, sent_idx, len(list_intersect({_tokens_sql('sentence')}, asked)) AS score, row_number() OVER (PARTITION BY doc_id, sent_idx // 8 ORDER BY sent_idx) = 1 AS first FROM sentences JOIN asked USING (doc_id)), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first DESC, CASE WHEN first THEN sent_idx END, score DESC, sent_idx) AS place FROM s) SELECT doc_id AS example, sent_idx::INTEGER AS sent_idx, score::INTEGER AS score, first::INTEGER AS is_first FROM k WHERE place <= 12",
+    "text_features": f"WITH {_OVERLAP_SQL}, {SENTENCES_SQL}, {_BEST}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS k FROM sentences), g AS (SELECT doc_id, count(*) AS n, list_distinct(flatten(list({_tokens_sql('sentence')}))) AS own, list_distinct(flatten(list({_tokens_sql('title')}))) AS heads, sum(sent_idx) AS places FROM k WHERE k <= 3 GROUP BY doc_id), f AS (SELECT g.doc_id, n, places, CASE WHEN len(asked) = 0 THEN 0 ELSE len(list_intersect(own, asked)) / len(asked) END AS q, CASE WHEN len(heads) = 0 THEN 0 ELSE len(list_intersect(heads, asked)) / len(heads) END AS t FROM g JOIN asked USING (doc_id)) SELECT doc_id AS example, n AS size, round(q::DOUBLE, 6) AS overlap, round(t::DOUBLE, 6) AS title_coverage, (n > 1)::INTEGER AS several, round(n / 6, 6) AS size_share, round(places / n, 6) AS mean_place, round((0.02 * q + 0.015 * t + 0.015 * (n > 1)::INTEGER - 0.006 * greatest(n - 2, 0))::DOUBLE, 6) AS adjustment FROM f",
     "axiom_parse": f"WITH {_AXIOMS} SELECT kind, predicate, count(*) AS axioms, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects FROM axioms GROUP BY kind, predicate",
     "axiom_text": f"""WITH {_AXIOMS} SELECT axiom, CASE WHEN kind = 'rule' THEN subject || CASE predicate WHEN 'SymmetricObjectProperty' THEN ' is symmetric' WHEN 'TransitiveObjectProperty' THEN ' is transitive' WHEN 'FunctionalObjectProperty' THEN ' is functional' WHEN 'InverseObjectProperties' THEN ' is the inverse of ' || object WHEN 'SubObjectPropertyOf' THEN ' implies ' || object ELSE ' is the same as ' || object END ELSE axiom END AS sentence,
         CASE kind WHEN 'fact' THEN 'Fact: ' || subject || ' -> ' || predicate || ' -> ' || object WHEN 'rule' THEN 'Axiom: ' || axiom ELSE 'Axiom: ' || string_split(axiom, ' ')[1] || ' -> ' || string_split(axiom, ' ')[2] || ' -> ' || array_to_string(string_split(axiom, ' ')[3:], ' ') END AS line FROM axioms""",
