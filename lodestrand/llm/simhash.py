@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one, require, tidy, tidy_group, written
+from .common import one, require, tidy, written
 from .components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -127,7 +127,6 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         digits = [c // BASE**k % BASE for k in range(PARTS)]
         return [c + sign * d for s, d in steps if c + sign * d in tiles and all(0 <= x + sign * y < BASE for x, y in zip(digits, s, strict=True))]
 
-    @tidy_group
     def pack(group: pa.Table) -> pa.Table:
         """A tile as one row."""
         fp = np.sort(one(group["fp"]).to_numpy(zero_copy_only=False))
@@ -138,25 +137,29 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     packed = written(own.select("fp", "cell", "tile").repartition("cell", "tile").groupBy("cell", "tile").applyInArrow(pack, "cell long, tile int, fps binary"), "tiles")
 
     def deal(batches):
-        """Each tile beside those it meets: with all tiles ahead as the first, with all behind as the second of a pair."""
+        """Each tile as the first side of its own groups, and as a part of the second side of those of the cells behind.
+
+        A group (cell, i, j) holds the tile i of a cell, and the tiles j of all cells ahead of it and, from i on, of itself.
+        """
         for batch in batches:
             for c, own, blob in zip(*(one(batch.column(k)).to_pylist() for k in range(3)), strict=True):
-                out = [(True, c, own, b, j) for b in beside(c, 1) for j in range(tiles[b]) if b != c or j >= own]
-                out += [(False, a, i, c, own) for a in beside(c, -1) for i in range(tiles[a]) if a != c or i <= own]
+                out = [(True, c, own, j) for j in range(max(tiles[b] for b in beside(c, 1)))]
+                out += [(False, a, i, own) for a in beside(c, -1) for i in range(tiles[a]) if a != c or i <= own]
                 for k in range(0, len(out), 256):
                     part = out[k : k + 256]
-                    columns = [pa.array(x, t) for x, t in zip(zip(*part, strict=True), (pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([blob] * len(part), pa.binary())], names=["first", "cell", "i", "beside", "j", "fps"])
+                    columns = [pa.array(x, t) for x, t in zip(zip(*part, strict=True), (pa.bool_(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([blob] * len(part), pa.binary())], names=["first", "cell", "i", "j", "fps"])
 
-    @tidy_group
     def compare(group: pa.Table) -> pa.Table:
-        sides = {f: np.frombuffer(b, np.uint64) for f, b in zip(group["first"].to_pylist(), group["fps"].to_pylist(), strict=True)}
-        found = _forest(sides[True], sides[False], radius) if len(sides) == 2 else []  # a tile without fingerprints isn't there
-        links = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        sides: dict[bool, list[bytes]] = {True: [], False: []}
+        for first, blob in zip(group["first"].to_pylist(), group["fps"].to_pylist(), strict=True):
+            sides[first].append(blob)
+        left, right = (np.frombuffer(b"".join(sides[f]), np.uint64) for f in (True, False))
+        links = np.array(_forest(left, right, radius), np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
 
-    pairs = packed.mapInArrow(deal, "first boolean, cell long, i int, beside long, j int, fps binary")
-    return pairs.repartition("cell", "i", "beside", "j").groupBy("cell", "i", "beside", "j").applyInArrow(compare, "a long, b long")
+    pairs = packed.mapInArrow(deal, "first boolean, cell long, i int, j int, fps binary")
+    return pairs.repartition("cell", "i", "j").groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

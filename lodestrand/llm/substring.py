@@ -199,15 +199,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if j > i:
                 yield r, slice(i, j)
 
-    @tidy_group
-    def send(group: pa.Table) -> pa.Table:
-        s, strip = group["strip"][0].as_py(), _Strip(group["rows"][0].as_py(), window, False)
+    @tidy_pair
+    def hashes(s: int, rows: bytes) -> pa.RecordBatch:
+        strip = _Strip(rows, window, False)
         cut = np.uint64(64) - bits
         probes, blocks = np.unique(strip.probe[strip.probes] >> cut), np.unique(strip.probe[strip.anchors] >> cut)
         both = {r: [_squeeze(probes[x]), _squeeze(probes[:0])] for r, x in ranges(probes, int(bits))}
         for r, x in ranges(blocks, int(bits)):
             both[r][1] = _squeeze(blocks[x])
-        return pa.table({"bin": pa.array(list(both), pa.int64()), "strip": pa.array([s] * len(both), pa.int64()), "probes": pa.array([x[0] for x in both.values()], pa.binary()), "blocks": pa.array([x[1] for x in both.values()], pa.binary())})
+        return pa.RecordBatch.from_arrays([pa.array(list(both), pa.int64()), pa.array([s] * len(both), pa.int64()), pa.array([x[0] for x in both.values()], pa.binary()), pa.array([x[1] for x in both.values()], pa.binary())], names=["bin", "strip", "probes", "blocks"])
+
+    def send(batches):
+        for batch in batches:  # a strip at a time: what one took is given back before the next
+            for k in range(batch.num_rows):
+                yield hashes(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
 
     @tidy_group
     def probe(group: pa.Table) -> pa.Table:
@@ -293,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     inner = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()), *(T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(others)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     arrow_out = to_arrow_schema(inner)
     by_strip = strips.groupBy("strip")
-    sent = by_strip.applyInArrow(send, "bin long, strip long, probes binary, blocks binary")
+    sent = strips.mapInArrow(send, "bin long, strip long, probes binary, blocks binary")
     hits = sent.groupBy("bin").applyInArrow(probe, "strip long, hits binary")
     wide = by_strip.cogroup(hits.groupBy("strip")).applyInArrow(widen, "bin long, strip long, full binary, check binary")
     told = wide.groupBy("bin").applyInArrow(earlier, "strip long, full binary, check binary")
