@@ -16,7 +16,7 @@ LEAST_SHARE = 0.3
 def _apart(docs: DataFrame) -> DataFrame:
     """``docs`` as doc_id, text and one column with all others, so that no name of theirs meets an operator's."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("apart__")).alias("rest"))
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
 
 
 def _together(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
