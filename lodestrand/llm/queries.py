@@ -1,11 +1,11 @@
-"""The ten queries of this subpackage: each applies its operator to its whole table."""
+"""The thirteen queries of this subpackage: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, langid, license_scan, packing, quality, sharding, simhash, substring, token_count
+from . import decontam, embed_dedup, langid, lexical_search, license_scan, packing, quality, sharding, simhash, stock_packing, substring, token_count, whitening
 from .common import table
 
 
@@ -67,15 +67,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs, license_scan.fit_on(docs))
 
 
+def op11_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stock_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_quality_classifier, op3_embedding_near_dedup, op4_substring_dedup, op5_best_fit_packing,
         op6_simhash_near_dedup, op7_sharding, op8_language_id, op9_token_counts, op10_license_scan,
+        op11_stock_packing, op12_embedding_whitening, op13_lexical_search,
     )
 }
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 #: The other queries hash with functions that DuckDB lacks (XXH64, CRC-32), use a tokenizer, or learn: they have brute-force tests.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
@@ -103,4 +117,13 @@ ORACLE_SQL: dict[str, str] = {
         words AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS word FROM d),
         kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op13_lexical_search": rf"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOW}, {_TERM}), []) AS t FROM documents),
+        c AS (SELECT count(*) FILTER (len(t) > 0) AS docs, sum(len(t))::BIGINT AS length FROM d),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOW}, {_TERM})) AS term FROM benchmark) GROUP BY ALL),
+        p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, docs),
+        s AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))))::BIGINT AS score FROM p JOIN w USING (term) JOIN q USING (term), c GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 10""",
 }
