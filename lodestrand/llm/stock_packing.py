@@ -20,7 +20,7 @@ CAPACITY = 2048
 DRAWN, PRICED, PIVOTS, SEED = 48, 256, 500, 11
 #: Rows of a length that one task ranks: a thousandth of all, within these bounds.
 LEAST_BIN, MOST_BIN = 64, 200_000
-_EPS = 1e-9
+_EPS, LEAST_PIVOT = 1e-9, 1e-5
 
 
 def free_sums(capacity: int) -> list[int]:
@@ -82,7 +82,13 @@ class Master:
             if self.basis[row] is None and ratio.min() > _EPS:
                 self.level[index] = np.maximum(0, self.level[index] - ratio.min() * times)
                 self.basis[row], self.level[row] = pattern, ratio.min()
-        self.inverse = np.linalg.inv(self.matrix())
+        matrix = np.eye(len(self.lengths))
+        for row, pattern in enumerate(self.basis):
+            if pattern is not None:
+                matrix[:, row] = 0
+                for length, n in pattern.items():
+                    matrix[self.at[length], row] = n
+        self.inverse = np.linalg.inv(matrix)
         worth = [x / capacity if p is None else self.cost(sum(y * n for y, n in p.items())) for x, p in zip(self.lengths, self.basis, strict=True)]
         self.duals = np.array(worth) @ self.inverse
 
@@ -96,13 +102,13 @@ class Master:
         if reduced > -1e-7:
             return False
         step = self.inverse[:, index] @ times
-        up = np.flatnonzero(step > 1e-7)
+        up = np.flatnonzero(step > LEAST_PIVOT)
         if not len(up):
             return False
         ratio = self.level[up] / step[up]
-        least = ratio.min()
-        ties = up[ratio <= least + 1e-9]
-        row = int(ties[np.argmax(step[ties])])
+        ties = up[ratio <= ratio.min() * (1 + 1e-9) + 1e-7]
+        row = int(ties[np.argmax(step[ties])])  # the largest pivot of those that come first, so that errors stay small
+        least = self.level[row] / step[row]
         pivot = self.inverse[row] / step[row]
         columns, rows = np.flatnonzero(np.abs(pivot) > 1e-13), np.flatnonzero(np.abs(step) > 1e-12)
         rows = rows[rows != row]
@@ -115,19 +121,9 @@ class Master:
         self.basis[row] = pattern
         return True
 
-    def matrix(self) -> np.ndarray:
-        out = np.eye(len(self.lengths))
-        for row, pattern in enumerate(self.basis):
-            if pattern is not None:
-                out[:, row] = 0
-                for length, n in pattern.items():
-                    out[self.at[length], row] = n
-        return out
-
     def solution(self) -> list[tuple[dict[int, int], float]]:
-        """The patterns of the basis with their number, solved afresh."""
-        x = np.linalg.solve(self.matrix(), self.need)
-        return [(pattern, max(0.0, float(v))) for pattern, v in zip(self.basis, x, strict=True) if pattern is not None]
+        """The patterns of the basis with their number."""
+        return [(pattern, float(v)) for pattern, v in zip(self.basis, self.level, strict=True) if pattern is not None]
 
 
 def generate(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], float]]:
