@@ -15,7 +15,7 @@ from .common import flat_words, new_path, one, require, slices, tidy, written
 
 CAPACITY, END = 4096, 1
 #: Distinct words each Python worker keeps with their ids; further ones are encoded again in each batch.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 400_000
 #: Slots that a gap has in one superstep at most (the rest of it takes part in the next), and rows of a size that one task ranks.
 MOST_SLOTS, ROWS_A_BIN = 64, 500_000
 _PLAIN = r"^[a-zß-öø-ÿ]+$"
@@ -30,9 +30,10 @@ def vocabulary_path() -> str:
 class WordIds:
     """Token ids of texts by a vocabulary whose pieces never cross white space.
 
-    The distinct words of a batch are encoded once. A trailing run of ``.,;:!?`` after a letter is a piece of its own in
-    the vocabulary's pattern and is split off, so that fewer words are distinct. Words of lower-case letters alone need
-    no pattern: many are encoded in one call, and the end-of-word mark of their last piece tells them apart.
+    The distinct words of a batch are looked up among the words known so far; the others are encoded once. A trailing run
+    of ``.,;:!?`` after a letter is a piece of its own in the vocabulary's pattern and is split off, so that fewer words
+    are distinct. Words of lower-case letters alone need no pattern: many are encoded in one call, and the end-of-word mark
+    of their last piece tells them apart.
     """
 
     def __init__(self, path: str):
@@ -44,57 +45,77 @@ class WordIds:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.full.get_vocab_size()
         self.last = np.array([(self.full.id_to_token(k) or "").endswith("</w>") for k in range(size)])
-        self.kept: dict[str, np.ndarray] = {}
-
-    def _encode(self, words: list[str], plain: list[bool]) -> list[np.ndarray]:
-        out: list = [self.kept.get(w) for w in words]
-        simple = [k for k, (x, p) in enumerate(zip(out, plain, strict=True)) if x is None and p]
+        self.known = pa.array([], pa.large_string())
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in one array, where each word's begin, and how many it has."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        flat, size = [], np.zeros(len(words), np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(pc.invert(plain))])
+        simple = words.filter(plain).to_pylist()
+        at = 0
         for i in range(0, len(simple), 5000):
             part = simple[i : i + 5000]
-            ids = np.array(self.plain.encode(" ".join([words[k] for k in part]), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.last[ids]) + 1
             if len(stops) != len(part):
                 raise ValueError("the vocabulary marks no ends of words")
-            start = 0
-            for k, stop in zip(part, stops.tolist(), strict=True):
-                out[k] = ids[start:stop].copy()
-                start = stop
-        rest = [k for k, x in enumerate(out) if x is None]
+            size[order[at : at + len(part)]] = np.diff(stops, prepend=0)
+            flat.append(ids)
+            at += len(part)
+        rest = words.filter(pc.invert(plain)).to_pylist()
         for i in range(0, len(rest), 5000):
-            part = rest[i : i + 5000]
-            for k, e in zip(part, self.full.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, np.uint32)
-        if len(self.kept) < KEPT_WORDS:
-            self.kept.update(zip(words[: KEPT_WORDS - len(self.kept)], out, strict=False))
-        return out
-
-    def __call__(self, texts: pa.Array):
-        """For every text its ids, without special tokens."""
-        words, offsets = flat_words(texts)
-        coded = words.dictionary_encode()
+            found = [e.ids for e in self.full.encode_batch_fast(rest[i : i + 5000], add_special_tokens=False)]
+            size[order[at : at + len(found)]] = [len(x) for x in found]
+            flat.append(np.array([x for ids in found for x in ids], np.uint32))
+            at += len(found)
+        first = np.empty(len(words), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate([*flat, np.zeros(0, np.uint32)]), first, size
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For distinct words how many ids each has, and all of them in one array."""
         # lower case is the same to the vocabulary, but not in the strings of its special tokens
-        chunks = pc.if_else(pc.match_substring(coded.dictionary, "<|"), coded.dictionary, pc.ascii_lower(coded.dictionary))
+        chunks = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
         ends = pc.match_substring_regex(chunks, r"[a-zà-öø-ÿ][.,;:!?]+$")
         stems = pc.if_else(ends, pc.replace_substring_regex(chunks, r"[.,;:!?]+$", ""), chunks)
         tails = pc.if_else(ends, pc.replace_substring_regex(chunks, r"^.*?([.,;:!?]+)$", r"\1"), pa.scalar("", chunks.type))
         parts = pa.concat_arrays([stems, tails]).dictionary_encode()
-        ids = self._encode(parts.dictionary.to_pylist(), pc.match_substring_regex(parts.dictionary, _PLAIN).to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, first = np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum(size) - size
-        index = parts.indices.to_numpy(zero_copy_only=False)
-        stem, tail = index[: len(chunks)], index[len(chunks) :]
+        flat, first, size = self._encode(parts.dictionary)
+        index = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()  # stem and tail of each word in turn
+        return size[index].reshape(-1, 2).sum(axis=1), _runs(flat, first, size, index)
+
+    def __call__(self, texts: pa.Array):
+        """For every text its ids, without special tokens."""
+        words, offsets = flat_words(texts)
+        coded = words.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        at, size, flat = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64), self.size, self.flat
+        if found.null_count:
+            fresh = coded.dictionary.filter(pc.is_null(found))
+            n, ids = self._words(fresh)
+            at[at < 0] = len(size) + np.arange(len(fresh))
+            size, flat = np.concatenate([size, n]), np.concatenate([flat, ids])
+            if len(size) <= KEPT_WORDS:
+                self.known, self.size, self.flat = pa.concat_arrays([self.known, fresh.cast(pa.large_string())]), size, flat
+        first = np.cumsum(size) - size
         codes = coded.indices.to_numpy(zero_copy_only=False)
         for i, j in _slices(offsets, 500_000):
-            own = codes[offsets[i] : offsets[j]]
-            pieces = np.stack([stem[own], tail[own]], axis=1).ravel()
-            n = size[pieces]
-            done = np.cumsum(n)
-            at = np.arange(done[-1] if len(done) else 0) + np.repeat(first[pieces] - (done - n), n)
-            got, edge = flat[at], np.concatenate([[0], done])[2 * (offsets[i : j + 1] - offsets[i])]
+            own = at[codes[offsets[i] : offsets[j]]]
+            edge = np.concatenate([[0], np.cumsum(size[own])])[offsets[i : j + 1] - offsets[i]]
+            got = _runs(flat, first, size, own)
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 yield got[a:b]
 
 
+def _runs(flat: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of a flat array, one behind the other."""
+    n = size[which]
+    done = np.cumsum(n)
+    return flat[np.arange(done[-1] if len(done) else 0) + np.repeat(first[which] - (done - n), n)]
+
+
 def _slices(offsets: np.ndarray, most: int):
     """Runs [i, j) of texts with about ``most`` words each, one text at least."""
     i, n = 0, len(offsets) - 1

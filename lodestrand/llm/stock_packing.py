@@ -20,6 +20,8 @@ CAPACITY = 2048
 DRAWN, PRICED, PIVOTS, SEED = 48, 256, 500, 11
 #: Rows of a length that one task ranks: a thousandth of all, within these bounds.
 LEAST_BIN, MOST_BIN = 64, 200_000
+#: Pieces that go on to the next step at once.
+ROWS_AT_ONCE = 1000
 _EPS, LEAST_PIVOT = 1e-9, 1e-5
 
 
@@ -64,7 +66,7 @@ class Master:
     """The linear program: every length's pieces go to patterns or to the tape, at least cost.
 
     The tape is what is laid end to end and cut at the capacity; a piece on it costs its share of a cut. A pattern that
-    fills the capacity costs nothing, one that ends at a smaller power of two half as much as the tape. Revised simplex
+    fills the capacity costs nothing, one that ends at a smaller power of two nine tenths of the tape. Revised simplex
     with the inverse of the basis; the tape is the first basis.
     """
 
@@ -74,7 +76,7 @@ class Master:
         self.at = {length: k for k, length in enumerate(self.lengths)}
         self.need = np.array([demand[length] for length in self.lengths], float)
         self.basis: list[dict[int, int] | None] = [None] * len(self.lengths)
-        self.level = self.need.copy()
+        self.level, order = self.need.copy(), []
         for pattern in first:
             index, times = np.array([self.at[x] for x in pattern]), np.array(list(pattern.values()), float)
             ratio = self.level[index] / times
@@ -82,26 +84,37 @@ class Master:
             if self.basis[row] is None and ratio.min() > _EPS:
                 self.level[index] = np.maximum(0, self.level[index] - ratio.min() * times)
                 self.basis[row], self.level[row] = pattern, ratio.min()
-        matrix = np.eye(len(self.lengths))
-        for row, pattern in enumerate(self.basis):
-            if pattern is not None:
-                matrix[:, row] = 0
-                for length, n in pattern.items():
-                    matrix[self.at[length], row] = n
-        self.inverse = np.linalg.inv(matrix)
+                order.append(row)
+        # a length that is used up stands in no later pattern: in the order of entering the basis is triangular
+        self.inverse, entered = np.eye(len(self.lengths)), []
+        uses = np.zeros((len(self.lengths), len(self.lengths)))
+        for row in order:
+            for length, n in self.basis[row].items():
+                uses[self.at[length], row] = n
+        for row in order:
+            earlier = [k for k in entered if uses[row, k]]
+            self.inverse[row] = (self.inverse[row] - (uses[row, earlier][:, None] * self.inverse[earlier]).sum(axis=0)) / uses[row, row]
+            entered.append(row)
+        for row in set(range(len(self.lengths))) - set(order):
+            earlier = np.flatnonzero(uses[row])
+            self.inverse[row] -= (uses[row, earlier][:, None] * self.inverse[earlier]).sum(axis=0)
         worth = [x / capacity if p is None else self.cost(sum(y * n for y, n in p.items())) for x, p in zip(self.lengths, self.basis, strict=True)]
-        self.duals = np.array(worth) @ self.inverse
+        self.duals = (np.array(worth)[:, None] * self.inverse).sum(axis=0)
+
+    def tape_and_more(self) -> float:
+        """What the present numbers cost."""
+        return float((self.duals * self.need).sum())
 
     def cost(self, total: int) -> float:
-        return 0.0 if total == self.capacity else total / (2 * self.capacity)
+        return 0.0 if total == self.capacity else 0.9 * total / self.capacity
 
     def enter(self, pattern: dict[int, int]) -> bool:
         """One pivot, if the pattern still lowers the cost."""
         index, times = np.array([self.at[x] for x in pattern]), np.array(list(pattern.values()), float)
-        reduced = self.cost(sum(x * n for x, n in pattern.items())) - self.duals[index] @ times
+        reduced = self.cost(sum(x * n for x, n in pattern.items())) - (self.duals[index] * times).sum()
         if reduced > -1e-7:
             return False
-        step = self.inverse[:, index] @ times
+        step = (self.inverse[:, index] * times).sum(axis=1)
         up = np.flatnonzero(step > LEAST_PIVOT)
         if not len(up):
             return False
@@ -138,7 +151,7 @@ def generate(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     if not demand:
         return []
     master, rng, pivots = Master(demand, capacity, [p for p, _ in fill(demand, capacity)[0]]), np.random.default_rng(SEED), 0
-    while pivots < PIVOTS and master.duals @ master.need > 0.5:
+    while pivots < PIVOTS and master.tape_and_more() > 0.5:
         order, found = rng.permutation(len(master.lengths)), 0
         for i in range(0, len(order), PRICED):
             got = _price(master, sorted(order[i : i + PRICED].tolist()), demand)
@@ -278,18 +291,24 @@ class Places:
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int, end_id: int) -> DataFrame:
     """(id, start, length, crc, doc_tokens, ids): documents' ids with the end id, cut every ``capacity``; ``ids`` of shorter pieces alone."""
 
+    def as_batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([one(batch.column(0)).take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:5]), pa.array(columns[5], pa.binary())], names=["id", "start", "length", "crc", "doc_tokens", "ids"])
+
     @tidy
     def run(batches):
         coder = _CODERS.get(path) or _CODERS.setdefault(path, WordIds(path))
-        for batch in (part for b in batches for part in slices(b, 1, 32 << 20)):
+        for batch in (part for b in batches for part in slices(b, 1, 16 << 20)):
             rows: list[tuple] = []
             for k, ids in enumerate(coder(pc.fill_null(one(batch.column(1)), ""))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for i in range(0, len(ids), capacity):
                     own = ids[i : i + capacity].tobytes()
                     rows.append((k, i, len(own) // 4, zlib.crc32(own), len(ids), own if len(own) < 4 * capacity else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([one(batch.column(0)).take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:5]), pa.array(columns[5], pa.binary())], names=["id", "start", "length", "crc", "doc_tokens", "ids"])
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield as_batch(batch, rows)
+                    rows = []
+            yield as_batch(batch, rows)
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("start", "length", "crc", "doc_tokens")), T.StructField("ids", T.BinaryType())])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
