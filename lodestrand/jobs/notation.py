@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import contracts as C
 from ..operators import ranking as R
 from ..sources.tables import candidates, sentences, table
 from .supports import _base
@@ -95,14 +96,14 @@ def grain_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backend_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose source isn't on the list of denied ones, by the host of their address."""
+    """Pages by the host of their address as the backend that made them: a contaminated one among them raises."""
     host = F.regexp_extract(F.lower("url"), r"^https?://([^/]+)", 1)
-    return table(spark, sf_dir, "pages").where(~host.rlike("gold|oracle|annotation|^thenth")).groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
+    return C.refuse_backends(table(spark, sf_dir, "pages").select(host.alias("host")), "host").groupBy("host").agg(F.count("*").alias("pages"))
 
 
 def prediction_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of another format: lists flattened, booleans as yes and no, evidence marks taken from free text, each once."""
-    own = sentences(table(spark, sf_dir, "documents")).where("sent_idx < 6")
+    own = sentences(table(spark, sf_dir, "documents"))
     mark = F.concat(F.lit("see EVIDENCE::"), F.col("title"), F.lit("::"), F.col("sent_idx").cast("string"), F.lit("; "))
     text = own.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(mark, mark))), "").alias("text"))
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(EVIDENCE::[^:;]+::\d+)"), F.lit(1)))
@@ -131,6 +132,6 @@ ORACLE_SQL = {
     "prompt_text": f"WITH {SENTENCES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS k FROM sentences) SELECT doc_id, 'Title: ' || title || chr(10) || string_agg('(' || sent_idx || ') ' || sentence, chr(10) ORDER BY sent_idx) || chr(10) || 'Answer:' AS prompt FROM k WHERE k <= 3 GROUP BY doc_id, title",
     "evidence_keys": """SELECT '{"a":"' || l_returnflag || '","b":"' || (l_partkey % 25) || '"}' AS key, count(*) AS lines FROM lineitem GROUP BY 1""",
     "grain_inference": "SELECT CASE o_orderkey % 3 WHEN 0 THEN '2hop' WHEN 1 THEN '1hop' ELSE 'unknown_hop' END AS hop, CASE o_custkey % 5 WHEN 0 THEN 'BIN' WHEN 1 THEN 'OPEN' WHEN 2 THEN 'UNKNOWN_ANSWER_TYPE' WHEN 3 THEN 'BIN' ELSE 'OPEN' END AS answer_type, count(*) AS examples FROM orders GROUP BY ALL",
-    "backend_denied": "WITH h AS (SELECT regexp_extract(lower(url), '^https?://([^/]+)', 1) AS host FROM pages) SELECT host, count(*) AS pages FROM h WHERE NOT regexp_matches(host, 'gold|oracle|annotation|^thenth') GROUP BY host",
-    "prediction_convert": f"WITH {SENTENCES_SQL} SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'yes' ELSE 'no' END AS answer, count(*)::INTEGER AS n, string_agg(e, '|' ORDER BY e) AS evidence FROM (SELECT doc_id, 'EVIDENCE::' || title || '::' || sent_idx AS e FROM sentences WHERE sent_idx < 6) GROUP BY doc_id",
+    "backend_denied": "WITH h AS (SELECT regexp_extract(lower(url), '^https?://([^/]+)', 1) AS host FROM pages) SELECT host, count(*) AS pages FROM h WHERE NOT contains(host, 'provided') GROUP BY host",
+    "prediction_convert": f"WITH {SENTENCES_SQL} SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'yes' ELSE 'no' END AS answer, count(*)::INTEGER AS n, string_agg(e, '|' ORDER BY e) AS evidence FROM (SELECT doc_id, 'EVIDENCE::' || title || '::' || sent_idx AS e FROM sentences) GROUP BY doc_id",
 }

@@ -11,7 +11,7 @@ from ..functions import sets as S
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import ranking as R
-from ..operators.candidates import Beam, connected_supports
+from ..operators import beam as B
 from ..operators.graph import stored
 from ..sources.tables import candidates, gold, sentences, table
 from .graphs import _ENT, _FACTS, _asked, _facts, _graph
@@ -93,10 +93,11 @@ def ask_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connected_support_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supports of up to three sentences in each document's evidence graph; no SQL: a beam."""
+    """Supports that the search at its frozen setting keeps in each document's evidence graph; no SQL: a beam."""
     nodes, edges = _graph(spark, sf_dir)
-    found = connected_supports(nodes.select("example", "node", F.round("score", 6).alias("score")), edges, Beam(most_nodes=3, seeds=4, neighbours=6, first_hops=4))
-    return found.select("example", F.array_join(F.transform("members", lambda m: m.cast("string")), "|").alias("members"), "score")
+    found = B.progressive(nodes.select("example", "node", F.round("score", 6).alias("score"), "is_anchor"), edges, B.Search())
+    best = found.groupBy("example", "members").agg(F.max("score").alias("score"))
+    return best.select("example", F.array_join(F.transform("members", lambda m: m.cast("string")), "|").alias("members"), "score")
 
 
 def pre_rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,27 +145,41 @@ def margin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return high.join(low, ["example", "below"]).withColumn("place", place).where(F.col("place") <= MOST_PAIRS).select("example", "better", "worse", "weight")
 
 
-def reserved_hard_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pair that every sample keeps: the best complete candidate against the first partial one, else the first irrelevant."""
+def _reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(example, better, worse, stratum): the best complete candidate, and the first partial one, else the first irrelevant."""
     t = _targets(spark, sf_dir).select("example", "candidate", "score", "target")
     best = t.where("target >= 0.9").groupBy("example").agg(F.min_by("candidate", F.struct(-F.col("target"), -F.col("score"), "candidate")).alias("better"))
     rest = t.where("target < 0.9").groupBy("example").agg(F.min_by("candidate", F.struct(F.col("target") <= 0, -F.col("score"), "candidate")).alias("worse"), F.max(F.when(F.col("target") > 0, "partial").otherwise("irrelevant")).alias("stratum"))
     return best.join(rest, "example").select("example", "better", "worse", "stratum")
 
 
-#: Candidates of a stratum that a training step takes: complete ones, partial ones, irrelevant ones.
-STRATUM_SIZES = {"positive": 64, "hard_negative": 4, "easy_negative": 2}
+def reserved_hard_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair that every sample keeps."""
+    return _reserved(spark, sf_dir)
+
+
+#: Candidates of a stratum that a training step takes: complete ones, partial ones, irrelevant ones.
+STRATUM_SIZES = {"positive": 64, "hard_negative": 128, "easy_negative": 128}
 
 
 def stratum_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates for a training step: complete and partial ones by target, irrelevant ones in a hash order, so many of each."""
-    t = _targets(spark, sf_dir).withColumn("stratum", F.when(F.col("target") >= 0.9, "positive").when(F.col("target") > 0, "hard_negative").otherwise("easy_negative"))
+    """Candidates for a training step: complete and partial ones by target, irrelevant ones in a hash order, so many of each.
+
+    The reserved pair is always among them: where its place is beyond its stratum's last, it takes the last.
+    """
+    return _subsample(_targets(spark, sf_dir), _reserved(spark, sf_dir), STRATUM_SIZES)
+
+
+def _subsample(targets: DataFrame, reserved: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    kept = reserved.select("example", F.explode(F.array("better", "worse")).alias("candidate"), F.lit(True).alias("reserved"))
+    t = targets.withColumn("stratum", F.when(F.col("target") >= 0.9, "positive").when(F.col("target") > 0, "hard_negative").otherwise("easy_negative")).join(kept, ["example", "candidate"], "left")
     chance = F.when(F.col("stratum") == "easy_negative", F.md5(F.col("candidate").cast("string"))).otherwise("")
-    place = F.row_number().over(Window.partitionBy("example", "stratum").orderBy(F.desc("target"), chance, F.desc("score"), "candidate"))
-    most = F.lit(None).cast("int")
-    for name, n in STRATUM_SIZES.items():
-        most = F.when(F.col("stratum") == name, n).otherwise(most)
-    return t.withColumn("place", place).where(F.col("place") <= most).select("example", "candidate", "stratum", "place")
+    own = Window.partitionBy("example", "stratum")
+    most = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col("stratum")]
+    t = t.withColumn("place", F.row_number().over(own.orderBy(F.desc("target"), chance, F.desc("score"), "candidate"))).withColumn("most", most)
+    late = F.max(F.coalesce(F.col("reserved"), F.lit(False)) & (F.col("place") > F.col("most"))).over(own)
+    t = t.withColumn("late", late).where((F.col("place") < F.col("most")) | (F.col("late") & F.col("reserved")) | (~F.col("late") & (F.col("place") == F.col("most"))))
+    return t.select("example", "candidate", "stratum", F.least("place", "most").alias("place"))
 
 
 def continue_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +335,11 @@ ORACLE_SQL = {
     "reserved_hard_pair": f"""WITH {_B}, {_PREFIX}, {_CAND_ALTS}, t AS (SELECT t.ex, t.cand, target, score FROM targets t JOIN ranked r ON r.cand = t.cand), h AS (SELECT ex, cand, row_number() OVER (PARTITION BY ex ORDER BY target DESC, score DESC, cand) AS n FROM t WHERE target >= 0.9),
         l AS (SELECT ex, cand, target, row_number() OVER (PARTITION BY ex ORDER BY target <= 0, score DESC, cand) AS n FROM t WHERE target < 0.9) SELECT h.ex AS example, h.cand AS better, l.cand AS worse, CASE WHEN l.target > 0 THEN 'partial' ELSE 'irrelevant' END AS stratum FROM h JOIN l USING (ex) WHERE h.n = 1 AND l.n = 1""",
     "stratum_subsample": f"""WITH {_B}, {_PREFIX}, {_CAND_ALTS}, t AS (SELECT t.ex, t.cand, target, score, CASE WHEN target >= 0.9 THEN 'positive' WHEN target > 0 THEN 'hard_negative' ELSE 'easy_negative' END AS stratum FROM targets t JOIN ranked r ON r.cand = t.cand),
-        k AS (SELECT *, row_number() OVER (PARTITION BY ex, stratum ORDER BY target DESC, CASE WHEN stratum = 'easy_negative' THEN md5(cand::VARCHAR) ELSE '' END, score DESC, cand) AS place FROM t) SELECT ex AS example, cand AS candidate, stratum, place::INTEGER AS place FROM k WHERE place <= CASE stratum WHEN 'positive' THEN 64 WHEN 'hard_negative' THEN 4 ELSE 2 END""",
+        k AS (SELECT *, row_number() OVER (PARTITION BY ex, stratum ORDER BY target DESC, CASE WHEN stratum = 'easy_negative' THEN md5(cand::VARCHAR) ELSE '' END, score DESC, cand) AS place FROM t), h AS (SELECT ex, cand, row_number() OVER (PARTITION BY ex ORDER BY target DESC, score DESC, cand) AS n FROM t WHERE target >= 0.9), l AS (SELECT ex, cand, row_number() OVER (PARTITION BY ex ORDER BY target <= 0, score DESC, cand) AS n FROM t WHERE target < 0.9),
+        kept AS (SELECT unnest([h.cand, l.cand]) AS cand FROM h JOIN l USING (ex) WHERE h.n = 1 AND l.n = 1),
+        m AS (SELECT *, CASE stratum WHEN 'positive' THEN 64 ELSE 128 END AS most, cand IN (SELECT cand FROM kept) AS held FROM k),
+        w AS (SELECT *, bool_or(held AND place > most) OVER (PARTITION BY ex, stratum) AS late FROM m)
+        SELECT ex AS example, cand AS candidate, stratum, least(place, most)::INTEGER AS place FROM w WHERE place < most OR (late AND held) OR (NOT late AND place = most)""",
     "text_chain_features": rf"""
         WITH {_OVERLAP_SQL}, {SENTENCES_SQL}, top AS (SELECT item_id, doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS k FROM overlap) WHERE k <= 3),
         q AS (SELECT item_id, {_tokens_sql('text')} AS asked, regexp_matches(regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g'), '\b(both|same|than|more|less|either|or)\b') AS compares FROM benchmark),

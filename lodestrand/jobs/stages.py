@@ -20,13 +20,15 @@ def split_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contiguous_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose lines aren't one run of a customer's stream of events: how many runs each user's events fall into, by hour.
+    """How many runs of neighbouring events each user's events fall into, over the whole file in the order of its ids."""
+    runs = C.runs(C.in_order(table(spark, sf_dir, "events"), "event_id"), "user_id", "event_id")
+    return runs.groupBy("user_id").agg(F.count("*").alias("starts")).groupBy("starts").agg(F.count("*").alias("groups"))
 
-    A group is broken if it starts more than once in the order of the file. The order is taken by hour, so that no task
-    holds the whole file; a run that crosses the hour starts again, in both.
-    """
-    rows = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("part"), "event_id", "user_id")
-    return C.group_starts(rows, "part", "event_id", "user_id").groupBy("starts").agg(F.count("*").alias("groups"))
+
+def conversation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a stream of groups: each conversation must be one run, or this raises."""
+    turns = C.in_order(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return C.contiguous(turns, "conv_id", "turn").select("conv_id", F.col("first").alias("first_turn"), "rows")
 
 
 def last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +52,11 @@ def unit_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: candidates joined to their order by identity, and whether both sides hold the same ones as often."""
-    c = candidates(spark, sf_dir)
-    by = c.groupBy("example", X.identity(F.col("units")).alias("identity")).agg(F.count("*").alias("n"))
-    order = R.rank(c).groupBy("example", X.identity(F.col("units")).alias("identity")).agg(F.count("*").alias("m"), F.min("rank").alias("rank"))
-    return by.join(order, ["example", "identity"], "full").agg(F.count("*").alias("identities"), F.count_if(~F.col("n").eqNullSafe(F.col("m"))).alias("unequal"), F.sum("rank").cast("bigint").alias("ranks"))
+    """One row: candidates joined by identity to what the lines of later ship dates alone make: identities, and those that the two sides hold unlike often."""
+    of = lambda lines, n: candidates(spark, sf_dir, lineitem=lines).groupBy("example", X.identity(F.col("units")).alias("identity")).agg(F.count("*").alias(n))
+    lines = table(spark, sf_dir, "lineitem")
+    both = of(lines, "n").join(of(lines.where(F.year("l_shipdate") > 1992), "m"), ["example", "identity"], "full")
+    return both.agg(F.count("*").alias("identities"), F.count_if(~F.col("n").eqNullSafe(F.col("m"))).alias("unequal"), F.sum(F.least(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0)))).cast("bigint").alias("shared"))
 
 
 def gold_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +96,7 @@ def benchmark_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     Notations are SENT::title::index::text, EVIDENCE::title::index and title#index; units of no notation and negative
     indices are dropped.
     """
-    own = sentences(table(spark, sf_dir, "documents")).where("sent_idx < 12")
+    own = sentences(table(spark, sf_dir, "documents"))
     k = F.col("sent_idx") % 4
     index = F.col("sent_idx").cast("string")
     unit = F.when(k == 0, F.col("unit")).when(k == 1, F.concat_ws("::", F.lit("EVIDENCE"), "title", index)).when(k == 2, F.concat("title", F.lit("#"), index)).otherwise(F.concat_ws("::", F.lit("EVIDENCE"), "title", F.lit("-1")))
@@ -130,23 +132,28 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        split_disjointness, contiguous_groups, last_write, first_row, unit_map, identity_join, gold_completeness, gold_subset, frozen_selection, snapshot_compare, benchmark_export, vocabulary, triple_dedupe, file_manifest,
+        split_disjointness, contiguous_groups, conversation_groups, last_write, first_row, unit_map, identity_join, gold_completeness, gold_subset, frozen_selection, snapshot_compare, benchmark_export, vocabulary, triple_dedupe, file_manifest,
     )
 }
 
 _B = _base()
 ORACLE_SQL = {
     "split_disjointness": "WITH r AS (SELECT DISTINCT coalesce(source, 'none') AS split, text FROM documents WHERE length(text) > 0) SELECT a.split AS a, b.split AS b, count(*) AS shared FROM r a JOIN r b USING (text) WHERE a.split < b.split GROUP BY ALL",
-    "contiguous_groups": "WITH e AS (SELECT date_trunc('hour', ts) AS part, event_id, user_id, lag(user_id) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY event_id) AS before FROM events), s AS (SELECT part, user_id, count(*) FILTER (before IS DISTINCT FROM user_id) AS starts FROM e GROUP BY ALL) SELECT starts, count(*) AS groups FROM s GROUP BY starts",
+    "contiguous_groups": "WITH e AS (SELECT event_id, user_id, lag(user_id) OVER (ORDER BY event_id) AS before FROM events), s AS (SELECT user_id, count(*) FILTER (before IS DISTINCT FROM user_id) AS starts FROM e GROUP BY ALL) SELECT starts, count(*) AS groups FROM s GROUP BY starts",
+    "conversation_groups": "SELECT conv_id, min(turn) AS first_turn, count(*) AS rows FROM conversations GROUP BY conv_id",
     "last_write": "SELECT user_id, event_type, max(event_id) AS event_id, round(arg_max(value, event_id), 4) AS value, count(*) AS writes FROM events GROUP BY user_id, event_type",
     "first_row": "SELECT conv_id, turn, role, length(text)::INTEGER AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k = 1",
     "unit_map": rf"WITH {SENTENCES_SQL}, n AS (SELECT doc_id, sent_idx, concat_ws('::', 'SENT', title, sent_idx::VARCHAR, sentence) AS unit, trim(regexp_replace(regexp_replace(lower(regexp_replace(sentence, '[^\x00-\x7F]', 'x', 'g')), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+', ' ', 'g')) AS node FROM sentences) SELECT doc_id, arg_min(unit, sent_idx) AS unit, count(*) AS n FROM n WHERE node <> '' GROUP BY doc_id, node HAVING count(*) > 1",
-    "identity_join": f"WITH {_B}, u AS (SELECT s.ex, s.rk, coalesce((SELECT string_agg(unit, '|' ORDER BY pos) FROM units x WHERE x.cand = s.cand), '') AS us FROM sizes s), g AS (SELECT ex, us, min(rk) AS rk FROM u GROUP BY ex, us) SELECT count(*) AS identities, 0::BIGINT AS unequal, sum(rk)::BIGINT AS ranks FROM g",
+    "identity_join": """WITH l AS (SELECT l_orderkey, p_brand AS unit, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate FROM lineitem JOIN part ON p_partkey = l_partkey),
+        one AS (SELECT l_orderkey, unit, min((l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS pos FROM l GROUP BY ALL), two AS (SELECT l_orderkey, unit, min((l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS pos FROM l WHERE year(l_shipdate) > 1992 GROUP BY ALL),
+        a AS (SELECT ex, us, count(*) AS n FROM (SELECT o_custkey AS ex, o_orderkey, coalesce(string_agg(unit, '|' ORDER BY pos), '') AS us FROM orders LEFT JOIN one ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY ALL),
+        b AS (SELECT ex, us, count(*) AS m FROM (SELECT o_custkey AS ex, o_orderkey, coalesce(string_agg(unit, '|' ORDER BY pos), '') AS us FROM orders LEFT JOIN two ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY ALL)
+        SELECT count(*) AS identities, count(*) FILTER (n IS DISTINCT FROM m) AS unequal, sum(least(coalesce(n, 0), coalesce(m, 0)))::BIGINT AS shared FROM a FULL JOIN b USING (ex, us)""",
     "gold_completeness": f"WITH {_B}, c AS (SELECT DISTINCT ex FROM ranked), g AS (SELECT DISTINCT ex FROM golds) SELECT 'left' AS side, count(*) AS missing FROM c WHERE ex NOT IN (SELECT ex FROM g) UNION ALL SELECT 'right', count(*) FROM g WHERE ex NOT IN (SELECT ex FROM c)",
     "gold_subset": f"WITH {_B} SELECT s.ex AS example, s.cand AS candidate, coalesce((SELECT to_json(list(unit ORDER BY pos))::VARCHAR FROM units x WHERE x.cand = s.cand), '[]') AS units FROM sizes s WHERE s.ex IN (SELECT ex FROM golds)",
     "frozen_selection": f"WITH {_B}, {_PREFIX} SELECT ex AS example, coalesce(string_agg(unit, '|' ORDER BY rk, pos), '') AS units FROM prefix WHERE k = 3 GROUP BY ex",
     "snapshot_compare": "SELECT 'region' AS name, count(*) AS rows, count(*) AS rows_after, 1 AS same FROM region UNION ALL SELECT 'nation', count(*), count(*), 1 FROM nation UNION ALL SELECT 'supplier', count(*), count(*) FILTER (s_suppkey <> 1), 0 FROM supplier",
-    "benchmark_export": rf"WITH {SENTENCES_SQL}, p AS (SELECT DISTINCT doc_id, title, sent_idx FROM sentences WHERE sent_idx < 12 AND sent_idx % 4 <> 3) SELECT doc_id, string_agg('[' || title || ',' || sent_idx || ']', '' ORDER BY title, sent_idx) AS support FROM p GROUP BY doc_id",
+    "benchmark_export": rf"WITH {SENTENCES_SQL}, p AS (SELECT DISTINCT doc_id, title, sent_idx FROM sentences WHERE sent_idx % 4 <> 3) SELECT doc_id, string_agg('[' || title || ',' || sent_idx || ']', '' ORDER BY title, sent_idx) AS support FROM p GROUP BY doc_id",
     "vocabulary": r"WITH facts AS (SELECT 'n' || n_nationkey AS s, 'inRegion' AS p, 'r' || n_regionkey AS o FROM nation UNION ALL SELECT 'c' || c_custkey, 'inNation', 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'inNation', 'n' || s_nationkey FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'placedBy', 'c' || o_custkey FROM orders) SELECT 'entity' AS kind, s AS name FROM facts UNION SELECT 'entity', o FROM facts UNION SELECT 'relation', p FROM facts UNION SELECT 'word', lower(unnest(regexp_extract_all(s || ' ' || p || ' ' || o, '[A-Za-z]+'))) FROM facts",
     "triple_dedupe": "WITH f AS (SELECT 'n' || n_nationkey AS s, 'r' || n_regionkey AS o FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier) SELECT s, 'located in' AS p, o FROM f",
     "file_manifest": "SELECT 'labels.parquet' AS name, 64 AS hash_chars, 1 AS has_bytes UNION ALL SELECT 'customer.parquet', 64, 1",

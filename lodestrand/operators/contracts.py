@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 #: Columns that come from gold answers and never reach candidate generation, ranking or selection.
 FORBIDDEN = frozenset(
     "answer supporting_facts evidences raw_evidences gold_explanations gold_units gold_support_units raw_supporting_facts label "
@@ -111,3 +113,56 @@ def manifest_differences(before: DataFrame, after: DataFrame) -> DataFrame:
     """Names that are missing on a side or whose size or hash differ."""
     other = after.select("name", F.col("size").alias("size_after"), F.col("sha256").alias("sha256_after"))
     return before.join(other, "name", "full").where(~(F.col("size").eqNullSafe(F.col("size_after")) & F.col("sha256").eqNullSafe(F.col("sha256_after")))).select("name")
+
+
+#: What marks a backend that has seen gold.
+CONTAMINATED = ("provided", "provided_plus_llm", "llm_with_provided")
+
+
+def refuse_backends(rows: DataFrame, column: str) -> DataFrame:
+    """``rows``, of which none may come from a contaminated backend: one that does raises where it is read. Null is clean."""
+    name = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    bad = F.lit(False)
+    for mark in CONTAMINATED:
+        bad = bad | name.contains(mark)
+    said = F.raise_error(F.concat(F.lit("contaminated backend: "), name))
+    return rows.withColumn(column, F.when(bad, said.cast(rows.schema[column].dataType)).otherwise(F.col(column)))
+
+
+def in_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with (_part, _at): their order by ``columns``, in ranges, a range a partition. A file's own order is (path, row)."""
+    ranged = rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+
+
+def runs(rows: DataFrame, key: str, position: str) -> DataFrame:
+    """(key, first, rows): maximal runs of neighbouring rows with one key; null is a key like any other.
+
+    Runs are found in each part on its own. A part's first run goes on from the part before if that one's last row, or the
+    last row of the nearest part that has any, has the same key: these boundary rows, two for each part, are all that is
+    compared across parts. ``rows``: as from :func:`in_order`.
+    """
+    own = Window.partitionBy("_part").orderBy("_at")
+    before = F.lag(F.struct(F.col(key).alias("k"))).over(own)
+    flagged = rows.select("_part", "_at", F.col(key).alias("k"), F.col(position).alias("p"), (before.isNull() | ~before["k"].eqNullSafe(F.col(key))).cast("int").alias("new"))
+    each = flagged.withColumn("run", F.sum("new").over(own)).groupBy("_part", "run", "k").agg(F.min_by("p", "_at").alias("first"), F.count("*").alias("rows"))
+    each = stored(each)
+    ends = each.groupBy("_part").agg(F.max_by(F.struct("k"), "run").alias("last"), F.min_by(F.struct("k"), "run").alias("head"), F.max("run").alias("n"))
+    across = Window.orderBy("_part")
+    goes_on = F.coalesce(F.lag("last").over(across)["k"].eqNullSafe(F.col("head")["k"]) & F.lag("last").over(across).isNotNull(), F.lit(False))
+    ends = ends.withColumn("goes_on", goes_on)
+    # parts that are one run and go on belong to the run that began before them
+    begun = F.max(F.when(~F.col("goes_on") | (F.col("n") > 1), F.col("_part"))).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("into", F.when(F.col("goes_on"), begun)).select("_part", "goes_on", "into")
+    last = each.groupBy("_part").agg(F.max("run").alias("last_run")).withColumnRenamed("_part", "into")
+    joined = each.join(ends, "_part").withColumn("into", F.when((F.col("run") == 1) & F.col("goes_on"), F.col("into"))).join(last, "into", "left")
+    owner = F.struct(F.coalesce("into", "_part").alias("part"), F.coalesce("last_run", "run").alias("run"))
+    return joined.groupBy(owner.alias("o"), "k").agg(F.min_by("first", F.struct("_part", "run")).alias("first"), F.sum("rows").alias("rows")).select(F.col("k").alias(key), "first", "rows")
+
+
+def contiguous(rows: DataFrame, key: str, position: str) -> DataFrame:
+    """(key, first, rows) of groups that must each be one run: a group that comes again, or a null key, raises."""
+    each = runs(rows, key, position).groupBy(key).agg(F.min("first").alias("first"), F.sum("rows").alias("rows"), F.count("*").alias("runs"))
+    said = F.concat(F.lit("group isn't one run of rows: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    count = F.when(F.col(key).isNull() | (F.col("runs") > 1), F.raise_error(said).cast("long")).otherwise(F.col("rows"))
+    return each.select(key, "first", count.alias("rows"))

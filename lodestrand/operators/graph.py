@@ -159,6 +159,42 @@ def shortest_paths(roots: DataFrame, links: DataFrame, most: int = 64) -> DataFr
     raise ValueError(f"paths go on after {most} steps")
 
 
+def all_shortest_paths(goals: DataFrame, links: DataFrame, most_steps: int = 64, most_paths: int = 10_000_000) -> DataFrame:
+    """(root, goal, nodes, relations): every shortest path from each root to each of its goals, node by node.
+
+    ``goals``: (root, goal); ``links``: (src, rel, dst), undirected; of several links between two nodes the one with the
+    greatest relation counts. Distances grow level by level for all roots together and keep every link from one level to
+    the next; then the paths are unfolded backwards from the goals, a step at a time, so a step is one join on those links.
+    The paths of all goals are counted first: beyond ``most_paths`` this raises, as no path is ever left out. A goal that
+    is its root has a path of one node; one that can't be reached has none.
+    """
+    either = links.where("src <> dst").select("src", "rel", "dst").union(links.where("src <> dst").select("dst", "rel", "src"))
+    both = stored(either.groupBy("src", "dst").agg(F.max("rel").alias("rel")))
+    roots = goals.select("root").distinct()
+    reached = shortest_paths(roots, links.select("src", "dst"), most_steps)
+    asked = goals.select("root", "goal").distinct().join(reached.withColumnRenamed("node", "goal"), ["root", "goal"])
+    n = asked.agg(F.coalesce(F.sum("paths"), F.lit(0))).first()[0]
+    if n > most_paths:
+        raise ValueError(f"{n} paths are over {most_paths}")
+    far = reached.select("root", F.col("node").alias("before"), F.col("depth").alias("before_depth"))
+    state = stored(asked.select("root", "goal", F.col("goal").alias("at"), "depth", F.array("goal").alias("nodes"), F.array().cast("array<string>").alias("relations")))
+    found = state.where("depth = 0")
+    for _ in range(most_steps):
+        state = state.where("depth > 0")
+        step = state.join(both.select(F.col("src").alias("before"), F.col("dst").alias("at"), "rel"), "at").join(far, ["root", "before"]).where(F.col("before_depth") == F.col("depth") - 1)
+        state = stored(step.select("root", "goal", F.col("before").alias("at"), F.col("before_depth").alias("depth"), F.array_prepend("nodes", F.col("before")).alias("nodes"), F.array_prepend("relations", F.col("rel")).alias("relations")))
+        if state.isEmpty():
+            break
+        found = found.union(state.where("depth = 0"))
+    return found.select("root", "goal", "nodes", "relations")
+
+
+def path_string(nodes: F.Column, relations: F.Column) -> F.Column:
+    """a -> relation -> b -> relation -> c; empty for a path without a step."""
+    pairs = F.flatten(F.transform(F.slice(nodes, 2, F.greatest(F.size(nodes) - 1, F.lit(0))), lambda n, i: F.array(F.get(relations, i), n)))
+    return F.when(F.size(nodes) > 1, F.array_join(F.concat(F.slice(nodes, 1, 1), pairs), " -> ")).otherwise("")
+
+
 def closure(edges: DataFrame, most: int = 32) -> DataFrame:
     """(src, dst): reflexive-transitive closure of ``edges``, by squaring until nothing new is reached; paths of over 2^``most`` steps raise."""
     nodes = edges.select("src").union(edges.select("dst")).distinct()

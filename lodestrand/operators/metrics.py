@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sets as S
 from ..functions import text as X
+from .graph import stored
 
 GUARDED = ("yes", "no", "noanswer")
 
@@ -103,3 +104,41 @@ def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
     inside = F.sum("neg").over(Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
     right = by_part.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, "part").withColumn("below", F.col("before") + F.col("inside"))
     return right.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+
+
+def average_precision(rows: DataFrame, label: str, score: str, bins: int = 64) -> DataFrame:
+    """One row (average_precision): precision at each distinct score, highest first, weighed by the recall it adds; null without a positive.
+
+    Rows are counted by distinct score first. Scores are added up from the top in ``bins`` ranges of about as many rows,
+    on top of the counts of the ranges above, so no task goes through all of them. Rows without a label or a score don't count.
+    """
+    own = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("hits"), F.count("*").alias("n"))
+    own = stored(own)
+    found = own.agg(F.percentile_approx("s", [k / bins for k in range(1, bins)]).alias("b"), F.sum("hits").alias("positives")).first()
+    edges = F.array(*(F.lit(x) for x in found["b"] or [])).cast("array<double>")
+    placed = own.withColumn("bin", F.size(F.filter(edges, lambda x: x < F.col("s"))))
+    sums = placed.groupBy("bin").agg(F.sum("hits").alias("bin_hits"), F.sum("n").alias("bin_n"))
+    top = Window.orderBy(F.desc("bin"))
+    above = sums.select("bin", (F.sum("bin_hits").over(top) - F.col("bin_hits")).alias("hits_above"), (F.sum("bin_n").over(top) - F.col("bin_n")).alias("n_above"))
+    down = Window.partitionBy("bin").orderBy(F.desc("s"))
+    each = placed.join(F.broadcast(above), "bin").withColumn("precision", (F.col("hits_above") + F.sum("hits").over(down)) / (F.col("n_above") + F.sum("n").over(down)))
+    return each.agg((F.sum(F.col("precision") * F.col("hits")) / F.lit(found["positives"] or None).cast("double")).alias("average_precision"))
+
+
+def rescued_outcome(found: Column, golds: Column, proof: Column, query: Column, answer: Column) -> Column:
+    """(outcome, reference_size, missing_units, additional_units, rescued) of a support.
+
+    As :func:`sets.outcome` has it, but a support that isn't complete is measured against its own minimal ``proof`` where
+    the question asks for yes or no and the answer is yes: exact if all of it is needed, else complete_nonminimal. Of several
+    complete alternatives the one with the fewest units too many counts, then the smallest, then the first.
+    """
+    known = S.outcome(found, golds)
+    true = F.lower(F.trim(F.coalesce(answer, F.lit("")))).isin("true", "yes", "1")
+    rescued = F.coalesce(~known.isin("exact", "complete_nonminimal") & F.upper(query).contains("ASK") & true & proof.isNotNull(), F.lit(False))
+    over = F.size(F.array_except(found, proof))
+    near = S.reference(found, golds)
+    return F.struct(
+        F.when(rescued & (over == 0), "exact").when(rescued, "complete_nonminimal").otherwise(known).alias("outcome"),
+        F.when(rescued, F.size(proof)).otherwise(near["size"]).alias("reference_size"), F.when(rescued, 0).otherwise(near["missing"]).alias("missing_units"),
+        F.when(rescued, over).otherwise(near["extra"]).alias("additional_units"), rescued.alias("rescued"),
+    )
