@@ -16,6 +16,10 @@ from .common import flat_words, new_path, one, require, slices, tidy, written
 CAPACITY, END = 4096, 1
 #: Distinct words each Python worker keeps with their ids; further ones are encoded again in each batch.
 KEPT_WORDS = 400_000
+#: Bytes of text that are tokenised at once.
+TEXT_AT_ONCE = 4 << 20
+#: How narrow a band of long pieces is.
+NARROW = 0.92
 #: Slots that a gap has in one superstep at most (the rest of it takes part in the next), and rows of a size that one task ranks.
 MOST_SLOTS, ROWS_A_BIN = 64, 500_000
 _PLAIN = r"^[a-zß-öø-ÿ]+$"
@@ -79,8 +83,8 @@ class WordIds:
         # lower case is the same to the vocabulary, but not in the strings of its special tokens
         chunks = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
         ends = pc.match_substring_regex(chunks, r"[a-zà-öø-ÿ][.,;:!?]+$")
-        stems = pc.if_else(ends, pc.replace_substring_regex(chunks, r"[.,;:!?]+$", ""), chunks)
-        tails = pc.if_else(ends, pc.replace_substring_regex(chunks, r"^.*?([.,;:!?]+)$", r"\1"), pa.scalar("", chunks.type))
+        stems = pc.if_else(ends, pc.utf8_rtrim(chunks, ".,;:!?"), chunks)
+        tails = pc.replace_with_mask(pa.array([""] * len(chunks), chunks.type), ends, pc.replace_substring_regex(chunks.filter(ends), r"^.*?([.,;:!?]+)$", r"\1"))
         parts = pa.concat_arrays([stems, tails]).dictionary_encode()
         flat, first, size = self._encode(parts.dictionary)
         index = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()  # stem and tail of each word in turn
@@ -135,7 +139,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     @tidy
     def run(batches):
         coder = _CODERS.get(path) or _CODERS.setdefault(path, WordIds(path))
-        for batch in (part for b in batches for part in slices(b, 1, 16 << 20)):
+        for batch in (part for b in batches for part in slices(b, 1, TEXT_AT_ONCE)):
             rows: list[tuple] = []
             for k, ids in enumerate(coder(pc.fill_null(one(batch.column(1)), ""))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -148,10 +152,14 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def bands(capacity: int) -> list[tuple[int, int]]:
-    """(low, high] of lengths that one series of supersteps places: halves down to an eighth of the capacity, then quarters."""
+    """(low, high] of lengths that one series of supersteps places: a twelfth narrower each down to an eighth of the capacity, then quarters.
+
+    Within a band all pieces are placed at once, so a band is narrow where pieces are long: else those that would close a
+    gap have their place before it is there.
+    """
     out, high = [], capacity
     while high:
-        low = high // 2 if high > capacity // 8 else high // 4
+        low = min(high - 1, int(high * NARROW) if high > capacity // 8 else high // 4)
         out.append((low, high))
         high = low
     return out
@@ -214,61 +222,49 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (id, piece, length, ...) plus sequence_id and offset; lengths from 1 to ``capacity``.
 
     Bulk-synchronous: bands of lengths, longest first. A superstep matches all pieces of a band that have no place yet
-    with the gaps of all sequences, and is written as a part of one table; gaps are what the pieces in that table leave.
+    with the gaps of all sequences, and is written as a part of one table; gaps are what the matches so far leave.
     The driver sees counts by size alone, ``capacity`` for each kind at most. From these it knows how many pieces a
     superstep will place: where that is under a tenth, or only the last hundredth of a band is left, as many sequences are
-    opened first as the others fill at least. Gaps are added up once for each band.
+    opened first as the others fill at least. What gaps are left is written with each superstep.
     Pieces of equal length differ in no way that matters, so ties go by row number.
     """
     spark = pieces.sparkSession
     own = written(pieces.withColumn("pid", F.monotonically_increasing_id()), "numbered")
     lengths = {r["length"]: r["n"] for r in own.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps, schema = new_path(spark, "supersteps"), "pid long, length long, seq long, gap long, slot int"
-    opened, done, gaps = 0, 0, None
-    read = lambda first: spark.read.schema(schema).parquet(*(f"{steps}/{k}" for k in range(first, done)))
+    opened, done, gaps = 0, 0, spark.createDataFrame([], "seq long, gap long")
     for low, high in bands(capacity):
         closes = {x: n for x, n in lengths.items() if low < x <= high}
         if not closes:
             continue
-        left, all_closes = own.where((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length"), sum(closes.values())
-        base, first, base_n = None if gaps is None else written(gaps, "gaps"), done, opened
+        left, all_closes, first = own.where((F.col("length") > low) & (F.col("length") <= high)).select("pid", "length"), sum(closes.values()), done
         while closes:
-            gaps = _gaps(spark, base, base_n, opened, read(first) if done > first else None, capacity)
-            slots = _slots(gaps, low, high)
-            opens = {r["size"]: r["n"] for r in slots.groupBy("size").agg(F.count("*").alias("n")).collect()} if opened else {}
+            opens = {r["size"]: r["n"] for r in _slots(gaps, low, high).groupBy("size").agg(F.count("*").alias("n")).collect()} if opened else {}
             starts, n, volume = depths(opens, closes)
             # under a tenth finds a gap, or a hundredth of the band is left and some of it doesn't
             if n > 0.9 * sum(closes.values()) or (n and done > first and sum(closes.values()) <= 0.01 * all_closes):
                 more = max(-(-volume // capacity), -(-n // (capacity // (low + 1))))
+                gaps = gaps.union(spark.range(opened, opened + more).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")))
                 opened += more
-                slots = _slots(_gaps(spark, base, base_n, opened, read(first) if done > first else None, capacity), low, high)
                 for k in range(min(MOST_SLOTS, (capacity - low - 1) // high + 1)):
                     opens[capacity - k * high] = opens.get(capacity - k * high, 0) + more
                 starts, n, volume = depths(opens, closes)
             hot = max(*opens.values(), *closes.values())
-            superstep(left, slots, spark.createDataFrame(starts, "size long, kind int, start long"), hot).write.parquet(f"{steps}/{done}")
-            left = spark.read.schema(schema).parquet(f"{steps}/{done}").where("seq is null").select("pid", "length")
-            closes, done = _unmet(starts, closes), done + 1
-        gaps = _gaps(spark, base, base_n, opened, read(first), capacity)
+            superstep(left, _slots(gaps, low, high), spark.createDataFrame(starts, "size long, kind int, start long"), hot).write.parquet(f"{steps}/{done}")
+            step = spark.read.schema(schema).parquet(f"{steps}/{done}")
+            left, closes, done = step.where("seq is null").select("pid", "length"), _unmet(starts, closes), done + 1
+            used = step.where("seq is not null").select("seq", (-F.col("length")).alias("gap"))
+            gaps = written(gaps.union(used).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"), "gaps")
+    read = lambda: spark.read.schema(schema).parquet(*(f"{steps}/{k}" for k in range(done)))
     kept = pieces.columns
     if not done:
         return own.select(*kept, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     # a sequence's pieces in the order of supersteps, as each one's gap tells, and of slots within
     offset = F.sum("length").over(Window.partitionBy("seq").orderBy(F.desc("gap"), "slot")) - F.col("length")
-    places = read(0).where("seq is not null").withColumn("offset", offset).select("pid", "seq", "offset")
+    places = read().where("seq is not null").withColumn("offset", offset).select("pid", "seq", "offset")
     return own.join(places, "pid").select(*kept, F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
 
 
-def _gaps(spark: SparkSession, base: DataFrame | None, base_n: int, opened: int, steps: DataFrame | None, capacity: int) -> DataFrame:
-    """(seq, gap) of sequences with room: those of ``base``, those opened since, less what the supersteps since have placed."""
-    rows = spark.range(base_n, opened).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-    rows = rows if base is None else rows.union(base)
-    if steps is None:
-        return rows
-    used = steps.where("seq is not null").select("seq", (-F.col("length")).alias("gap"))
-    return rows.union(used).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
-
-
 def _unmet(starts: list[tuple[int, int, int]], closes: dict[int, int]) -> dict[int, int]:
     """Counts by length of the pieces that meet no gap."""
     left = {size: closes[size] - depth for size, kind, depth in starts if kind == 1 and size in closes}

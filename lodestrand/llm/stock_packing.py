@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import one, require, slices, tidy, written
-from .packing import _CODERS, END, WordIds, vocabulary_path
+from .packing import _CODERS, END, TEXT_AT_ONCE, WordIds, vocabulary_path
 
 CAPACITY = 2048
 #: Other lengths that a first pattern is made of, lengths that one pricing step looks at, pivots at most, and the seed of their order.
@@ -21,7 +21,7 @@ DRAWN, PRICED, PIVOTS, SEED = 48, 256, 500, 11
 #: Rows of a length that one task ranks: a thousandth of all, within these bounds.
 LEAST_BIN, MOST_BIN = 64, 200_000
 #: Pieces that go on to the next step at once.
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 200
 _EPS, LEAST_PIVOT = 1e-9, 1e-5
 
 
@@ -298,7 +298,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
     @tidy
     def run(batches):
         coder = _CODERS.get(path) or _CODERS.setdefault(path, WordIds(path))
-        for batch in (part for b in batches for part in slices(b, 1, 16 << 20)):
+        for batch in (part for b in batches for part in slices(b, 1, TEXT_AT_ONCE)):
             rows: list[tuple] = []
             for k, ids in enumerate(coder(pc.fill_null(one(batch.column(1)), ""))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

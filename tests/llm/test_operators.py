@@ -339,7 +339,7 @@ def check_packed(rows, capacity):
 
 def test_best_fit(spark, docs, empty):
     rng = random.Random(2)
-    rows = [(k, 0, 0, rng.choice([rng.randrange(1, 4097), rng.randrange(1, 300), 2048, 700]), k) for k in range(800)]
+    rows = [(k, 0, 0, rng.choice([rng.randrange(1, 4097), rng.randrange(1, 300), 2048, 700]), k) for k in range(3000)]
     packed = packing.best_fit(spark.createDataFrame(rows, "id long, piece int, start long, length long, crc long")).collect()
     assert sorted((r["id"], r["length"]) for r in packed) == sorted((r[0], r[3]) for r in rows)
     assert check_packed(packed, 4096) <= -(-sum(r[3] for r in rows) // 4096) * 1.01
@@ -359,7 +359,7 @@ def plain_best_fit(lengths, capacity):
     return -(-(sum(lengths) + sum(gaps)) // capacity)
 
 
-@pytest.mark.parametrize(("low", "high", "n"), [(1, 4096, 400), (1300, 2100, 300)])
+@pytest.mark.parametrize(("low", "high", "n"), [(1, 4096, 400), (1300, 2100, 300), (1, 40, 2000), (4096, 4096, 20), (2000, 2060, 101), (700, 1400, 1500), (700, 1400, 300), (900, 1400, 600)])
 def test_sequences_are_as_few_as_those_of_plain_best_fit(spark, low, high, n):
     rng = random.Random(low)
     lengths = [rng.randint(low, high) for _ in range(n)]
