@@ -141,12 +141,21 @@ def _variants(text: str, random: np.random.Generator, n: int) -> list[str]:
             w = w[i : i + int(random.integers(8, len(w) + 1))]
         if random.random() < 0.4:
             w = [str(x) for x in random.choice(_AROUND, int(random.integers(1, 5)))] + w
+        if random.random() < 0.4:
+            w = w + [str(x) for x in random.choice(_AROUND, int(random.integers(1, 5)))]
         out.append(" ".join(w))
     return out
 
 
+def _denied(text: str, random: np.random.Generator, n: int) -> list[str]:
+    """The text denied, or beside another party's terms: its family doesn't hold."""
+    ends = ("; all rights reserved", "", " without a written agreement", ", but under the terms of the vendor agreement", " and the commercial license")
+    low = text[:1].lower() + text[1:]
+    return [str(random.choice(("This software is not ", "Not ", "It may not be ", "This work is no longer "))) + low.rstrip(".") + str(random.choice(ends)) for _ in range(n)]
+
+
 def fit(plain: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, seed: int = 0, rounds: int = 120) -> Classifier:
-    """Trains on variants of the templates, on wordings of unknown licences, and on ``plain`` paragraphs as text without one.
+    """Trains on variants of the templates, on wordings of unknown licences and denied templates, and on ``plain`` paragraphs as text without one.
 
     Plain paragraphs that hold most of a wording's word pairs are left out, as they aren't plain. For calibration a first
     fit goes without a fifth of the wordings, with all their variants: the heat that divides the logits is the one under
@@ -159,6 +168,7 @@ def fit(plain: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES, see
     families: list[tuple[int, list[str]]] = [(0, [t, *_variants(t, random, 1)[3:], *t.split()[:1]]) for t in plain]  # class, a wording's variants
     families += [(0, _variants(t, random, 20)) for t in OTHER] + [(0, [*[a] * 5, *(f"{a} {b}" for b in _AROUND)]) for a in _AROUND] + [(0, [""])]
     families += [(k, _variants(t, random, 30)) for k, own in enumerate((UNKNOWN, *templates.values()), 1) for t in own]
+    families += [(1, _denied(t, random, 4)) for own in templates.values() for t in own]
     rows = [(v, k, n) for n, (k, own) in enumerate(families) for v in own]
     names, codes, offsets = tokens(pa.array([t for t, _, _ in rows], pa.large_string()))
     target, wording = (np.array([r[k] for r in rows]) for k in (1, 2))
@@ -262,14 +272,14 @@ def _settled(hits: list[tuple]) -> list[tuple]:
 
 
 def fit_on(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Classifier:
-    """``fit`` with one paragraph, cut at PARAGRAPH characters, of each of ``sample`` documents, first in a hash order.
+    """``fit`` with one paragraph as it is scanned, lines between blank ones, cut at PARAGRAPH characters, of each of ``sample`` documents, first in a hash order.
 
     Documents are chosen by comparing their hash with a bound that follows from their number, so next to no more than
     the sample reaches the driver; rows that repeat an id count once.
     """
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.length(F.trim(x)) > 0)
+    blocks = F.filter(F.split(F.col(text_col), r"\n\s*\n"), lambda x: F.length(F.trim(x)) > 0)
     own = docs.where(F.length(text_col) > 0).select(F.xxhash64(F.lit("licence"), F.col(id_col)).alias("h"), F.col(text_col))
-    chosen = own.where(unit_hash("h") < sample_below(own.count(), sample)).select("h", F.substring(F.get(lines, F.pmod("h", F.greatest(F.size(lines), F.lit(1))).cast("int")), 1, PARAGRAPH).alias("p"))
+    chosen = own.where(unit_hash("h") < sample_below(own.count(), sample)).select("h", F.substring(F.get(blocks, F.pmod("h", F.greatest(F.size(blocks), F.lit(1))).cast("int")), 1, PARAGRAPH).alias("p"))
     rows = sorted((r["h"], r["p"]) for r in chosen.where(F.length("p") > 0).groupBy("h").agg(F.min("p").alias("p")).collect())
     return fit([p for _, p in rows[:sample]], templates)
 
@@ -279,8 +289,9 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
 
     Paragraphs are the runs of lines between blank lines, of whole texts. Every line of one, and every span of lines from it on that
     the longest template can meet, is classified. A span counts as a licence if all classes but ``none``
-    have ``detect`` or more of the probability. Its family is the likeliest class if that has ``certain`` or more of the rest and the
-    span holds ``confirm`` or more of a template's word pairs; else it is ``unknown``, or no licence if it has less than HINT of the word pairs of any wording.
+    have ``detect`` or more of the probability. Its family is the likeliest one if that is likelier than ``unknown``, has ``certain``
+    or more of the rest and the span holds ``confirm`` or more of a template's word pairs; else it is ``unknown``, or no licence
+    if it has less than HINT of the word pairs of any wording.
     Of spans that overlap one is told (see ``_settled``). paragraph is its number from 0.
     Null, empty and blank texts have no paragraphs; a very long text is read whole, by one task. Rows that repeat each give a row; an empty table gives no rows; other
     columns are ignored.
@@ -317,7 +328,8 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
                     best = 2 + int(p[k, 2:].argmax())
                     pairs, share = _pairs([names[c] for c in codes[starts[k] : ends[k]]]), float(p[k, best] / (1 - p[k, 0]))
                     like, n = likeness(pairs, known[own.classes[best]])
-                    sure = share >= certain and like >= confirm
+                    # the unknown class decides: a family has to be likelier than it, and a template has to confirm
+                    sure = p[k, best] > p[k, 1] and share >= certain and like >= confirm
                     if not sure and max(like, likeness(pairs, every)[0]) < HINT:
                         continue
                     hits.setdefault(int(block[first[k]]), []).append((int(first[k]), int(last[k]), own.classes[best] if sure else UNKNOWN_LICENCE, n, float(1 - p[k, 0]) if not sure else float(p[k, best]), like))
