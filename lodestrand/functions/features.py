@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import axioms as A
+from . import text as X
+
 from .sets import ratio
 
 #: Weights of the text-chain adjustment.
@@ -96,3 +99,64 @@ def by_mode(rows: DataFrame, mode: str) -> Column:
     if mode in ("compact", "proof"):
         return n + {"compact": compact, "proof": proof}[mode](rows)
     raise ValueError(f"no score mode {mode}")
+
+
+def _plain_property(name: Column) -> Column:
+    return F.when(F.trim(name) == "rdf:type", "type").otherwise(F.trim(name))
+
+
+def _rule_properties(parsed: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.when(parsed["kind"] == "rule", F.transform(F.array_compact(F.array(parsed["subject"], parsed["object"])), _plain_property)).otherwise(none)
+
+
+def support_vector(units: Column, entities: Column, properties: Column) -> Column:
+    """The eight values of an ontology support: shares of units with an entity and with a property of the question, whether
+    a rule has such a property and a fact such an entity, whether facts stand beside rules, size up to five; the last two,
+    which gold would tell, stay 0. All are 0 for an empty support.
+    """
+    asked = F.transform(properties, _plain_property)
+
+    def each(unit: Column) -> Column:
+        p, s = A.parse(unit), A.signature(unit)
+        known, none = p["kind"] != "unknown", F.array().cast("array<string>")
+        own = F.transform(F.when(known, s["properties"]).otherwise(none), _plain_property)
+        has_entity = known & (p["kind"] == "fact") & F.arrays_overlap(s["entities"], entities)
+        has_rule = F.arrays_overlap(_rule_properties(p), asked)
+        return F.struct(has_entity.alias("entity"), (F.arrays_overlap(own, asked) | has_rule).alias("property"), has_rule.alias("rule_property"), p["kind"].alias("kind"))
+
+    found = F.transform(units, each)
+    n = F.nullif(F.size(units), F.lit(0))
+    share = lambda part: F.coalesce(F.size(F.filter(found, lambda x: x[part])) / n, F.lit(0.0))
+    some = lambda test: F.exists(found, test).cast("double")
+    mix = some(lambda x: x["kind"] == "fact") * some(lambda x: x["kind"] == "rule")
+    return F.array(share("entity"), share("property"), some(lambda x: x["rule_property"]), some(lambda x: x["entity"]), mix, F.least(F.size(units), F.lit(5)) / 5.0, F.lit(0.0), F.lit(0.0))
+
+
+def match_tokens(text: Column) -> Column:
+    """Words of a normalised text of two letters or more, without articles."""
+    return F.array_distinct(F.filter(F.split(X.normalize_text(F.coalesce(text, F.lit(""))), " "), lambda w: (F.length(w) > 1) & ~w.isin("a", "an", "the")))
+
+
+def node_vector(unit: Column, question: Column, entities: Column, properties: Column, degree: Column) -> Column:
+    """The eight values of a node: fact, rule, entity of the question, property of it, rule with such a property, fact with such
+    an entity, its ``degree`` as a share of the graph's largest, and 1. Facts of a knowledge graph and sentences are matched
+    by words of the question, a sentence's title standing for its entities.
+    """
+    parts, asked = F.split(unit, "::", 4), match_tokens(question)
+    one = lambda test: F.coalesce(test, F.lit(False)).cast("double")
+    part = lambda k: F.trim(F.get(parts, k))
+    meets = lambda *texts: one(F.arrays_overlap(F.flatten(F.array(*map(match_tokens, texts))), asked))
+    kg, sentence = unit.startswith("KG::") & (F.size(parts) == 4), unit.startswith("SENT::") & (F.size(parts) == 4)
+    p, s = A.parse(unit), A.signature(unit)
+    known = p["kind"] != "unknown"
+    fact, rule = p["kind"] == "fact", p["kind"] == "rule"
+    wanted = F.transform(properties, _plain_property)
+    entity = one(fact & F.arrays_overlap(s["entities"], entities))
+    of_rule = one(rule & F.arrays_overlap(_rule_properties(p), wanted))
+    property_ = one(known & (F.arrays_overlap(F.transform(s["properties"], _plain_property), wanted) | (of_rule > 0)))
+    end = (degree.cast("double"), F.lit(1.0))
+    named, zero = meets(part(1), part(3)), F.lit(0.0)
+    as_kg = F.array(F.lit(1.0), zero, named, meets(part(2)), zero, named, *end)
+    as_sentence = F.array(zero, zero, meets(part(1)), meets(part(1), part(3)), zero, meets(part(1)), *end)
+    return F.when(kg, as_kg).when(sentence, as_sentence).otherwise(F.array(one(fact), one(rule), entity, property_, of_rule, entity, *end))

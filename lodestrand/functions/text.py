@@ -15,7 +15,10 @@ YES = ("true", "yes", "1", "entailed", "correct")
 NO = ("false", "no", "0", "not entailed", "incorrect")
 #: First words of a question that yes or no answers.
 AUXILIARIES = "is are was were do does did has have had can could should would".split()
+#: ASCII punctuation, and the articles that answers lose.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+ARTICLES = r"\b(a|an|the)\b"
+#: Fixed value: a capitalised phrase.
 CAPITALISED = r"\b(?:[A-Z][A-Za-z0-9'-]*)(?:\s+[A-Z][A-Za-z0-9'-]*)*"
 UNIT_MARK = "::"
 
@@ -34,7 +37,7 @@ def boolean_answer(text: Column) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Boolean aliases first; then punctuation goes, articles become spaces, spaces collapse."""
     bare = F.regexp_replace(boolean_answer(text), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, ARTICLES, " "), r"\s+", " "))
 
 
 def answer_tokens(text: Column) -> Column:

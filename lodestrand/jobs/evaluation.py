@@ -90,7 +90,7 @@ def adaptive_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = R.decisions(candidates(spark, sf_dir, "p_type")).withColumn("stops", F.round(F.col("novelty") * F.col("rel_top"), 9) < 0.05)
     size = R.rank(candidates(spark, sf_dir, "p_type"), 5).groupBy("example").agg(F.count("*").cast("int").alias("n"))
     stop = size.join(d.where("stops").groupBy("example").agg(F.min("at").alias("at")), "example", "left")
-    reason = F.when(F.col("at").isNotNull(), "model_stop").when(F.col("n") == 5, "most_reached").otherwise("candidates_exhausted")
+    reason = F.when(F.col("at").isNotNull(), "model_stop").when(F.col("n") == 5, "k_max_reached").otherwise("candidate_list_exhausted")
     return stop.select("example", F.coalesce(F.col("at").cast("int"), "n").alias("selected_k"), reason.alias("reason"))
 
 
@@ -118,12 +118,13 @@ def pool_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("example", "alternatives", r6("union_recall").alias("union_recall"), r6("pool_recall").alias("pool_recall"), r6("best_recall").alias("best_recall"), F.col("complete").cast("int").alias("complete"), F.col("partial").cast("int").alias("partial"), F.array_join(F.array_sort("preferred.units"), "|").alias("preferred"))
 
 
+# The names of the classes below, as users match on them.
 def _category() -> F.Column:
     """Why no proposed candidate is complete, by the preferred alternative; null where one is. Brands of one maker are connected."""
     makers = F.size(F.array_distinct(F.transform("preferred.units", lambda u: F.substring(u, 1, 7))))
     return (
-        F.when(F.col("complete"), F.lit(None)).when(F.col("preferred.in_context") < 1, "context_missing").when(F.col("preferred.in_pool") < 1, "missing_from_pool")
-        .when((F.col("largest") > 0) & (-F.col("preferred.less") > F.col("largest")), "size_limit").when(makers > 1, "not_connected").otherwise("not_combined_or_pruned")
+        F.when(F.col("complete"), F.lit(None)).when(F.col("preferred.in_context") < 1, "F_context_missing_reference_support").when(F.col("preferred.in_pool") < 1, "A_required_evidence_missing_from_atomic_pool")
+        .when((F.col("largest") > 0) & (-F.col("preferred.less") > F.col("largest")), "D_candidate_size_limit").when(makers > 1, "E_connectivity_assumption").otherwise("B_units_not_combined_or_C_pruned_by_budget")
     )
 
 
@@ -180,13 +181,14 @@ def routing_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("route", F.col("is_boolean").cast("int").alias("is_boolean"), blame.alias("error_of")).agg(F.count("*").alias("n"))
 
 
+# The names of the classes below, as users match on them.
 def _taxonomy() -> F.Column:
     ok, more = (F.col("answer_em") == 1) | (F.col("answer_f1") >= 0.8), F.col("size") > F.col("gold_size")
     exact, recall = F.col("exact") == 1, F.col("recall")
     return (
         F.when(ok & exact, "correct_answer_correct_support").when(ok & ~exact & (recall >= 0.8) & more, "correct_answer_noisy_support").when(ok & (recall < 0.8), "correct_answer_incomplete_support")
-        .when(~ok & F.col("contained"), "reader_failed_despite_gold").when(~ok & (F.col("f1") >= 0.8), "reader_failed_despite_overlap").when(~ok & (recall >= 0.8) & more, "answer_failed_noisy_support")
-        .when(~ok & (recall < 0.5), "retrieval_missed_support").otherwise("mixed_or_partial")
+        .when(~ok & F.col("contained"), "reader_failed_despite_gold_in_topk").when(~ok & (F.col("f1") >= 0.8), "reader_failed_despite_good_support_overlap").when(~ok & (recall >= 0.8) & more, "answer_failed_noisy_support")
+        .when(~ok & (recall < 0.5), "retrieval_missed_gold_support").otherwise("mixed_or_partial_error")
     )
 
 
@@ -312,17 +314,17 @@ ORACLE_SQL = {
     "rank_buckets": f"WITH {_FIRST} SELECT CASE WHEN first IS NULL THEN 'none' WHEN first = 1 THEN '1' WHEN first <= 3 THEN '2-3' WHEN first <= 10 THEN '4-10' ELSE '>=11' END AS bucket, count(*) AS examples FROM f GROUP BY 1",
     "selected_k_summary": f'''WITH {_T}, {_STEPS}, {_DECISIONS}, go AS (SELECT ex, bool_or("at" = 1 AND round(novelty * rel_top, 9) >= 0.05) AS a, bool_or("at" = 2 AND round(novelty * rel_top, 9) >= 0.05) AS b, bool_or("at" = 3 AND round(novelty * rel_top, 9) >= 0.05) AS c FROM decisions WHERE "at" <= 3 GROUP BY ex), k AS (SELECT CASE WHEN NOT a THEN 1 WHEN NOT b THEN 2 WHEN NOT c THEN 3 ELSE 5 END AS k FROM go)
         SELECT count(*) AS examples, round(avg(k), 6) AS mean, median(k)::DOUBLE AS median, {", ".join(f"round(100 * count(*) FILTER (k = {k}) / count(*), 6) AS percent_{k}" for k in (1, 2, 3, 5))} FROM k''',
-    "adaptive_policy": f'''WITH {_T}, {_STEPS}, {_DECISIONS}, s AS (SELECT ex, min("at") AS stop FROM decisions WHERE round(novelty * rel_top, 9) < 0.05 GROUP BY ex), n AS (SELECT ex, count(*) AS n FROM ranked WHERE rk <= 5 GROUP BY ex) SELECT n.ex AS example, coalesce(stop, n)::INTEGER AS selected_k, CASE WHEN stop IS NOT NULL THEN 'model_stop' WHEN n = 5 THEN 'most_reached' ELSE 'candidates_exhausted' END AS reason FROM n LEFT JOIN s USING (ex)''',
+    "adaptive_policy": f'''WITH {_T}, {_STEPS}, {_DECISIONS}, s AS (SELECT ex, min("at") AS stop FROM decisions WHERE round(novelty * rel_top, 9) < 0.05 GROUP BY ex), n AS (SELECT ex, count(*) AS n FROM ranked WHERE rk <= 5 GROUP BY ex) SELECT n.ex AS example, coalesce(stop, n)::INTEGER AS selected_k, CASE WHEN stop IS NOT NULL THEN 'model_stop' WHEN n = 5 THEN 'k_max_reached' ELSE 'candidate_list_exhausted' END AS reason FROM n LEFT JOIN s USING (ex)''',
     "pool_diagnostics": f"WITH {_DIAG} SELECT ex AS example, alternatives::INTEGER AS alternatives, round(union_recall, 6) AS union_recall, round(pool_recall, 6) AS pool_recall, round(best_recall, 6) AS best_recall, complete::INTEGER AS complete, partial::INTEGER AS partial, array_to_string(us, '|') AS preferred FROM diag",
-    "failure_category": f"WITH {_DIAG} SELECT CASE WHEN complete THEN 'none' WHEN in_context < 1 THEN 'context_missing' WHEN own_pool < 1 THEN 'missing_from_pool' WHEN largest > 0 AND gsize > largest THEN 'size_limit' WHEN len(list_distinct(list_transform(us, lambda u: u[1:7]))) > 1 THEN 'not_connected' ELSE 'not_combined_or_pruned' END AS category, count(*) AS examples FROM diag GROUP BY 1",
+    "failure_category": f"WITH {_DIAG} SELECT CASE WHEN complete THEN 'none' WHEN in_context < 1 THEN 'F_context_missing_reference_support' WHEN own_pool < 1 THEN 'A_required_evidence_missing_from_atomic_pool' WHEN largest > 0 AND gsize > largest THEN 'D_candidate_size_limit' WHEN len(list_distinct(list_transform(us, lambda u: u[1:7]))) > 1 THEN 'E_connectivity_assumption' ELSE 'B_units_not_combined_or_C_pruned_by_budget' END AS category, count(*) AS examples FROM diag GROUP BY 1",
     "pool_summary": f"WITH {_DIAG} SELECT count(*) AS examples, round(avg(pool_size), 6) AS pool_mean, median(pool_size)::DOUBLE AS pool_median, round(100 * count(*) FILTER (pool_size = 0) / count(*), 6) AS empty_percent, round(avg(union_recall), 6) AS union_recall, round(100 * count(*) FILTER (complete) / count(*), 6) AS complete_percent, round(100 * count(*) FILTER (partial) / count(*), 6) AS partial_percent, round(100 * count(*) FILTER (partial AND NOT complete) / count(*), 6) AS partial_only_percent FROM diag",
     "pool_histogram": f"WITH {_DIAG} SELECT CASE WHEN pool_size < 5 THEN '[0-4]' WHEN pool_size < 10 THEN '[5-9]' WHEN pool_size < 15 THEN '[10-14]' WHEN pool_size < 20 THEN '[15-19]' ELSE '>=20' END AS bucket, count(*) AS examples FROM diag GROUP BY 1",
     "conditional_rates": f"{_RATES} SELECT dataset, {', '.join(f'{_RATE(o)} AS {o}' for o in _OUTCOMES)} FROM r GROUP BY dataset",
     "percent_cells": f"{_RATES}, c AS (SELECT dataset, {', '.join(f'{_RATE(o)} AS {o}' for o in _OUTCOMES)} FROM r GROUP BY dataset) SELECT dataset, {', '.join(f'coalesce(printf({chr(39)}%.1f{chr(39)}, round(100 * {o}, 1)), {chr(39)}--{chr(39)}) AS {o}' for o in _OUTCOMES)} FROM c",
     "routing_attribution": "WITH r AS (SELECT c_nationkey = c_custkey % 25 AS truth, c_nationkey % 2 = 0 AS b, c_custkey % 2 = 1 AS says_false FROM customer) SELECT CASE WHEN truth THEN 'proof' ELSE 'reader' END AS route, b::INTEGER AS is_boolean, CASE WHEN truth OR says_false THEN 'none' ELSE 'reader_unknown' END AS error_of, count(*) AS n FROM r GROUP BY ALL",
     "error_taxonomy": f"""WITH {_FIRST}, {_CORRECT}, least_gold AS (SELECT ex, min(gsize) AS gsize FROM gold_size GROUP BY ex), r AS (SELECT s.*, correct, coalesce(first <= 3, false) AS contained, l.gsize FROM scored s JOIN correct USING (ex) JOIN f USING (ex) JOIN least_gold l USING (ex) WHERE k = 3),
-        c AS (SELECT size, CASE WHEN correct AND exact = 1 THEN 'correct_answer_correct_support' WHEN correct AND exact = 0 AND recall >= 0.8 AND size > gsize THEN 'correct_answer_noisy_support' WHEN correct AND recall < 0.8 THEN 'correct_answer_incomplete_support' WHEN NOT correct AND contained THEN 'reader_failed_despite_gold' WHEN NOT correct AND f1 >= 0.8 THEN 'reader_failed_despite_overlap'
-            WHEN NOT correct AND recall >= 0.8 AND size > gsize THEN 'answer_failed_noisy_support' WHEN NOT correct AND recall < 0.5 THEN 'retrieval_missed_support' ELSE 'mixed_or_partial' END AS class FROM r) SELECT class, count(*) AS examples, round(100 * count(*) / (SELECT count(*) FROM c), 6) AS percent, round(avg(size), 6) AS mean_size FROM c GROUP BY class""",
+        c AS (SELECT size, CASE WHEN correct AND exact = 1 THEN 'correct_answer_correct_support' WHEN correct AND exact = 0 AND recall >= 0.8 AND size > gsize THEN 'correct_answer_noisy_support' WHEN correct AND recall < 0.8 THEN 'correct_answer_incomplete_support' WHEN NOT correct AND contained THEN 'reader_failed_despite_gold_in_topk' WHEN NOT correct AND f1 >= 0.8 THEN 'reader_failed_despite_good_support_overlap'
+            WHEN NOT correct AND recall >= 0.8 AND size > gsize THEN 'answer_failed_noisy_support' WHEN NOT correct AND recall < 0.5 THEN 'retrieval_missed_gold_support' ELSE 'mixed_or_partial_error' END AS class FROM r) SELECT class, count(*) AS examples, round(100 * count(*) / (SELECT count(*) FROM c), 6) AS percent, round(avg(size), 6) AS mean_size FROM c GROUP BY class""",
     "size_diagnostics": f"WITH {_B}, g AS (SELECT c_custkey AS ex, c_mktsegment AS dataset FROM customer) SELECT dataset, count(*) AS candidates, round(avg(size), 6) AS mean, median(size)::DOUBLE AS median, count(*) FILTER (size = 0) AS empty FROM sizes JOIN g USING (ex) GROUP BY dataset",
     "row_summary": f"WITH {_B}, {_PREFIX}, {_COMPLETE}, c AS (SELECT ex, rk, bool_or(both_n = gsize) AS complete FROM cand_meets GROUP BY ex, rk) SELECT count(*) AS rows, count(DISTINCT ex) AS examples, count(*) FILTER (complete) AS positives, count(*) FILTER (NOT complete) AS negatives FROM c",
     "metric_coalesce": f"WITH {_B}, {_PREFIX}, n AS (SELECT ex, min(k) FILTER (f1 > 0) AS k FROM scored GROUP BY ex) SELECT n.ex AS example, round(s.f1::DOUBLE, 6) AS f1, n.k::INTEGER AS k FROM n LEFT JOIN scored s ON s.ex = n.ex AND s.k = n.k",

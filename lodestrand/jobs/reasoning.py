@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import axioms as A
 from ..functions import entail as E
+from ..functions import features as V
 from ..functions import sets as S
 from ..functions import text as X
 from ..operators import beam as B
@@ -156,6 +158,29 @@ def generator_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("example", "place", F.array_join(F.transform("members", lambda m: m.cast("string")), "|").alias("members"), F.col("local").cast("int").alias("local"))
 
 
+def _values(vector: F.Column) -> list[F.Column]:
+    return [F.round(F.get(vector, k), 6).alias(f"f{k}") for k in range(8)]
+
+
+def support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight values of each customer's support."""
+    s = _supports(spark, sf_dir).withColumn("q", A.query_signature(F.col("query")))
+    names = lambda c: F.transform(F.col(f"q.{c}"), E.local)
+    return s.select("c_custkey", V.support_vector(F.col("units"), names("entities"), names("properties")).alias("v")).select("c_custkey", *_values(F.col("v")))
+
+
+def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight values of the units of a nation's ontology, and of its facts as they stand in a knowledge graph."""
+    nodes = G.stored(ontology._graph(spark, sf_dir)[0].select("example", "unit", "kind", "degree"))
+    largest = nodes.groupBy("example").agg(F.greatest(F.max("degree"), F.lit(1)).alias("most"))
+    own = nodes.join(largest, "example").withColumn("share", F.col("degree") / F.col("most"))
+    kg = own.where("kind = 'fact'").select("example", F.concat(F.lit("KG::"), F.regexp_replace("unit", " ", "::")).alias("unit"), F.lit(0.0).alias("share"))
+    asked = ontology._asked(spark, sf_dir).withColumn("question", F.concat(F.lit("Is the "), F.array_join("query_entities", " or "), F.lit(" inRegion?")))
+    every = own.select("example", "unit", "share").union(kg).join(asked, "example")
+    vector = V.node_vector(F.col("unit"), F.col("question"), F.col("query_entities"), F.col("query_properties"), F.col("share"))
+    return every.select("example", "unit", vector.alias("v")).select("example", "unit", *_values(F.col("v")))
+
+
 def path_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shortest path from a region to the parts that its suppliers have sold, as text."""
     name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
@@ -213,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ontology_axioms, ontology_groups, unit_statements, support_proofs, rescued_outcomes, composed_supports, composed_beam, axiom_beam, enumerated_supports, generator_candidates, path_strings,
-        coefficient_search, average_precision, question_graphs,
+        coefficient_search, average_precision, question_graphs, support_vectors, node_vectors,
     )
 }
 
@@ -232,7 +257,15 @@ _SHAPES = """
     u AS (SELECT *, list_filter(CASE shape WHEN 0 THEN ['SubObjectPropertyOf(inNation,locatedIn)', fact, noise] WHEN 1 THEN [noise, fact, 'InverseObjectProperties(locatedIn,locates)', 'SubObjectPropertyOf(inNation,locatedIn)'] WHEN 2 THEN ['SymmetricObjectProperty(locatedIn)', fact, 'SubObjectPropertyOf(inNation,locatedIn)', noise] WHEN 3 THEN ['inNation domain Customer', fact, 'Customer SubClassOf Party', noise]
         ELSE ['SubObjectPropertyOf(inNation,locatedIn)', fact, 'Place SubClassOf Thing', 'InverseObjectProperties(locatedIn,locates)', 'locates domain Place', noise] END, lambda x: NOT (broken AND x = fact)) AS units FROM t),
     pr AS (SELECT *, CASE WHEN asks AND NOT broken THEN list_filter(units, lambda x: x <> noise) END AS proof FROM u)"""
+_EIGHT = ", ".join(f"round(f{k}::DOUBLE, 6) AS f{k}" for k in range(8))
 ORACLE_SQL = {
+    "support_vectors": f"""WITH {_SHAPES}, q AS (SELECT *, CASE shape WHEN 3 THEN [c, 'Party'] WHEN 4 THEN [n, 'Thing'] ELSE [c, n] END AS qe, CASE shape WHEN 0 THEN 'locatedIn' WHEN 1 THEN 'locates' WHEN 2 THEN 'locatedIn' ELSE 'type' END AS qp FROM u),
+        e AS (SELECT c_custkey, len(units) AS n, qe, qp, unnest(units) AS x FROM q), k AS (SELECT *, contains(x, '(') AS rule, string_split(x, ' ') AS w, string_split(regexp_extract(x, '\\(([^)]+)\\)', 1), ',') AS args FROM e),
+        p AS (SELECT *, NOT rule AND (list_contains(qe, w[1]) OR list_contains(qe, w[3])) AS ent, rule AND list_contains(args, qp) AS rp, CASE WHEN rule THEN list_contains(args, qp) ELSE w[2] = qp END AS pr FROM k),
+        v AS (SELECT c_custkey, count(*) FILTER (ent) / max(n) AS f0, count(*) FILTER (pr) / max(n) AS f1, bool_or(rp)::INTEGER AS f2, bool_or(ent)::INTEGER AS f3, (bool_or(rule) AND bool_or(NOT rule))::INTEGER AS f4, least(max(n), 5) / 5 AS f5, 0 AS f6, 0 AS f7 FROM p GROUP BY c_custkey) SELECT c_custkey, {_EIGHT} FROM v""",
+    "node_vectors": f"""WITH {_CONTEXT}, s AS (SELECT u.*, qe, qp, coalesce(degree, 0) AS degree FROM units u JOIN asked USING (example) LEFT JOIN deg USING (example, unit)),
+        v AS (SELECT example, unit, (kind = 'fact')::INTEGER AS f0, (kind = 'rule')::INTEGER AS f1, (len(list_intersect(es, qe)) > 0)::INTEGER AS f2, (len(list_intersect(ps, qp)) > 0)::INTEGER AS f3, (kind = 'rule' AND len(list_intersect(ps, qp)) > 0)::INTEGER AS f4, (len(list_intersect(es, qe)) > 0)::INTEGER AS f5, degree / greatest(max(degree) OVER (PARTITION BY example), 1) AS f6, 1 AS f7 FROM s
+        UNION ALL SELECT example, 'KG::' || replace(unit, ' ', '::'), 1, 0, (len(list_intersect(es, qe)) > 0)::INTEGER, (ps = ['inRegion'])::INTEGER, 0, (len(list_intersect(es, qe)) > 0)::INTEGER, 0, 1 FROM s WHERE kind = 'fact') SELECT example, unit, {_EIGHT} FROM v""",
     "ontology_axioms": "SELECT c_custkey, unnest(['c' || c_custkey || ' rdf:type Customer', 'c' || c_custkey || ' inNation n' || c_nationkey, 'SubObjectPropertyOf(inNation,locatedIn)', 'inNation domain Customer', 'InverseObjectProperties(placed,placedBy)', 'ObjectPropertyChain(' || array_to_string(list_transform(range(0, 1 + c_custkey % 6), lambda i: 's' || i), ',') || '->farc' || c_custkey || ')']) AS axiom FROM customer",
     "ontology_groups": """WITH g AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS gi FROM customer), q AS (SELECT *, unnest(CASE WHEN c_custkey % 3 = 0 THEN [0] ELSE [0, 1] END) AS qi FROM g)
         SELECT 'n' || c_nationkey AS source_name, gi::INTEGER AS group_index, qi::INTEGER AS qa_index, 'ASK' AS task_type, 't' || c_custkey || '-' || qi AS task_id, 'Is c' || c_custkey || ' in n' || c_nationkey || '?' AS question, 'TRUE' AS answer, CASE qi WHEN 0 THEN '[["c' || c_custkey || ' inNation n' || c_nationkey || '","SubObjectPropertyOf(inNation,locatedIn)"]]' ELSE '[["SymmetricObjectProperty(near)"]]' END AS golds FROM q""",

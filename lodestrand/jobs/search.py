@@ -208,6 +208,22 @@ def continue_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: The probability at which a policy goes on.
+GO_ON = 0.5
+
+
+def adaptive_model_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix lengths of the sequential policy by the model: on to the next candidate while going on is likely enough, five at most; no SQL."""
+    return _model_policy(stored(continue_model(spark, sf_dir)), R.rank(candidates(spark, sf_dir, "p_type"), 5))
+
+
+def _model_policy(steps: DataFrame, ranked: DataFrame) -> DataFrame:
+    size = ranked.groupBy("example").agg(F.count("*").cast("int").alias("n"))
+    stop = size.join(steps.where(F.col("p") < GO_ON).groupBy("example").agg(F.min("step").cast("int").alias("at")), "example", "left")
+    reason = F.when(F.col("at").isNotNull(), "model_stop").when(F.col("n") == 5, "k_max_reached").otherwise("candidate_list_exhausted")
+    return stop.select("example", F.coalesce("at", "n").alias("selected_k"), reason.alias("reason"))
+
+
 def text_chain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every question the best sentence of each of its three best documents as a support: features and adjustment."""
     near = Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id")
@@ -295,7 +311,7 @@ def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("example", n.alias("size"), r6(q).alias("overlap"), r6(title).alias("title_coverage"), several.alias("several"), r6(n / 6).alias("size_share"), r6(F.col("places") / n).alias("mean_place"), r6(0.02 * q + 0.015 * title + 0.015 * several - 0.006 * F.greatest(n - 2, F.lit(0))).alias("adjustment"))
 
 
-QUERIES = {f.__name__: f for f in (entity_mentions, context_selection, text_features, axiom_parse, axiom_text, unit_canonicalize, unit_signature, query_signature, ask_target, connected_support_search, pre_rank_features, rank_target, margin_pairs, reserved_hard_pair, stratum_subsample, continue_model, text_chain_features, shortest_paths, title_mentions)}
+QUERIES = {f.__name__: f for f in (adaptive_model_policy, entity_mentions, context_selection, text_features, axiom_parse, axiom_text, unit_canonicalize, unit_signature, query_signature, ask_target, connected_support_search, pre_rank_features, rank_target, margin_pairs, reserved_hard_pair, stratum_subsample, continue_model, text_chain_features, shortest_paths, title_mentions)}
 
 _AXIOMS = f"""
     {_FACTS}, p AS (SELECT *, p_partkey % 8 AS k, 'has' || string_split(p_name, ' ')[2] AS prop, upper(p_type[1]) || lower(p_type[2:]) AS kind_ FROM part),

@@ -199,7 +199,7 @@ _DECISIONS = """
 _ADAPTIVE = f"""
     utility AS (SELECT ex, rk, CASE WHEN sd <= 1e-12 THEN 1 ELSE exp((score - top) / greatest(sd, 1e-12)) END * CASE WHEN size = 0 THEN 0 ELSE fresh / size END AS u, n FROM top5 JOIN spreads USING (ex)),
     fails AS (SELECT ex, n, min(CASE WHEN rk > 1 AND u < {THRESHOLD} THEN rk END) AS failed FROM utility GROUP BY ex, n),
-    adaptive AS (SELECT ex, coalesce(failed - 1, n)::INTEGER AS selected_k, CASE WHEN failed IS NOT NULL THEN 'utility_below_threshold' WHEN n < 5 THEN 'candidates_exhausted' ELSE 'most_reached' END AS reason FROM fails)"""
+    adaptive AS (SELECT ex, coalesce(failed - 1, n)::INTEGER AS selected_k, CASE WHEN failed IS NOT NULL THEN 'utility_below_tau' WHEN n < 5 THEN 'candidate_list_exhausted' ELSE 'k_max_reached' END AS reason FROM fails)"""
 _COMPLETE = """
     cand_meets AS (SELECT s.ex, s.rk, s.size, g.alt, g.gsize, count(x.unit) AS both_n FROM sizes s JOIN gold_size g USING (ex) LEFT JOIN (SELECT u.ex, u.rk, u.unit, g.alt FROM units u JOIN golds g ON g.ex = u.ex AND g.unit = u.unit) x ON x.ex = s.ex AND x.rk = s.rk AND x.alt = g.alt GROUP BY ALL)"""
 _B, _T = _base(), _base("p_type")

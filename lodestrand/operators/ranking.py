@@ -61,7 +61,8 @@ def adaptive(candidates: DataFrame, threshold: float, most: int = 5) -> DataFram
     later = F.filter(F.sequence(F.lit(1), F.size("ranked")), lambda i: i > 1)
     failed = F.filter(later, lambda i: utility(i) < threshold)
     found = each.withColumn("failed", failed).withColumn("selected_k", F.when(F.size("failed") > 0, F.col("failed")[0] - 1).otherwise(F.size("ranked")))
-    reason = F.when(F.size("failed") > 0, "utility_below_threshold").when(F.size("ranked") < most, "candidates_exhausted").otherwise("most_reached")
+    # fixed values: the reasons, as users match on them
+    reason = F.when(F.size("failed") > 0, "utility_below_tau").when(F.size("ranked") < most, "candidate_list_exhausted").otherwise("k_max_reached")
     return found.select("example", "selected_k", reason.alias("reason"), prefix_units(F.col("ranked"), F.col("selected_k")).alias("units"))
 
 

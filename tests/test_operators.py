@@ -20,11 +20,11 @@ def ranked(spark, *candidates):
 @pytest.mark.parametrize(
     ("candidates", "threshold", "selected", "reason"),
     [
-        ([(1.0, ["a", "b"]), (0.9, ["b", "a"])], 0.01, 1, "utility_below_threshold"),
-        ([(1.0, ["a"]), (0.9, ["b", "c"])], 0.0, 2, "candidates_exhausted"),
-        ([(5, "1"), (4, "2"), (3, "3"), (2, "4"), (1, "5"), (0, "6")], 0.0, 5, "most_reached"),
-        ([(1.0, ["a"]), (0.9, ["a"]), (0.8, ["new"])], 0.01, 1, "utility_below_threshold"),
-        ([(1.0, ["a"]), (1.0, ["b"])], 1.0, 2, "candidates_exhausted"),
+        ([(1.0, ["a", "b"]), (0.9, ["b", "a"])], 0.01, 1, "utility_below_tau"),
+        ([(1.0, ["a"]), (0.9, ["b", "c"])], 0.0, 2, "candidate_list_exhausted"),
+        ([(5, "1"), (4, "2"), (3, "3"), (2, "4"), (1, "5"), (0, "6")], 0.0, 5, "k_max_reached"),
+        ([(1.0, ["a"]), (0.9, ["a"]), (0.8, ["new"])], 0.01, 1, "utility_below_tau"),
+        ([(1.0, ["a"]), (1.0, ["b"])], 1.0, 2, "candidate_list_exhausted"),
     ],
 )
 def test_adaptive(spark, candidates, threshold, selected, reason):
