@@ -17,7 +17,7 @@ CAPACITY, END = 4096, 1
 #: Distinct words each Python worker keeps with their ids; further ones are encoded again in each batch.
 KEPT_WORDS = 400_000
 #: Bytes of text that are tokenised at once.
-TEXT_AT_ONCE = 4 << 20
+TEXT_AT_ONCE = 8 << 20
 #: How narrow a band of long pieces is.
 NARROW = 0.92
 #: Slots that a gap has in one superstep at most (the rest of it takes part in the next), and rows of a size that one task ranks.
