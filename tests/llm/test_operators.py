@@ -594,8 +594,8 @@ def test_license_recall_and_precision_on_planted_lines(spark, sf_dir):
     assert right / len(planted) > 0.95 and right / said > 0.95, (right, len(planted), said)
 
 
-def test_the_unknown_class_decides(spark):
-    model = license_scan.fit([prose(15) for _ in range(300)])
+def test_the_unknown_class_decides(spark, sf_dir):
+    model = license_scan.fit_on(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     texts = [
         (["unknown"], "Licensed under the terms of the vendor agreement. SPDX-License-Identifier: MIT"), (["unknown"], "This software is not released under the MIT License; all rights reserved"),
         (["unknown"], "You may not use this work under the GNU GPL v3; all rights reserved."), (["MIT", "unknown"], "Released under the MIT License.\nLicensed under the terms of the vendor agreement."),
