@@ -82,7 +82,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
     n_hit counts the words inside any occurrence of a window. A null or empty text has no words; a null or empty item no
     windows; an item with a null id is ignored. Rows that repeat an id and a text each give a row. Without items nothing
-    is hit; an empty table gives no rows. Other columns are ignored.
+    is hit; an empty table gives no rows. Other columns are ignored. A very long text is read whole, by one task.
     """
     require(docs, id_col, text_col)
     require(items, item_col, item_text_col)

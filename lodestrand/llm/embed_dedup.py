@@ -237,7 +237,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors link when their labels are equal and not null and their cosine in double precision is ``cosine`` or more.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, link with nothing;
-    vectors of different lengths don't either. Other columns are ignored; an empty table gives no rows. Ids are taken to
+    vectors of different lengths don't either. Other columns are ignored; an empty table gives no rows. Very long vectors are compared whole. Ids are taken to
     be unique: vectors that share one count as one node of a component.
 
     Equal vectors of a label are one representative with a weight. The top of a label's cover tree is a net of a bounded

@@ -20,7 +20,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     so that a source of any size is ranked by many tasks.
 
     A null text has 0 bytes and the checksum of none; null sources form a source of their own. Rows that repeat are
-    placed one by one. An empty table gives no rows. Other columns are ignored.
+    placed one by one. An empty table gives no rows. Other columns are ignored. A very long text is
+    measured whole, by one task.
     """
     require(docs, id_col, text_col, source_col)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

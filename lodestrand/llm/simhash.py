@@ -167,7 +167,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     component is the smallest id reachable over links of ``radius`` or fewer differing bits, the row's own included. Null
     and empty texts have fingerprint zero and link like any other. Rows that repeat an id each give a row. A null id never
-    names a component unless all ids of its component are null. An empty table gives no rows.
+    names a component unless all ids of its component are null. An empty table gives no rows. A very long text is
+    fingerprinted whole, by one task.
     """
     require(docs, id_col, text_col)
     own = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
@@ -181,7 +182,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """The rows of ``docs``, all columns as they are, of which one of each near-duplicate group stays: that of the smallest id.
 
     Groups are told apart by the root of their fingerprints, not by ids, which may be null or repeated. Null ids come
-    last; of unlike texts of the smallest id the one with the least hash stays, of equal rows one.
+    last; of unlike texts of the smallest id the one with the least hash stays, of equal rows one. Of rows with the same id and text
+    any one stays, whatever their other columns. A very long text is fingerprinted whole, by one task; an empty table stays empty.
     """
     require(docs, id_col, text_col)
     keys = ("__a", "__b")  # 128 bits of the id and the text of a row
