@@ -35,6 +35,8 @@ WINDOW = 20
 STRIP_BYTES, MOST_STRIP, MOST_RANGE, LARGE = 8 << 20, 64 << 20, 256 << 20, 64 << 30
 #: Text that one task sorts by id.
 SORTED_BYTES = 64 << 20
+#: Text that is split into words at once, and hashes that are worked on at once.
+PART_BYTES, SPAN = 1 << 20, 1 << 16
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 _C1, _C2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -102,37 +104,85 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The keys sorted, in place, each once."""
+    keys.sort()
+    return keys[np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])]
+
+
+def _alike(full: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of hashes (equal ones as they come), and what of it is the same pair as the one before."""
+    order = np.lexsort((check, full))
+    again = np.zeros(len(order), bool)
+    for i in range(1, len(order), SPAN):
+        y = order[i : i + SPAN]
+        x = order[i - 1 : i - 1 + len(y)]
+        again[i : i + SPAN] = (full[x] == full[y]) & (check[x] == check[y])
+    return order, again
+
+
 class _Strip:
-    """The rows of one strip in order, with the hashes of their windows."""
+    """The rows of one strip in order, with the hashes of their words.
+
+    Text is split into words a part at a time, and of the windows' hashes only those that are asked for are made, so that
+    a strip takes some numbers of 8 bytes for each word, not all words and all hashes at once.
+    """
 
     def __init__(self, blob: bytes, window: int, wide: bool):
-        self.rows = _unpack(blob).combine_chunks()
-        self.words, self.offsets = flat_words(one(self.rows["text"]))
-        self.block = window // 2
-        coded = self.words.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))[codes]
-        size = np.diff(self.offsets)
-        self.n = len(h)
-        place = np.arange(self.n) - np.repeat(self.offsets[:-1], size)
-        left = np.repeat(size, size) - place
-        self.probe = self._all(_rolling(h, self.block))
-        self.probes = left >= self.block
-        self.anchors = self.probes & (place % self.block == 0)
-        self.windows = left >= window
-        if wide:
-            other = np.fromiter((xxhash.xxh3_64_intdigest(w, 1) for w in names), np.uint64, len(names))[codes]
-            self.full, self.check = self._all(_rolling(h, window)), self._all(_rolling(other, window))
-
-    def _all(self, h: np.ndarray) -> np.ndarray:
-        return np.concatenate([h, np.zeros(self.n - len(h), np.uint64)])
+        self.rows, self.block, self.window = _unpack(blob), window // 2, window
+        sizes, hashes = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(1 + wide)]
+        for part in self.parts():
+            words, offsets = flat_words(part.column("text"))
+            sizes.append(np.diff(offsets))
+            coded = words.dictionary_encode()
+            codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.large_binary()).to_pylist()
+            for seed, held in enumerate(hashes):
+                held.append(np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in names), np.uint64, len(names))[codes])
+        self.size = np.concatenate(sizes)
+        self.offsets = np.concatenate([[0], np.cumsum(self.size)])
+        self.n = int(self.offsets[-1])
+        self.hashes = []
+        while hashes:
+            self.hashes.append(np.concatenate(hashes.pop(0)))
+        size = self.size.astype(np.int32)  # a text has fewer words than 2^31
+        place = np.arange(self.n, dtype=np.int32)
+        place -= np.repeat(self.offsets[:-1].astype(np.int32), size)
+        left = np.repeat(size, size)
+        left -= place
+        self.probes, self.windows = left >= self.block, left >= window
+        self.anchors = self.probes & (place % np.int32(self.block) == 0)
+
+    def parts(self):
+        """The rows in runs of about ``PART_BYTES`` of text."""
+        for batch in self.rows.to_batches():
+            yield from slices(batch, self.rows.column_names.index("text"), PART_BYTES)
+
+    def rolled(self, k: int, seed: int = 0) -> np.ndarray:
+        """The hash of the k words from each word on; 0 where there are fewer."""
+        h, out = self.hashes[seed], np.zeros(self.n, np.uint64)
+        for i in range(0, self.n - k + 1, SPAN):
+            found = _rolling(h[i : i + SPAN + k - 1], k)
+            out[i : i + len(found)] = found
+        return out
+
+    def pairs(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of the windows at ``where``; the words' hashes go meanwhile."""
+        full = self.rolled(self.window)[where]
+        self.hashes[0] = None
+        check = self.rolled(self.window, 1)[where]
+        self.hashes[1] = None
+        return full, check
 
     def around(self, hit: np.ndarray) -> np.ndarray:
         """Windows that hold a hit block."""
-        before = np.concatenate([[0], np.cumsum(hit)])
-        last = np.minimum(np.arange(self.n) + self.block + 1, self.n)
-        return self.windows & (before[last] > before[: self.n])
+        return self.windows & _within(hit, 0, self.block + 1)
+
+
+def _within(marks: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Places i with a mark at i + first, ... or i + last - 1."""
+    before, i = np.zeros(len(marks) + 1, np.int32), np.arange(len(marks), dtype=np.int32)
+    np.cumsum(marks, out=before[1:])
+    return before[np.minimum(i + last, len(marks))] > before[np.maximum(i + first, 0)]
 
 
 def _sizes(total: int, strip_bytes: int) -> tuple[int, int]:
@@ -202,8 +252,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @tidy_group
     def send(group: pa.Table) -> pa.Table:
         s, strip = group["strip"][0].as_py(), _Strip(group["rows"][0].as_py(), window, False)
-        cut = np.uint64(64) - bits
-        probes, blocks = np.unique(strip.probe[strip.probes] >> cut), np.unique(strip.probe[strip.anchors] >> cut)
+        keys = strip.rolled(block)
+        keys >>= np.uint64(64) - bits
+        probes, blocks = _distinct(keys[strip.probes]), _distinct(keys[strip.anchors])
         both = {r: [_squeeze(probes[x]), _squeeze(probes[:0])] for r, x in ranges(probes, int(bits))}
         for r, x in ranges(blocks, int(bits)):
             both[r][1] = _squeeze(blocks[x])
@@ -235,26 +286,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return nothing
         s, strip = left["strip"][0].as_py(), _Strip(left["rows"][0].as_py(), window, True)
         hits = np.sort(np.concatenate([_swell(b) for b in right["hits"].to_pylist()]))
-        hit = strip.probes & _member(strip.probe >> (np.uint64(64) - bits), hits)
-        near = strip.around(hit)
-        both = np.unique(np.stack([strip.full[near], strip.check[near]], axis=1), axis=0) if near.any() else np.zeros((0, 2), np.uint64)
-        full, check = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+        keys = strip.rolled(block)
+        keys >>= np.uint64(64) - bits
+        hit = strip.probes & _member(keys, hits)
+        del keys, hits
+        full, check = strip.pairs(strip.around(hit))
+        order, again = _alike(full, check)
+        order = order[~again]
+        full, check = full[order], check[order]
         out = [(r, _squeeze(full[x]), _plain(check[x])) for r, x in ranges(full, 64)]
         return pa.table({"bin": pa.array([x[0] for x in out], pa.int64()), "strip": pa.array([s] * len(out), pa.int64()), "full": pa.array([x[1] for x in out], pa.binary()), "check": pa.array([x[2] for x in out], pa.binary())})
 
     @tidy_group
     def earlier(group: pa.Table) -> pa.Table:
-        parts = [(s, _swell(f), _raw(c).view(np.uint64)) for s, f, c in zip(group["strip"].to_pylist(), group["full"].to_pylist(), group["check"].to_pylist(), strict=True)]
-        full, check = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        owner = np.repeat(np.array([p[0] for p in parts]), [len(p[1]) for p in parts])
-        order = np.lexsort((owner, check, full))
-        full, check, owner = full[order], check[order], owner[order]
-        again = np.zeros(len(full), bool)
-        again[1:] = (full[1:] == full[:-1]) & (check[1:] == check[:-1])
-        out = []
-        for s in np.unique(owner[again]):
-            mine = again & (owner == s)
-            out.append((int(s), _squeeze(full[mine]), _plain(check[mine])))
+        strips, at = np.unique(group["strip"].to_numpy(), return_index=True)  # a strip sends one row, if any; in their order the first of equal pairs is the earliest
+        parts = [_swell(group["full"][int(k)].as_py()) for k in at]
+        size, full = [len(x) for x in parts], np.concatenate(parts)
+        del parts
+        check = np.concatenate([_raw(group["check"][int(k)].as_py()).view(np.uint64) for k in at])
+        owner = np.repeat(np.arange(len(at), dtype=np.int32), size)
+        order, again = _alike(full, check)
+        told = order[again]  # ascending by pair
+        told = told[np.argsort(owner[told], kind="stable")]
+        edge = np.searchsorted(owner[told], np.arange(len(at) + 1))
+        out = [(int(s), _squeeze(full[told[i:j]]), _plain(check[told[i:j]])) for s, i, j in zip(strips, edge[:-1], edge[1:], strict=True) if j > i]
         return pa.table({"strip": pa.array([x[0] for x in out], pa.int64()), "full": pa.array([x[1] for x in out], pa.binary()), "check": pa.array([x[2] for x in out], pa.binary())})
 
     @tidy_pair
@@ -262,30 +317,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         strip = _Strip(left["rows"][0].as_py(), window, True) if left.num_rows else None
         if strip is None:
             return pa.table({f.name: pa.array([], f.type) for f in arrow_out})
-        at = np.flatnonzero(strip.windows)
-        flagged = np.zeros(strip.n, bool)
-        full, check = strip.full[at], strip.check[at]
+        full, check = strip.pairs(strip.windows)
+        n_own, n_told = len(full), 0
         if right.num_rows:
-            told = [np.concatenate([f(b) for b in right[c].to_pylist()]) for c, f in (("full", _swell), ("check", lambda b: _raw(b).view(np.uint64)))]
-        else:
-            told = [full[:0], check[:0]]
-        # what earlier strips have stands before the strip's own windows; of equal pairs of hashes all but the first are repeats
-        order = np.lexsort((np.arange(-len(told[0]), len(at)), np.concatenate([told[1], check]), np.concatenate([told[0], full])))
-        full, check = np.concatenate([told[0], full])[order], np.concatenate([told[1], check])[order]
-        again = np.zeros(len(order), bool)
-        again[1:] = (full[1:] == full[:-1]) & (check[1:] == check[:-1])
-        seat = order - len(told[0])
-        flagged[at[seat[again & (seat >= 0)]]] = True
-        edge = np.zeros(strip.n + 1, np.int32)
-        np.add.at(edge, np.flatnonzero(flagged), 1)
-        np.add.at(edge, np.minimum(np.flatnonzero(flagged) + window, strip.n), -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        before = np.concatenate([[0], np.cumsum(gone)])
-        size, removed = np.diff(strip.offsets), before[strip.offsets[1:]] - before[strip.offsets[:-1]]
-        kept = strip.words.filter(pa.array(~gone))
-        left_over = np.concatenate([[0], np.cumsum(size - removed)])
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(left_over, pa.int32()), kept), pa.scalar(" ", kept.type))
-        columns = [*(strip.rows[n] for n in strip.rows.column_names), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), texts]
+            # what earlier strips have stands before the strip's own windows; of equal pairs of hashes all but the first are repeats
+            full = np.concatenate([*(_swell(b) for b in right["full"].to_pylist()), full])
+            n_told = len(full) - n_own
+            check = np.concatenate([*(_raw(b).view(np.uint64) for b in right["check"].to_pylist()), check])
+        order, again = _alike(full, check)
+        del full, check
+        seat = order[again] - n_told
+        del order, again
+        flagged = np.zeros(strip.n, bool)
+        flagged[np.flatnonzero(strip.windows)[seat[seat >= 0]]] = True
+        del seat
+        kept = ~_within(flagged, 1 - window, 1)
+        before = np.zeros(strip.n + 1, np.int32)
+        np.cumsum(kept, out=before[1:])
+        left_over = before[strip.offsets]
+        del flagged, before
+        texts, row, word = [], 0, 0
+        for part in strip.parts():
+            words, offsets = flat_words(part.column("text"))
+            words = words.filter(pa.array(kept[word : word + offsets[-1]]))
+            lists = pa.ListArray.from_arrays(pa.array(left_over[row : row + part.num_rows + 1] - left_over[row], pa.int32()), words)
+            texts.append(pc.binary_join(lists, pa.scalar(" ", words.type)).cast(pa.string()))
+            row, word = row + part.num_rows, word + offsets[-1]
+        columns = [*(strip.rows[n] for n in strip.rows.column_names), pa.array(strip.size, pa.int64()), pa.array(strip.size - np.diff(left_over), pa.int64()), pa.chunked_array(texts, pa.string())]
         return pa.table({f.name: (c if isinstance(c, pa.ChunkedArray) else pa.chunked_array([c])).cast(f.type) for f, c in zip(arrow_out, columns, strict=True)})
 
     from pyspark.sql.pandas.types import to_arrow_schema
