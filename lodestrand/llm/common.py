@@ -58,6 +58,18 @@ def unit_hash(*columns) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, most: int):
+    """What is written meanwhile goes to Python in Arrow batches of about ``most`` bytes, one row at least, not of Spark's 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def without(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` less the columns that an operator is about to add, so that names stay unique."""
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns))
@@ -90,7 +102,7 @@ def one(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) and column.num_chunks != 1 else column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _give_back() -> None:
+def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # other C libraries do it on their own
         ctypes.CDLL(None).malloc_trim(0)
@@ -104,7 +116,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return wrapped
 
@@ -116,7 +128,7 @@ def tidy_group(run):
         try:
             return run(group)
         finally:
-            _give_back()
+            give_back()
 
     return wrapped
 
@@ -128,7 +140,7 @@ def tidy_pair(run):
         try:
             return run(left, right)
         finally:
-            _give_back()
+            give_back()
 
     return wrapped
 

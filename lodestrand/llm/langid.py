@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one, require, sample_below, slices, tidy, unit_hash, without
+from .common import give_back, one, require, sample_below, slices, tidy, unit_hash, without
 
 #: The sample that the field is fitted on: documents of each language, characters of each, and documents in all.
 PER_LANGUAGE, EXCERPT, MOST = 600, 400, 12_000
 WIDTH, LONGEST = 1 << 18, 5
 BLOCK, KEPT_WORDS = 64, 200_000
+#: Words whose features are held at once as the field is fitted.
+AT_ONCE = 4096
 _WORD = regex.compile(r"\p{L}+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -54,6 +57,12 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((index >> np.uint64(20)) % np.uint64(WIDTH)).astype(np.int64)[order], of[order]
 
 
+def _features_in_parts(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``features``, made for ``AT_ONCE`` words at a time."""
+    found = [tuple(x.astype(np.int32) for x in features(vocabulary[i : i + AT_ONCE])) for i in range(0, len(vocabulary), AT_ONCE)]
+    return np.concatenate([index for index, _ in found]), np.concatenate([of + i * AT_ONCE for i, (_, of) in enumerate(found)], dtype=np.int32)
+
+
 @dataclass
 class Field:
     """labels, weights[feature, label] and transitions[from, to], all in logarithms."""
@@ -150,14 +159,22 @@ def fit(rows: list[tuple[str, str]], seed: int = 0, rounds: int = 60, segment: i
     word, truth = word[:used], truth[:used]
     steps = min(length, used)
     grid, gold = word.reshape(-1, steps), truth.reshape(-1, steps)
-    index, of = features(list(vocabulary))
-    begin = np.flatnonzero(np.diff(of, prepend=-1))
-    weights, moves = np.zeros((WIDTH, n_labels)), np.zeros((n_labels, n_labels))
+    n_words, index, of = len(vocabulary), *_features_in_parts(list(vocabulary))
+    del parts, vocabulary
+    begin = np.flatnonzero(np.diff(of, prepend=-1)).astype(np.int32)
+    edges = [*begin[::AT_ONCE].tolist(), len(index)]
+    there = np.zeros(WIDTH, bool)
+    there[index] = True
+    met, index = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[index]  # weights of no word stay 0
+    weights, moves = np.zeros((len(met), n_labels)), np.zeros((n_labels, n_labels))
     seen = np.zeros((n_labels, n_labels))
     np.add.at(seen, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
+    e, grad = np.empty((n_words, n_labels)), np.empty_like(weights)
     for r in range(1, rounds + 1):
-        e = np.add.reduceat(weights[index], begin, axis=0)
+        for k, (i, j) in enumerate(pairwise(edges)):
+            own = slice(k * AT_ONCE, (k + 1) * AT_ONCE)
+            e[own] = np.add.reduceat(weights[index[i:j]], begin[own] - i, axis=0)
         b, a = _positive(e)[grid], np.exp(moves)
         alpha, beta = np.zeros_like(b), np.ones_like(b)
         alpha[:, 0] = b[:, 0] / b[:, 0].sum(axis=1, keepdims=True)
@@ -167,22 +184,26 @@ def fit(rows: list[tuple[str, str]], seed: int = 0, rounds: int = 60, segment: i
         for t in range(steps - 2, -1, -1):
             v = (b[:, t + 1] * beta[:, t + 1]) @ a.T
             beta[:, t] = v / v.sum(axis=1, keepdims=True)
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=2, keepdims=True)
         expected = np.zeros_like(moves)
         for t in range(1, steps):
             x = alpha[:, t - 1, :, None] * a[None] * (b[:, t] * beta[:, t])[:, None, :]
             expected += (x / x.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        delta = gamma.copy()
+        delta = np.multiply(alpha, beta, out=alpha)
+        delta /= delta.sum(axis=2, keepdims=True)
         np.put_along_axis(delta, gold[..., None], np.take_along_axis(delta, gold[..., None], 2) - 1, 2)
-        per_word = np.stack([np.bincount(grid.ravel(), delta[..., k].ravel(), len(vocabulary)) for k in range(n_labels)], axis=1)
-        grad = np.stack([np.bincount(index, per_word[of, k], WIDTH) for k in range(n_labels)], axis=1) / len(word) + 1e-6 * weights
+        for k in range(n_labels):
+            per_word, total = np.bincount(grid.ravel(), delta[..., k].ravel(), n_words), np.zeros(len(met))
+            for i, j in pairwise(edges):
+                np.add.at(total, index[i:j], per_word[of[i:j]])
+            grad[:, k] = total / len(word) + 1e-6 * weights[:, k]
         grad_moves = (expected - seen) / len(word) + 1e-4 * moves
         for x, g, m, s, rate in ((weights, grad, state[0], state[1], 0.05), (moves, grad_moves, state[2], state[3], 0.1)):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             x -= rate * (m / (1 - 0.9**r)) / (np.sqrt(s / (1 - 0.99**r)) + 1e-8)
-    return Field(labels, weights.astype(np.float32), moves)
+    every = np.zeros((WIDTH, n_labels), np.float32)
+    every[met] = weights
+    return Field(labels, every, moves)
 
 
 def fit_on(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: str = "doc_id", per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT, most: int = MOST, seed: int = 0) -> Field:
@@ -205,7 +226,10 @@ def fit_on(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orde
     taken: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["text"])):
         taken.setdefault(r["lang"], []).append(r["text"])
-    return fit([(text, lang) for lang in sorted(taken) for text in taken[lang][:size]], seed)
+    try:
+        return fit([(text, lang) for lang in sorted(taken) for text in taken[lang][:size]], seed)
+    finally:
+        give_back()  # the driver lives on
 
 
 def label_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

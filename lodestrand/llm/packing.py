@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, new_path, one, require, slices, tidy, written
+from .common import batch_bytes, flat_words, new_path, one, require, slices, tidy, written
 
 CAPACITY, END = 4096, 1
 #: Distinct words each Python worker keeps with their ids; further ones are encoded again in each batch.
@@ -279,5 +279,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     no rows; other columns are ignored.
     """
     require(docs, id_col, text_col)
-    packed = best_fit(written(token_pieces(docs, id_col, text_col, path, capacity, end_id), "pieces"), capacity)
+    with batch_bytes(docs.sparkSession, TEXT_AT_ONCE):
+        pieces = written(token_pieces(docs, id_col, text_col, path, capacity, end_id), "pieces")
+    packed = best_fit(pieces, capacity)
     return packed.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
