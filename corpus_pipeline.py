@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from lodestrand.llm.queries import language_field
 
 #: A text is rejected below this share of its best language; one in two languages keeps half or more in one of them.
 LEAST_SHARE = 0.3
+#: Bytes of text that go to Python at once. A batch stands in an executor several times, beside its heap.
+BATCH_BYTES = 8 << 20
 
 
 def _apart(docs: DataFrame) -> DataFrame:
@@ -25,17 +29,31 @@ def _together(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     return found.select(*(new.get(c, own[c]).alias(c) for c in docs.columns))
 
 
+def _in_small_batches(stage):
+    """Sets the session's Arrow batches to ``BATCH_BYTES`` (Spark's are 64 MB) and leaves it so, as what a stage returns is run later."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_in_small_batches
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or with no language of share ``LEAST_SHARE``, go."""
     found = langid.label_documents(_apart(docs), language_field(spark, sf_dir))
     return _together(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)), docs)
 
 
+@_in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return _together(simhash.keep_one(_apart(docs)), docs)
 
 
+@_in_small_batches
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has leave the text; every document stays, n_chars follows."""
     cut = substring.remove_repeats(_apart(docs))
@@ -45,11 +63,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _together(cut, docs, **new)
 
 
+@_in_small_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark window occurs go."""
     return _together(decontam.drop_contaminated(_apart(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
+@_in_small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents, with the sequence and the place of each."""
     return packing.pack(docs)

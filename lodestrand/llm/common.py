@@ -36,11 +36,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` stored as Parquet in the shared folder and read back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,18 +58,6 @@ def unit_hash(*columns) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-@contextlib.contextmanager
-def batch_bytes(spark: SparkSession, most: int):
-    """What is written meanwhile goes to Python in Arrow batches of about ``most`` bytes, one row at least, not of Spark's 64 MB."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def without(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` less the columns that an operator is about to add, so that names stay unique."""
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns))

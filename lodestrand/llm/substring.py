@@ -37,6 +37,8 @@ STRIP_BYTES, MOST_STRIP, MOST_RANGE, LARGE = 8 << 20, 64 << 20, 256 << 20, 64 <<
 SORTED_BYTES = 64 << 20
 #: Text that is split into words at once, and hashes that are worked on at once.
 PART_BYTES, SPAN = 1 << 20, 1 << 16
+#: A strip is a page and a row group of its own, or nearly: a task that reads some holds one at a time.
+ROW_BY_ROW = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
 _C1, _C2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -220,7 +222,7 @@ def _strips(docs: DataFrame, id_col: str, text_col: str, others: list[str], tota
         if held:
             yield strip()
 
-    return written(ranged.mapInArrow(cut, "strip long, rows binary"), "strips")
+    return written(ranged.mapInArrow(cut, "strip long, rows binary"), "strips", **ROW_BY_ROW)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, strip_bytes: int = STRIP_BYTES) -> DataFrame:

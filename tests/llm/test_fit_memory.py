@@ -1,14 +1,17 @@
-"""What the driver takes to fit the language field, and what the tokeniser's tasks get at once."""
+"""What the driver takes to fit the language field, and what the tasks of the pipeline get at once."""
 
+import hashlib
 import os
 import re
 import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
-from lodestrand.llm import common, packing
+import corpus_pipeline
+from lodestrand.llm import substring
 
 REPO = Path(__file__).resolve().parents[2]
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -43,21 +46,28 @@ def test_the_fit_takes_some_numbers_for_each_feature():
     assert float(found[4]) < 120, f"{found[4]} MB"
 
 
-def test_tokeniser_gets_small_batches(spark, sf_dir, monkeypatch):
-    seen, write, before = {}, packing.written, spark.conf.get(KEY)
-    monkeypatch.setattr(packing, "written", lambda df, name: seen.setdefault(name, spark.conf.get(KEY)) and write(df, name))
-    monkeypatch.setattr(packing, "best_fit", lambda pieces, capacity: pieces.selectExpr("*", "0 as sequence_id", "0 as offset"))
-    packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20))
-    assert int(seen["pieces"]) == packing.TEXT_AT_ONCE and spark.conf.get(KEY) == before
+def test_stages_send_small_batches(spark, sf_dir):
+    before = spark.conf.get(KEY)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:2]:
+            spark.conf.unset(KEY)
+            stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20), sf_dir)
+            assert int(spark.conf.get(KEY)) == corpus_pipeline.BATCH_BYTES
+        rows = spark.range(400).coalesce(1).selectExpr("repeat(cast(id % 10 as string), 100000) as text")
 
+        def sizes(batches):
+            for b in batches:
+                yield b.from_pydict({"bytes": [b.nbytes]})
 
-def test_batches_of_so_many_bytes(spark):
-    rows = spark.range(64).coalesce(1).selectExpr("repeat(cast(id % 10 as string), 100000) as text")
+        found = [r["bytes"] for r in rows.mapInArrow(sizes, "bytes long").collect()]
+        assert sum(found) >= 40_000_000 and max(found) < 1.1 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set(KEY, before)
 
-    def sizes(batches):
-        for b in batches:
-            yield b.from_pydict({"bytes": [b.nbytes]})
 
-    with common.batch_bytes(spark, 1 << 20):
-        found = [r["bytes"] for r in rows.mapInArrow(sizes, "bytes long").collect()]
-    assert sum(found) >= 6_400_000 and max(found) < 2 << 20
+def test_a_strip_is_a_row_group(spark, tmp_path):
+    rows = [(k, " ".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest() for i in range(20_000))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    strips = substring._strips(docs, "doc_id", "text", [], 1, 5 << 20)
+    groups = [f.metadata.row_group(k).num_rows for p in strips.inputFiles() if (f := pq.ParquetFile(p.removeprefix("file://"))) for k in range(f.num_row_groups)]
+    assert len(groups) == strips.count() > 2 and set(groups) == {1}
