@@ -103,10 +103,21 @@ def clean_triples(triples: DataFrame, synonyms: dict[str, str]) -> DataFrame:
 
 
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(name, size, sha256) of files; a name with a separator in it can't come out, as only last parts of paths are taken."""
-    files = spark.read.format("binaryFile").load(paths)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(name, size, sha256) of files, or of tables of several files, a row for each path; names are the last parts of paths.
+
+    A folder's size is that of all files in it, its hash that of its files' places and hashes in order. Each file is hashed
+    where it is read; only hashes meet.
+    """
+    out = None
+    for path in paths:
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        own = F.element_at(F.split("path", "/"), -1) == name
+        hashed = files.select(own.alias("own"), "length", F.concat(F.substring_index("path", f"/{name}/", -1), F.lit(" "), F.sha2("content", 256)).alias("line"), F.sha2("content", 256).alias("sha256"))
+        whole = F.when((F.count("*") == 1) & F.max("own"), F.max("sha256")).otherwise(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256))
+        row = hashed.agg(F.lit(name).alias("name"), F.coalesce(F.sum("length"), F.lit(0)).alias("size"), whole.alias("sha256"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 def manifest_differences(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 """Odd rows and dense groups that larger tables hold, against the SQL of the query or a plain version."""
 
+import hashlib
+import shutil
+
 import duckdb
 
 import __spark_entry__ as entry
+from lodestrand.operators import contracts as C
 
 
 def said(name, **tables):
@@ -20,3 +24,23 @@ def test_boolean_questions_of_other_scripts(spark, tmp_path):
     found = entry.queries()["boolean_questions"](spark, str(tmp_path))
     assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == expected
     assert [r[-1] for r in expected] == [1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 1]
+
+
+def test_manifest_of_a_table_of_several_files(spark, sf_dir, tmp_path):
+    """A row for a table, whether it is a file or a folder of files; the hash tells a change in any of them."""
+    shutil.copy(f"{sf_dir}/customer.parquet", tmp_path)
+    spark.read.parquet(f"{sf_dir}/labels.parquet").repartition(3).write.parquet(f"{tmp_path}/labels.parquet")
+    found = entry.queries()["file_manifest"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == said("file_manifest")[0]
+    whole = lambda top: {r["name"]: r for r in C.manifest(spark, [f"{top}/labels.parquet", f"{tmp_path}/customer.parquet"]).collect()}
+    before = whole(tmp_path)
+    assert before["customer.parquet"]["sha256"] == hashlib.sha256((tmp_path / "customer.parquet").read_bytes()).hexdigest()
+    parts = sorted((tmp_path / "labels.parquet").glob("part-*"))
+    assert before["labels.parquet"]["size"] == sum(p.stat().st_size for p in parts)
+    copy, other = tmp_path / "copy" / "labels.parquet", tmp_path / "other" / "labels.parquet"
+    for top in (copy, other):
+        top.mkdir(parents=True)
+        for p in parts:
+            (top / p.name).write_bytes(p.read_bytes()[::-1] if top is other and p is parts[1] else p.read_bytes())
+    assert whole(tmp_path / "copy") == before
+    assert whole(tmp_path / "other")["labels.parquet"]["sha256"] != before["labels.parquet"]["sha256"]
