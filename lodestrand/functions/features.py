@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import axioms as A
 from . import text as X
 
+from .entail import let
 from .sets import ratio
 
 #: Weights of the text-chain adjustment.
@@ -115,22 +116,26 @@ def support_vector(units: Column, entities: Column, properties: Column) -> Colum
     a rule has such a property and a fact such an entity, whether facts stand beside rules, size up to five; the last two,
     which gold would tell, stay 0. All are 0 for an empty support.
     """
-    asked = F.transform(properties, _plain_property)
+    none = F.array().cast("array<string>")
 
-    def each(unit: Column) -> Column:
-        p, s = A.parse(unit), A.signature(unit)
-        known, none = p["kind"] != "unknown", F.array().cast("array<string>")
+    def each(unit: Column, asked: Column) -> Column:
+        p, s = unit["p"], unit["s"]
+        known = p["kind"] != "unknown"
         own = F.transform(F.when(known, s["properties"]).otherwise(none), _plain_property)
-        has_entity = known & (p["kind"] == "fact") & F.arrays_overlap(s["entities"], entities)
-        has_rule = F.arrays_overlap(_rule_properties(p), asked)
-        return F.struct(has_entity.alias("entity"), (F.arrays_overlap(own, asked) | has_rule).alias("property"), has_rule.alias("rule_property"), p["kind"].alias("kind"))
-
-    found = F.transform(units, each)
-    n = F.nullif(F.size(units), F.lit(0))
-    share = lambda part: F.coalesce(F.size(F.filter(found, lambda x: x[part])) / n, F.lit(0.0))
-    some = lambda test: F.exists(found, test).cast("double")
-    mix = some(lambda x: x["kind"] == "fact") * some(lambda x: x["kind"] == "rule")
-    return F.array(share("entity"), share("property"), some(lambda x: x["rule_property"]), some(lambda x: x["entity"]), mix, F.least(F.size(units), F.lit(5)) / 5.0, F.lit(0.0), F.lit(0.0))
+        has_entity = known & (p["kind"] == "fact") & F.arrays_overlap(s["entities"], asked["entities"])
+        has_rule = F.arrays_overlap(_rule_properties(p), asked["properties"])
+        return F.struct(has_entity.alias("entity"), (F.arrays_overlap(own, asked["properties"]) | has_rule).alias("property"), has_rule.alias("rule_property"), p["kind"].alias("kind"))
+
+    def values(found: Column) -> Column:
+        n = F.size(found)
+        share = lambda part: F.coalesce(F.size(F.filter(found, lambda x: x[part])) / F.nullif(n, F.lit(0)), F.lit(0.0))
+        some = lambda test: F.exists(found, test).cast("double")
+        mix = some(lambda x: x["kind"] == "fact") * some(lambda x: x["kind"] == "rule")
+        return F.array(share("entity"), share("property"), some(lambda x: x["rule_property"]), some(lambda x: x["entity"]), mix, F.least(n, F.lit(5)) / 5.0, F.lit(0.0), F.lit(0.0))
+
+    # the question and the parsed units are worked out once for a row, not once for each use
+    asked = F.struct(entities.alias("entities"), F.transform(properties, _plain_property).alias("properties"))
+    return let(asked, lambda q: let(F.transform(A.each_parsed(units), lambda u: each(u, q)), values))
 
 
 def match_tokens(text: Column) -> Column:

@@ -44,3 +44,9 @@ def test_manifest_of_a_table_of_several_files(spark, sf_dir, tmp_path):
             (top / p.name).write_bytes(p.read_bytes()[::-1] if top is other and p is parts[1] else p.read_bytes())
     assert whole(tmp_path / "copy") == before
     assert whole(tmp_path / "other")["labels.parquet"]["sha256"] != before["labels.parquet"]["sha256"]
+
+
+def test_support_vectors_try_patterns_once(spark, sf_dir):
+    """The plan holds the patterns of a unit and of the question a few times, not once for each value that uses them."""
+    plan = entry.queries()["support_vectors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract") < 40
