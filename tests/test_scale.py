@@ -6,7 +6,10 @@ import shutil
 import duckdb
 
 import __spark_entry__ as entry
+from lodestrand.operators import compose as P
 from lodestrand.operators import contracts as C
+from lodestrand.operators import graph as G
+from lodestrand.operators import tuning as T
 
 
 def said(name, **tables):
@@ -50,3 +53,25 @@ def test_support_vectors_try_patterns_once(spark, sf_dir):
     """The plan holds the patterns of a unit and of the question a few times, not once for each value that uses them."""
     plan = entry.queries()["support_vectors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("regexp_extract") < 40
+
+
+def test_enumerated_lists_stand_once_for_pools_of_a_size(spark):
+    pools = spark.createDataFrame([(k, [f"{k}-{c}" for c in "dabce"]) for k in range(3)], "example int, units array<string>")
+    lists = P.enumerated_lists(pools, 2, 11, 7).orderBy("example", "size").collect()
+    assert [(r["size"], r["before"], len(r["members"])) for r in lists] == [(1, 0, 5), (2, 5, 6)] * 3
+    assert len({str(r["members"]) for r in lists}) == 2
+    rows = P.enumerated(pools, 2, 11, 7).where("example = 1").orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(1, 12)) and rows[5]["units"] == ["1-a", "1-d"]
+
+
+def test_paths_go_no_further_than_their_goals(spark):
+    """The graph goes on for a hundred steps behind the goal; only the goal's two are taken."""
+    links = spark.createDataFrame([(f"n{k}", "to", f"n{k + 1}") for k in range(100)], "src string, rel string, dst string")
+    goals = spark.createDataFrame([("n0", "n2"), ("n0", "n0"), ("n50", "n49")], "root string, goal string")
+    found = {(r["root"], r["goal"]): (r["nodes"], r["relations"]) for r in G.all_shortest_paths(goals, links).collect()}
+    assert found == {("n0", "n2"): (["n0", "n1", "n2"], ["to", "to"]), ("n0", "n0"): (["n0"], []), ("n50", "n49"): (["n50", "n49"], ["to"])}
+
+
+def test_trials_take_the_first_of_the_best(spark):
+    rows = spark.createDataFrame([("a", 1, "y", 1.0, 0.25, 0.0), ("a", 1, "x", 1.0, 0.5, 0.0), ("a", 1, "z", 0.0, 1.0, 2.0), ("a", 2, "x", 0.5, 0.0, 1.0), ("b", 3, "x", None, 0.75, 1.0), ("b", 4, "x", 0.1, None, 1.0), ("b", 4, "y", 0.1, 0.125, 1.0), ("b", 5, "x", 0.1, 0.625, 1.0)], "dataset string, example int, identity string, base double, f1 double, size double")
+    assert T.evaluate(T.grouped(rows, ["size"]), [{"size": 0.0}, {"size": 1.0}]) == [{"a": 0.25, "b": 0.625}, {"a": 0.5, "b": 0.625}]
