@@ -75,3 +75,51 @@ def test_paths_go_no_further_than_their_goals(spark):
 def test_trials_take_the_first_of_the_best(spark):
     rows = spark.createDataFrame([("a", 1, "y", 1.0, 0.25, 0.0), ("a", 1, "x", 1.0, 0.5, 0.0), ("a", 1, "z", 0.0, 1.0, 2.0), ("a", 2, "x", 0.5, 0.0, 1.0), ("b", 3, "x", None, 0.75, 1.0), ("b", 4, "x", 0.1, None, 1.0), ("b", 4, "y", 0.1, 0.125, 1.0), ("b", 5, "x", 0.1, 0.625, 1.0)], "dataset string, example int, identity string, base double, f1 double, size double")
     assert T.evaluate(T.grouped(rows, ["size"]), [{"size": 0.0}, {"size": 1.0}]) == [{"a": 0.25, "b": 0.625}, {"a": 0.5, "b": 0.625}]
+
+
+def dense_graph(spark):
+    """Two examples of 70 and 5 nodes, sentences beyond one word of bits, some of them anchors; and what they are in plain Python."""
+    rows = [(e, a, b) for e, n in ((1, 70), (2, 5)) for a in range(n) for b in range(a + 1, n) if (a * 7 + b * 3) % 5 < 2]
+    nodes = [(e, k, round(0.013 * (k % 9), 6), k % 6 == 1) for e, n in ((1, 70), (2, 5)) for k in range(n)]
+    near = {}
+    for e, a, b in rows:
+        near.setdefault((e, a), set()).add(b)
+        near.setdefault((e, b), set()).add(a)
+    return spark.createDataFrame(nodes, "example long, node int, score double, is_anchor boolean"), spark.createDataFrame(rows, "example long, src int, dst int"), nodes, near
+
+
+def test_triples_are_counted_without_a_list(spark):
+    nodes, edges, given, near = dense_graph(spark)
+    sets = {(e, *sorted((x, y, z))) for e, x, _, anchor in given if anchor for y in near.get((e, x), ()) for z in near[e, x] | near[e, y] if z not in (x, y)}
+    expected = {e: (sum(s[0] == e for s in sets), sum(s[1] * 961 + s[2] * 31 + s[3] for s in sets if s[0] == e)) for e in {s[0] for s in sets}}
+    assert {r["example"]: (r["triples"], r["checksum"]) for r in G.closure_triple_sums(nodes, edges, (961, 31, 1)).collect()} == expected
+    assert {tuple(r) for r in G.closure_triples(nodes, edges).collect()} == sets
+
+
+def test_anchor_pairs_make_no_row_of_a_neighbour(spark):
+    nodes, edges, given, near = dense_graph(spark)
+    expected = {(e, x, y): len((near[e, x] | near[e, y]) - {x, y}) for e, x, _, anchor in given if anchor for y in near.get((e, x), ())}
+    assert {(r["example"], r["seed"], r["other"]): r["around"] for r in G.anchor_pairs(nodes, edges).collect()} == expected
+
+
+def test_titles_of_one_common_word(spark, tmp_path):
+    """Titles share their words, pages their titles; a title counts once in a sentence, whole words alone."""
+    texts = ["alpha beta gamma delta epsilon. alpha beta gamma delta zeta", "the alpha alpha alpha alpha alpha. Alpha-beta", "alphabeta gamma. alpha", None, "beta gamma delta"]
+    titles = ["alpha beta gamma delta epsilon", "Alpha", "alpha", "alpha alpha alpha alpha alpha", "alpha alpha alpha alpha beta", "beta gamma", "a", "", "gamma delta", "zzz yyy"]
+    spark.createDataFrame([(k, t, "en", "web") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"<title>{t}</title>") for k, t in enumerate(titles)], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    expected, columns = said("title_mentions", documents=f"{tmp_path}/documents.parquet/*.parquet", pages=f"{tmp_path}/pages.parquet/*.parquet")
+    found = entry.queries()["title_mentions"](spark, str(tmp_path))
+    assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == expected and len(expected) == 6
+
+
+def test_edges_of_documents_equal_those_of_joins(spark, sf_dir):
+    """All four rules at once within a document, against the operators that join on terms."""
+    from lodestrand.jobs import graphs as J
+
+    q = entry.queries()
+    rules = [q[n](spark, sf_dir) for n in ("adjacent_sentences", "title_token_edges", "shared_entity_edges", "bridge_token_edges")]
+    joined = rules[0].union(rules[1]).union(rules[2]).union(rules[3]).distinct()
+    edges = J._graph(spark, sf_dir)[1]
+    assert edges.schema.simpleString() == joined.schema.simpleString()
+    assert edges.count() == joined.count() and edges.exceptAll(joined).isEmpty()
