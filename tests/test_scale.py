@@ -123,3 +123,16 @@ def test_edges_of_documents_equal_those_of_joins(spark, sf_dir):
     edges = J._graph(spark, sf_dir)[1]
     assert edges.schema.simpleString() == joined.schema.simpleString()
     assert edges.count() == joined.count() and edges.exceptAll(joined).isEmpty()
+
+
+def test_beams_unit_by_unit_equal_those_over_whole_contexts(spark):
+
+    units = [(k, p, u, 0.1 * (p % 4)) for k in (1, 2) for p, u in enumerate([*(f"c{j} in n{j % k}" for j in range(14)), "SubObjectPropertyOf(in,at)", "a b c d", "n0 at r", "SubObjectPropertyOf(at,near)"])]
+    rows = spark.createDataFrame(units, "example int, place int, unit string, score double")
+    asked = spark.createDataFrame([(1, ["c1", "r"], ["at"]), (2, ["n1"], ["in"])], "example int, entities array<string>, properties array<string>")
+    sets = lambda df: sorted((r["example"], tuple(r["members"]), r["score"]) for r in df.collect())
+    assert sets(P.axiom_beam_rows(rows, 1, 4, 5, 9)) == sets(P.axiom_beam(P.contexts(rows), 1, 4, 5, 9))
+    w = P.Weights(beam=6, most_subsets=100)
+    info = P.contexts(rows).join(asked, "example")
+    assert sets(P.compose_rows(rows, asked, 3, w)) == sets(P.compose(info, 3, w))
+    assert "near" not in P.context_rows(rows).select("node.*").columns
