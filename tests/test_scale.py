@@ -136,3 +136,10 @@ def test_beams_unit_by_unit_equal_those_over_whole_contexts(spark):
     info = P.contexts(rows).join(asked, "example")
     assert sets(P.compose_rows(rows, asked, 3, w)) == sets(P.compose(info, 3, w))
     assert "near" not in P.context_rows(rows).select("node.*").columns
+
+
+def test_degrees_of_edges_that_stand_once(spark):
+    nodes, edges, given, near = dense_graph(spark)
+    asked = nodes.selectExpr("example", "node", "1 as overlap", "0 as title_overlap", "2 as asked")
+    for once in (False, True):
+        assert {(r["example"], r["node"]): r["degree"] for r in G.node_scores(asked, edges, once).collect()} == {(e, k): len(near.get((e, k), ())) for e, k, _, _ in given}
